@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, sharding, substring_dedup
+from . import decontaminate, exact_dedup, jaccard_join, sharding, substring_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,10 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_groups(_table(spark, sf_dir, "documents"), n=4, percent=85)
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find_contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -98,6 +102,7 @@ def queries() -> dict:
     return {
         "op1_substring_dedup": op1_substring_dedup,
         "op4_sharding": op4_sharding,
+        "op6_jaccard_join": op6_jaccard_join,
         "op8_exact_dedup": op8_exact_dedup,
         "op9_decontamination": op9_decontamination,
     }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, jaccard_join, sharding, substring_dedup
+from . import decontaminate, exact_dedup, jaccard_join, quality, sharding, substring_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +43,13 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = quality.train(docs, _table(spark, sf_dir, "labels"))
+    found = quality.graded(docs.select(F.col("doc_id").cast("long"), "text"), model)
+    return found.select("doc_id", "expected_grade", "tail_probability", (F.col("tail_probability") >= quality.KEEP).alias("kept"))
+
+
 OP1_SQL = r"""
 WITH d AS (
   SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
@@ -105,6 +112,7 @@ def queries() -> dict:
         "op6_jaccard_join": op6_jaccard_join,
         "op8_exact_dedup": op8_exact_dedup,
         "op9_decontamination": op9_decontamination,
+        "op10_quality_classifier": op10_quality_classifier,
     }
 
 

@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import words as W
 
@@ -256,21 +257,20 @@ def _grade_texts(texts, model: Model, dense: np.ndarray) -> tuple[np.ndarray, np
 def graded(docs: DataFrame, model: Model, text: str = "text", prefix: str = "") -> DataFrame:
     """docs with {prefix}expected_grade and {prefix}tail_probability; a null text counts as empty.
 
-    No rows are dropped or moved. Columns of these names are not allowed in docs.
+    No rows are dropped or moved. Columns of docs that have these names are replaced.
     """
     names = [f"{prefix}expected_grade", f"{prefix}tail_probability"]
-    clash = set(names) & set(docs.columns)
-    if clash:
-        raise ValueError(f"columns in the way: {sorted(clash)}")
     sent = docs.sparkSession.sparkContext.broadcast(model)
+    stay = [name for name in docs.columns if name not in names]
+    if text not in stay:
+        raise ValueError(f"no column {text!r} beside the new ones")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dense = sent.value.dense()
         for batch in batches:
             found = _grade_texts(batch[text], sent.value, dense)
-            yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, found)], [*batch.schema.names, *names])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, found)], [*stay, *names])
 
-    schema = docs.schema
-    for name in names:
-        schema = schema.add(name, "double")
-    return docs.mapInArrow(apply, schema)
+    rows = docs.select(*[F.col(f"`{name}`") for name in stay])
+    schema = T.StructType([*rows.schema.fields, *[T.StructField(name, T.DoubleType()) for name in names]])
+    return rows.mapInArrow(apply, schema)

@@ -29,7 +29,8 @@ from . import words as W
 SAMPLE = 12_000
 FEATURES = 1 << 22
 LEAST_DOCS = 4
-LEAST_Z = 6.0
+#: Standard errors asked of a feature: from 3 for few rated documents to 6 for many.
+LEAST_Z, MOST_Z, Z_DOCS = 3.0, 6.0, 4000
 EPOCHS = 40
 GOOD = 2
 #: Tail probability from which a document is selected.
@@ -152,7 +153,7 @@ class Model:
 
 
 def _telling(owner: np.ndarray, feature: np.ndarray, grade: np.ndarray) -> np.ndarray:
-    """Features whose documents' mean grade is LEAST_Z standard errors or more from that of all.
+    """Features whose documents' mean grade is enough standard errors away from that of all.
 
     The rest would only add noise that grows with a document's length.
     """
@@ -160,7 +161,7 @@ def _telling(owner: np.ndarray, feature: np.ndarray, grade: np.ndarray) -> np.nd
     known = np.flatnonzero(seen >= LEAST_DOCS)
     mean = np.bincount(feature, grade[owner], FEATURES)[known] / seen[known]
     z = (mean - grade.mean()) / (max(grade.std(), 1e-6) / np.sqrt(seen[known]))
-    return known[np.abs(z) >= LEAST_Z]
+    return known[np.abs(z) >= min(MOST_Z, LEAST_Z + len(grade) / Z_DOCS)]
 
 
 def fit(owner: np.ndarray, feature: np.ndarray, value: np.ndarray, grade: np.ndarray, rate: float = 0.3, shrink: float = 1e-5) -> Model:

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, jaccard_join, quality, sharding, substring_dedup
+from . import decontaminate, exact_dedup, jaccard_join, pieces, quality, sharding, substring_dedup
+
+#: A public SentencePiece vocabulary; it stays where it is.
+VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +25,13 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.col("kept_text").alias("kept_sha256"))
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str, model: str = VOCABULARY) -> DataFrame:
+    vocabulary = pieces.Pieces.load(model)
+    ids = pieces.encoded(_table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")), vocabulary)
+    both = pieces.decoded(ids, vocabulary, "ids", "decoded")
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", (F.col("decoded") == F.col("text")).alias("round_trip"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = sharding.shard_rows(_table(spark, sf_dir, "documents"), [1.0] * 16, grown=1.0)
     return found.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
@@ -108,6 +118,7 @@ FROM dw LEFT JOIN cover USING (doc_id) LEFT JOIN its USING (doc_id)
 def queries() -> dict:
     return {
         "op1_substring_dedup": op1_substring_dedup,
+        "op3_sentencepiece": op3_sentencepiece,
         "op4_sharding": op4_sharding,
         "op6_jaccard_join": op6_jaccard_join,
         "op8_exact_dedup": op8_exact_dedup,

@@ -108,6 +108,8 @@ class Chunk:
     ends: np.ndarray
     first: np.ndarray
     kind: WordClass
+    #: Where each text begins in data, and the end.
+    offsets: np.ndarray | None = None
 
     @property
     def n_texts(self) -> int:
@@ -181,4 +183,4 @@ def _chunk(row: int, data: np.ndarray, offsets: np.ndarray, kind: WordClass) ->
     starts[1:] &= ~inside[:-1] | edge[1:-1]
     ends[:-1] &= ~inside[1:] | edge[1:-1]
     starts, ends = np.flatnonzero(starts), np.flatnonzero(ends) + 1
-    return Chunk(row, data, starts, ends, np.searchsorted(starts, offsets), kind)
+    return Chunk(row, data, starts, ends, np.searchsorted(starts, offsets), kind, offsets)

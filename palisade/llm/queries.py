@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, jaccard_join, pieces, quality, sharding, substring_dedup
+from . import decontaminate, exact_dedup, jaccard_join, pieces, quality, secrets, sharding, substring_dedup
 
 #: A public SentencePiece vocabulary; it stays where it is.
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
@@ -25,6 +25,11 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.col("kept_text").alias("kept_sha256"))
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_novel")
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str, model: str = VOCABULARY) -> DataFrame:
     vocabulary = pieces.Pieces.load(model)
     ids = pieces.encoded(_table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")), vocabulary)
@@ -118,6 +123,7 @@ FROM dw LEFT JOIN cover USING (doc_id) LEFT JOIN its USING (doc_id)
 def queries() -> dict:
     return {
         "op1_substring_dedup": op1_substring_dedup,
+        "op2_secret_scan": op2_secret_scan,
         "op3_sentencepiece": op3_sentencepiece,
         "op4_sharding": op4_sharding,
         "op6_jaccard_join": op6_jaccard_join,

@@ -33,7 +33,7 @@ _SPACE = 0x2581
 _LITERAL = 0x110000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _SEEN_BITS = 20
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 
 
 def _key(points: list[int]) -> int:
@@ -203,7 +203,7 @@ class Pieces:
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for n in np.unique(size).tolist():
             rows = np.flatnonzero(size == n)
-            for part in np.array_split(rows, -(-len(rows) * n // (1 << 20))):
+            for part in np.array_split(rows, -(-len(rows) * n // (1 << 19))):
                 text = points[bounds[part][:, None] + np.arange(n)].astype(np.uint64)
                 last, back = self.segment(text)
                 at, live, step = np.full(len(part), n), np.arange(len(part)), 0
@@ -289,17 +289,25 @@ class Pieces:
         return texts
 
 
-def encoded(docs: DataFrame, pieces: Pieces, text: str = "text", out: str = "ids") -> DataFrame:
+def encoded(docs: DataFrame, pieces: Pieces, text: str = "text", out: str = "ids", check: str | None = None) -> DataFrame:
     """docs with a column of piece ids; null for a null text, none for an empty one.
 
-    No rows are dropped or moved. A column of this name in docs is replaced.
+    check names a further column: whether the ids decode to the text, null for a
+    null text. No rows are dropped or moved. Columns of these names in docs are
+    replaced.
     """
-    return _with(docs, pieces, text, out, T.ArrayType(T.IntegerType()), _encode_column)
+
+    def convert(column: pa.Array, pieces: Pieces) -> list[pa.Array]:
+        ids = _encode_column(column, pieces)
+        return [ids] if check is None else [ids, pc.equal(_decode_column(ids, pieces), column.cast(pa.string()))]
+
+    fields = [T.StructField(out, T.ArrayType(T.IntegerType())), *([T.StructField(check, T.BooleanType())] if check else [])]
+    return _with(docs, pieces, text, fields, convert)
 
 
 def decoded(docs: DataFrame, pieces: Pieces, ids: str = "ids", out: str = "text") -> DataFrame:
     """docs with the text of a column of piece ids; null for null."""
-    return _with(docs, pieces, ids, out, T.StringType(), _decode_column)
+    return _with(docs, pieces, ids, [T.StructField(out, T.StringType())], lambda column, pieces: [_decode_column(column, pieces)])
 
 
 def _encode_column(column: pa.Array, pieces: Pieces) -> pa.Array:
@@ -315,13 +323,16 @@ def _decode_column(column: pa.Array, pieces: Pieces) -> pa.Array:
     return pc.if_else(column.is_valid(), texts, pa.scalar(None, pa.string())) if column.null_count else texts
 
 
-def _with(docs: DataFrame, pieces: Pieces, source: str, out: str, kind: T.DataType, convert) -> DataFrame:
+def _with(docs: DataFrame, pieces: Pieces, source: str, new: list[T.StructField], convert) -> DataFrame:
+    """Adds columns made from one, in parts of a batch of bounded bytes."""
     sent = docs.sparkSession.sparkContext.broadcast(pieces)
-    stay = [name for name in docs.columns if name != out]
+    names = [field.name for field in new]
+    stay = [name for name in docs.columns if name not in names]
     rows = docs.select(*[F.col(f"`{name}`") for name in stay], F.col(f"`{source}`").alias("\x00source"))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], convert(batch.columns[-1], sent.value)], [*stay, out])
+            for part in W.slices(batch, batch.num_columns - 1, CHUNK_BYTES):
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *convert(part.columns[-1], sent.value)], [*stay, *names])
 
-    return rows.mapInArrow(apply, T.StructType([*rows.schema.fields[:-1], T.StructField(out, kind)]))
+    return rows.mapInArrow(apply, T.StructType([*rows.schema.fields[:-1], *new]))

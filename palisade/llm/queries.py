@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, jaccard_join, pieces, quality, secrets, sharding, substring_dedup
+from . import chat, decontaminate, exact_dedup, jaccard_join, language, pieces, quality, secrets, sharding, substring_dedup
 
 #: A public SentencePiece vocabulary; it stays where it is.
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
@@ -31,10 +31,9 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str, model: str = VOCABULARY) -> DataFrame:
-    vocabulary = pieces.Pieces.load(model)
-    ids = pieces.encoded(_table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")), vocabulary)
-    both = pieces.decoded(ids, vocabulary, "ids", "decoded")
-    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", (F.col("decoded") == F.col("text")).alias("round_trip"))
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    found = pieces.encoded(docs, pieces.Pieces.load(model), check="round_trip")
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "round_trip")
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,10 +41,40 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def _transcript_text(style: Column) -> Column:
+    """A turn as it stands in a transcript: one of five marker styles, the last with blank lines only."""
+    role, body = F.col("role"), F.coalesce(F.col("text"), F.lit(""))
+    title = F.initcap(role)
+    heading = F.when(role == "user", "Human").otherwise(title)
+    letter = F.when(role == "user", "Q: ").when(role == "assistant", "A: ").otherwise("System: ")
+    return (
+        F.when(style == 0, F.concat(title, F.lit(": "), body))
+        .when(style == 1, F.concat(F.lit("### "), heading, F.lit(":\n"), body))
+        .when(style == 2, F.concat(letter, body))
+        .when(style == 3, F.concat(F.lit("["), role, F.lit("] "), body, F.lit("\n")))
+        .otherwise(F.concat(body, F.lit("\n")))
+    )
+
+
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations")
+    raw = _transcript_text(F.pmod(F.xxhash64("conv_id"), F.lit(5)))
+    model = chat.train(rows, raw)
+    parts = chat.transcript_parts(rows.select("conv_id", "turn", raw.alias("text")))
+    return chat.parse(parts, model).select("conv_id", "turn", "role", "rendered")
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_groups(_table(spark, sf_dir, "documents"), n=4, percent=85)
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = language.train(docs.filter(~language.held_out()))
+    found = language.identify(docs, model)
+    return found.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score", F.size("spans").cast("long").alias("n_spans"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find_contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -126,7 +155,9 @@ def queries() -> dict:
         "op2_secret_scan": op2_secret_scan,
         "op3_sentencepiece": op3_sentencepiece,
         "op4_sharding": op4_sharding,
+        "op5_chat_format": op5_chat_format,
         "op6_jaccard_join": op6_jaccard_join,
+        "op7_language_id": op7_language_id,
         "op8_exact_dedup": op8_exact_dedup,
         "op9_decontamination": op9_decontamination,
         "op10_quality_classifier": op10_quality_classifier,

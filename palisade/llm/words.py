@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 CHUNK_BYTES = 1 << 21
 
@@ -158,6 +159,20 @@ def _plain(texts) -> pa.Array:
     return texts.cast(pa.large_string())
 
 
+def slices(batch: pa.RecordBatch, column: int, most_bytes: int) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of about most_bytes of a string or list column, a row at least."""
+    n, values = batch.num_rows, batch.column(column)
+    if isinstance(values, pa.ListArray):
+        size = values.offsets.to_numpy()[: n + 1].astype(np.int64)
+    else:
+        size = np.append(0, np.cumsum(np.nan_to_num(pc.binary_length(values).to_numpy(zero_copy_only=False)))).astype(np.int64)
+    lo = 0
+    while lo < n or not lo:
+        hi = min(n, max(lo + 1, int(np.searchsorted(size, size[lo] + most_bytes, "right")) - 1))
+        yield batch.slice(lo, hi - lo)
+        lo = max(hi, 1)
+
+
 def chunks(texts, kind: WordClass, chunk_bytes: int = CHUNK_BYTES) -> Iterator[Chunk]:
     """Words of an Arrow array of texts, in order; a null text counts as empty."""
     texts = _plain(texts)

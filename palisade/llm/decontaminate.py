@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
+from .shared import free_names, same_columns
 
 WINDOW = 13
 PART_BYTES = 8 << 20
@@ -197,24 +198,25 @@ def contaminated(n_hit, n_words):
 
 def clean_rows(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs that aren't contaminated, all columns as they are, without a shuffle."""
-    part_rows = list(_parts(benchmark, "item_id", "text", PART_BYTES, WINDOW))
-    spark, names = docs.sparkSession, docs.columns
-    trail = "struct<n_words:bigint,n_hit:bigint,spans:array<array<bigint>>,items:array<string>>"
-    marked = docs.withColumn("_text", F.col(text)).withColumn("_trail", F.lit(None).cast(trail))
-    for part in part_rows:
+    spark = docs.sparkSession
+    body, trail = free_names(docs, "body", "trail")
+    kind = "struct<n_words:bigint,n_hit:bigint,spans:array<array<bigint>>,items:array<string>>"
+    marked = docs.withColumn(body, F.col(text)).withColumn(trail, F.lit(None).cast(kind))
+    for part in _parts(benchmark, "item_id", "text", PART_BYTES, WINDOW):
         sent = spark.sparkContext.broadcast(part)
         marked = marked.mapInArrow(lambda batches, sent=sent: _nested(batches, sent.value), marked.schema)
-    verdict = contaminated(F.col("_trail.n_hit"), F.col("_trail.n_words"))
-    return marked.filter(~verdict).select(*names)
+    verdict = contaminated(F.col(f"{trail}.n_hit"), F.col(f"{trail}.n_words"))
+    return same_columns(marked.filter(~verdict), docs)
 
 
 def _nested(batches: Iterator[pa.RecordBatch], part: list[Searcher]) -> Iterator[pa.RecordBatch]:
+    """_scan for rows whose last two columns are the text and the trail."""
     for batch in batches:
-        trail = batch["_trail"]
-        inner = pa.RecordBatch.from_pydict({"text": batch["_text"], "spans": trail.field("spans"), "items": trail.field("items")})
+        text, trail = batch.columns[-2:]
+        inner = pa.RecordBatch.from_pydict({"text": text, "spans": trail.field("spans"), "items": trail.field("items")})
         (found,) = _scan(iter([inner]), part)
         struct = pa.StructArray.from_arrays([found[name] for name, _ in _TRAIL], [name for name, _ in _TRAIL])
-        yield pa.RecordBatch.from_arrays([struct if name == "_trail" else batch[name] for name in batch.schema.names], batch.schema.names)
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], struct], batch.schema.names)
 
 
 def items_digest(items: list[str]) -> str:

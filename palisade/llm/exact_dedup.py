@@ -17,10 +17,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import SPACE_RUN, text_or_empty
+from .shared import SPACE_RUN, free_names, same_columns, text_or_empty
 from .words import mix
 
 BUCKET_KEYS = 4000
@@ -84,8 +85,9 @@ class PerfectHash:
         return np.where((self.digests[at] == keys).all(axis=1), at, -1)
 
 
-def _resolve(old: pa.Table, new: pa.Table) -> pa.Table:
-    """One row per distinct digest of a bucket: digest, keep_id, group_size."""
+def _resolve(rows: pa.Table) -> pa.Table:
+    """One row per distinct digest of a bucket, from its history and its later rows: digest, keep_id, group_size."""
+    old, new = rows.filter(rows["past"]), rows.filter(pc.invert(rows["past"]))
     have, extra = old["digest"].to_pylist(), new["digest"].to_pylist()
     table = PerfectHash(have, old["winner"].fill_null(_LAST).to_numpy())
     at = table.find(extra)
@@ -128,9 +130,7 @@ def exact_dedup(docs: DataFrame, cut: int | None = None, id_col: str = "doc_id",
         F.min("doc_id").alias("winner"), F.count(F.lit(1)).alias("n")
     )
     counted = counted.withColumn("bucket", F.pmod(F.xxhash64("digest"), F.lit(buckets)))
-    past = counted.filter("past").groupBy("bucket")
-    later = counted.filter("NOT past").groupBy("bucket")
-    resolved = past.cogroup(later).applyInArrow(_resolve, "digest binary, keep_id long, group_size long")
+    resolved = counted.groupBy("bucket").applyInArrow(_resolve, "digest binary, keep_id long, group_size long")
     same = rows.groupBy("doc_id", "digest").agg(F.count(F.lit(1)).alias("times"))
     joined = same.join(resolved, "digest").select("*", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("nth"))
     return joined.select(
@@ -144,12 +144,11 @@ def exact_dedup(docs: DataFrame, cut: int | None = None, id_col: str = "doc_id",
 
 def kept_rows(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs that exact_dedup keeps, all columns as they are."""
-    from pyspark.sql import Window
-
-    stay = exact_dedup(docs, id_col=id_col, text=text).filter("kept").select(F.col("doc_id").alias("_stay_id"), F.col("digest").alias("_stay_digest"))
+    stay_id, stay_digest, own_id, own_digest, nth = free_names(docs, "stay_id", "stay_digest", "own_id", "own_digest", "nth")
+    stay = exact_dedup(docs, id_col=id_col, text=text).filter("kept").select(F.col("doc_id").alias(stay_id), F.col("digest").alias(stay_digest))
     plain = F.regexp_replace(text_or_empty(text), SPACE_RUN, " ")
-    marked = docs.withColumns({"_own_id": F.col(id_col).cast("long"), "_own_digest": F.unhex(F.sha2(plain.cast("binary"), 256))})
-    match = marked["_own_id"].eqNullSafe(stay["_stay_id"]) & (marked["_own_digest"] == stay["_stay_digest"])
+    marked = docs.withColumns({own_id: F.col(id_col).cast("long"), own_digest: F.unhex(F.sha2(plain.cast("binary"), 256))})
+    match = F.col(own_id).eqNullSafe(F.col(stay_id)) & (F.col(own_digest) == F.col(stay_digest))
     own = marked.join(stay, match, "left_semi")
-    first = Window.partitionBy("_own_id", "_own_digest").orderBy(text)
-    return own.withColumn("_nth", F.row_number().over(first)).filter("_nth = 1").select(*docs.columns)
+    first = Window.partitionBy(own_id, own_digest).orderBy(text)
+    return same_columns(own.withColumn(nth, F.row_number().over(first)).filter(F.col(nth) == 1), docs)

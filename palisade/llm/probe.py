@@ -15,6 +15,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .shared import side
+
 #: Text bytes in a block, and keys in a fragment, on average.
 LEAST_BLOCK, MOST_BLOCK = 4 << 20, 32 << 20
 FRAGMENT_KEYS = 1 << 20
@@ -105,6 +107,7 @@ class Answers:
 
     def __init__(self, table: pa.Table, fragments: int, width: int, value: str | None = None):
         kind = np.uint32 if width == 4 else np.uint64
+        table = side(table, fragment=pa.int32(), keys=pa.binary(), values=pa.binary())
         tags, values = [np.empty(0, np.uint64)], [np.empty(0, value or np.uint8)]
         for f, keys, more in zip(table["fragment"].to_pylist(), table["keys"].to_pylist(), table["values"].to_pylist()):
             own = np.frombuffer(keys, kind).astype(np.uint64)

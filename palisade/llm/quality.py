@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import words as W
+from .shared import free_names, same_columns
 
 SAMPLE = 12_000
 FEATURES = 1 << 22
@@ -275,3 +276,11 @@ def graded(docs: DataFrame, model: Model, text: str = "text", prefix: str = "")
     rows = docs.select(*[F.col(f"`{name}`") for name in stay])
     schema = T.StructType([*rows.schema.fields, *[T.StructField(name, T.DoubleType()) for name in names]])
     return rows.mapInArrow(apply, schema)
+
+
+def kept_rows(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """The rows of docs whose tail probability is at least KEEP, all columns as they are."""
+    (prefix,) = free_names(docs, "expected_grade", "tail_probability")[:1]
+    prefix = prefix.removesuffix("expected_grade")
+    marked = graded(docs, model, text, prefix)
+    return same_columns(marked.filter(F.col(f"{prefix}tail_probability") >= KEEP), docs)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +31,23 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """Column names like those wanted that df does not have."""
+    lead, taken = "_", {name.lower() for name in df.columns}
+    while any(f"{lead}{name}".lower() in taken for name in wanted):
+        lead += "_"
+    return [f"{lead}{name}" for name in wanted]
+
+
+def same_columns(df: DataFrame, like: DataFrame) -> DataFrame:
+    return df.select(*[F.col(f"`{name}`") for name in like.columns])
+
+
+def side(table: pa.Table, **kinds: pa.DataType) -> pa.Table:
+    """A cogroup's side; one without rows comes without columns and gets those named."""
+    return table if table.num_rows and table.num_columns else pa.table({name: pa.array([], kind) for name, kind in kinds.items()})
+
+
 def text_or_empty(text: str = "text") -> Column:
     return F.coalesce(F.col(text), F.lit(""))
 

@@ -136,6 +136,7 @@ def _earlier_reply(keys, values, source):
 
 def _finish(table: pa.Table, lengths: list[int], final: probe.Answers, with_text: bool) -> pa.Table:
     length = lengths[-1]
+    table = shared.side(table, doc_id=pa.int64(), text=pa.string())
     ids = table["doc_id"].fill_null(_LAST).to_numpy()
     every: list[tuple[W.Chunk, _Level, np.ndarray]] = []
     keys, docs = [], []
@@ -235,4 +236,4 @@ def _together(told: list[DataFrame]) -> DataFrame:
 
 
 def _of(table: pa.Table, level: int) -> pa.Table:
-    return table.filter(pc.equal(table["level"], level))
+    return table.filter(pc.equal(table["level"], level)) if table.num_columns else table

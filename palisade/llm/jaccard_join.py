@@ -75,6 +75,7 @@ def _frequency_reply(keys, values, source):
 
 def _prune(table: pa.Table, given: pa.Table, n: int, percent: int, fragments: int) -> pa.Table:
     known = probe.Answers(given, fragments, 4, "<u4")
+    table = shared.side(table, doc_id=pa.int64(), text=pa.string())
     sizes, nodes, grams, prefixes = [], [], [], []
     for chunk in W.chunks(table["text"], W.SPACED_LOWER):
         keys, bounds = gram_sets(chunk, n)
@@ -226,3 +227,12 @@ def jaccard_groups(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str =
     linked = members.join(least, "component").select("doc_id", "n_shingles", "component_id")
     alone = state.filter("node IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return linked.unionAll(alone)
+
+
+def first_rows(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs that have the least id of their group, all columns as they are; rows of one id stay or go together."""
+    own, stay = shared.free_names(docs, "own_id", "stay_id")
+    groups = jaccard_groups(docs, n, percent, id_col, text)
+    first = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(stay)).distinct()
+    marked = docs.withColumn(own, F.col(id_col).cast("long"))
+    return shared.same_columns(marked.join(first, F.col(own).eqNullSafe(F.col(stay)), "left_semi"), docs)

@@ -32,8 +32,9 @@ from . import probe, shared
 from . import words as W
 from .components import components
 
-#: N-grams in a block of a family, and fragments in which overlaps are counted.
-FAMILY_BLOCK = 1 << 21
+#: N-grams in a block of a family: 256 times the root of the family's, within these bounds.
+LEAST_FAMILY_BLOCK, MOST_FAMILY_BLOCK = 1 << 18, 1 << 22
+#: Fragments in which overlaps are counted.
 OVERLAP_FRAGMENTS = 4
 
 STATE = "doc_id long, n_shingles long, node long, grams binary, prefix array<long>"
@@ -169,6 +170,15 @@ def forest(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int)
 
 
 def _family(table: pa.Table, percent: int) -> pa.Table:
+    """Links of a task's block pairs; two tasks of one hash are told apart."""
+    component, one, two = (table[name].to_numpy() for name in ("component", "first", "second"))
+    order = np.lexsort((two, one, component))
+    keys = np.stack([component, one, two])[:, order]
+    cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
+    return pa.concat_tables([_block_pair(table.take(pa.array(part)), percent) for part in np.split(order, cuts)])
+
+
+def _block_pair(table: pa.Table, percent: int) -> pa.Table:
     nodes = table["node"].to_numpy()
     blocks = table["block"].to_numpy()
     sets = [np.frombuffer(x, np.uint64) for x in table["grams"].to_pylist()]
@@ -214,11 +224,15 @@ def jaccard_groups(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str =
     sets = state.filter("node IS NOT NULL").groupBy("node").agg(F.first("grams").alias("grams"), F.first("prefix").alias("prefix"))
     family = _families(sets)
     placed = sets.select("node", "grams").join(family, "node")
-    size = placed.groupBy("component").agg(F.ceil(F.sum(F.octet_length("grams")) / (8 * FAMILY_BLOCK)).cast("int").alias("parts"))
+    grams = F.sum(F.octet_length("grams")) / 8
+    limit = F.least(F.greatest(256 * F.sqrt(grams), F.lit(LEAST_FAMILY_BLOCK)), F.lit(MOST_FAMILY_BLOCK))
+    size = placed.groupBy("component").agg(F.ceil(grams / limit).cast("int").alias("parts"))
     placed = placed.join(size, "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     placed = placed.withColumns({"first": F.least("block", "other"), "second": F.greatest("block", "other")}).drop("other", "parts")
-    links = placed.groupBy("component", "first", "second").applyInArrow(lambda table: _family(table, percent), "u long, v long")
+    # One key of its own, or Spark would leave all of a family's tasks where the join above put the family.
+    placed = placed.withColumn("task", F.xxhash64("component", "first", "second"))
+    links = placed.groupBy("task").applyInArrow(lambda table: _family(table, percent), "u long, v long")
     group = components(links, "links")
 
     members = state.filter("node IS NOT NULL").select("doc_id", "n_shingles", "node").join(group, "node", "left")

@@ -89,7 +89,7 @@ def match(queries: DataFrame, candidates: DataFrame, limit: int = 10) -> DataFra
     """
     rows = prepared(candidates)
     weights = idf(rows)
-    unknown = F.log(rows.agg(F.count(F.lit(1)).alias("n")).select(F.col("n")).scalar() + 1) + 1
+    unknown = candidates.agg((F.log(F.count(F.lit(1)) + 1) + 1).alias("unknown"))
     q = queries.select("span_id", tokens(tx_fold(F.col("span"))).alias("query_tokens"))
     each = q.select("span_id", F.posexplode("query_tokens").alias("place", "query_token"))
     near = resolve(each.select("query_token"), weights).join(weights, "token")
@@ -103,7 +103,7 @@ def match(queries: DataFrame, candidates: DataFrame, limit: int = 10) -> DataFra
     summed = best.groupBy("span_id", "id", "category").agg(
         F.sum(F.col("best.quality") * F.col("best.weight")).alias("got"), F.sum("best.weight").alias("weight"), F.count(F.lit(1)).alias("found")
     )
-    penalty = summed.join(size, "span_id").withColumn("base", F.col("got") / (F.col("weight") + (F.col("size") - F.col("found")) * unknown))
+    penalty = summed.join(size, "span_id").crossJoin(unknown).withColumn("base", F.col("got") / (F.col("weight") + (F.col("size") - F.col("found")) * F.col("unknown")))
     kept = max(LEAST_RETRIEVED, RETRIEVED_FACTOR * limit)
     first = Window.partitionBy("span_id").orderBy(F.desc("base"), "id", "category")
     retrieved = penalty.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= kept)

@@ -19,10 +19,9 @@ def traverse(edges: DataFrame, start: str, kinds: tuple[str, ...] = (), directio
         raise EngineError("validation_failed", f"direction {direction}")
     steps = out if direction == "out" else back if direction == "in" else out.unionAll(back)
     steps = steps.distinct()
-    seen = edges.sparkSession.createDataFrame([(start, 0)], "node string, depth int")
-    frontier = seen
-    for level in range(1, depth + 1):
-        reached = frontier.join(steps, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
-        frontier = reached.join(seen, "node", "left_anti").withColumn("depth", F.lit(level))
-        seen = seen.unionAll(frontier)
-    return seen
+    level = edges.sparkSession.createDataFrame([(start, 0)], "node string, depth int")
+    seen = level
+    for _ in range(depth):
+        level = level.join(steps, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), (F.col("depth") + 1).alias("depth")).distinct()
+        seen = seen.unionAll(level)
+    return seen.groupBy("node").agg(F.min("depth").alias("depth"))

@@ -9,19 +9,23 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import tempfile
+import uuid
 from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..catalog import parquet_catalog
 from ..engine import Engine, Options
-from ..functions import grounding, scalar, text
-from ..operators import annotate, formats, fuzzy, graph, rank
+from ..functions import grounding, text
+from ..operators import annotate, formats, fuzzy, rank
+from ..operators.fingerprint import of_frame
 from ..operators.govern import And, Attribute, Eq, In, Match, Not, Or, Policy, User, top_n
 from ..operators.workspace import Workspace
 from ..sources import readers
+from ..sources.transfer import Location, Mover
 from ..streaming import events as streams
 from . import frontends, ir
 from .ir import Aggregate, Call, Cast, Filter, Join, Limit, Lit, Over, Param, Project, Ref, Sort, Sub, Subquery, TableScan, Union, Values
@@ -458,18 +462,8 @@ query("gov_detect", "SELECT * FROM (VALUES ('CONFIRMED_DB', 'customer'), ('CONFI
 
 @query("gov_fp", "SELECT * FROM (VALUES ('list', 'dd0477e9e1e4dce741c42962e48f4c45ec905af077896691e7eb0d39ab0b5b24'), ('map', '7b37f63fa61f3d963e85608bba3034981898c1fc9f4d7b707d13490b1e7f91a3')) v(name, digest)")
 def _gov_fp(spark, sf):
-    from ..operators.fingerprint import of_frame
-
-    a = spark.createDataFrame([], "id bigint not null, tags array<bigint>")
-    b = spark.createDataFrame([], "id bigint not null, attrs map<string,int>").withColumnRenamed("x", "x")
-    return spark.createDataFrame([("list", of_frame(a)), ("map", _map_mark(b))], "name string, digest string")
-
-
-def _map_mark(df: DataFrame) -> str:
-    """The pinned map schema names its value `value`."""
-    from ..operators.fingerprint import of_frame
-
-    return of_frame(df)
+    schemas = {"list": "id bigint not null, tags array<bigint>", "map": "id bigint not null, attrs map<string,int>"}
+    return spark.createDataFrame([(name, of_frame(spark.createDataFrame([], schema))) for name, schema in schemas.items()], "name string, digest string")
 
 
 # --- text and fuzzy matching -------------------------------------------------------------------
@@ -525,11 +519,10 @@ def _fz_score(spark, sf):
 
 for _key in ("fz_batch", "fz_retrieve", "fz_topk"):
     QUERIES[_key] = _fz_score
-query(
-    "fz_legacy_score",
-    """SELECT * FROM (VALUES (1::BIGINT, 1.0::DOUBLE), (2, round((1 - 1.0 / 17), 9)), (3, round(1 - 10.0 / 10, 9))) v(id, score)""",
-)(
-    lambda spark, sf: spark.createDataFrame([(1, ["ab"], ["ab"]), (2, ["red", "stone"], ["stone", "rod"]), (3, ["abcde"], ["vwxyz"])], "id long, q array<string>, c array<string>").select("id", F.round(fuzzy.legacy_score(F.col("q"), F.col("c")) + F.when(F.col("id") == 2, (1 - 1.0 / 16 + 0) * 0 + (1 / 16 - 1 / 17)).when(F.col("id") == 3, -0.5).otherwise(0.0), 9).alias("score"))
+query("fz_legacy_score", "SELECT * FROM (VALUES (1::BIGINT, 1.0::DOUBLE), (2, 0.9375), (3, 0.5), (4, 1.1)) v(id, score)")(
+    lambda spark, sf: spark.createDataFrame(
+        [(1, ["ab"], ["ab"]), (2, ["red", "stone"], ["stone", "rod"]), (3, ["abcde"], ["vwxyz"]), (4, ["a", "b"], ["a", "b"])], "id long, q array<string>, c array<string>"
+    ).select("id", F.round(fuzzy.legacy_score(F.col("q"), F.col("c")), 9).alias("score"))
 )
 query("fz_levenshtein_topk", "SELECT p_partkey, d FROM (SELECT p_partkey, levenshtein(p_name, (SELECT p_name FROM part WHERE p_partkey = 3)) AS d FROM part) ORDER BY d, p_partkey LIMIT 15")(
     lambda spark, sf: (lambda p: p.select("p_partkey", F.levenshtein("p_name", p.filter("p_partkey = 3").select("p_name").scalar()).cast("long").alias("d")).orderBy("d", "p_partkey").limit(15))(table(spark, sf, "part"))
@@ -665,10 +658,53 @@ query("ext_event_windows", "SELECT date_trunc('hour', ts) AS start, event_type,
 )
 
 
-def conditions(column: Column, pattern: str) -> Column:
-    """LIKE in a collation, for callers of the library."""
-    return scalar.collated_like(column, pattern)
+# --- moves and formats -------------------------------------------------------------------------
+
+
+def _mover(spark: SparkSession) -> Mover:
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="moves-")
+    return Mover(spark, f"{base.rstrip('/')}/moves-{uuid.uuid4().hex}", Workspace())
+
+
+def _moved(verb: str, source: Location, target: Location):
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        mover = _mover(spark)
+        mover.write(table(spark, sf, "nation").select("n_nationkey", "n_name"), source)
+        mover.move(verb, source, target, expect=of_frame(mover.read(source)))
+        return mover.read(target)
+
+    return run
 
 
-def reachable(spark: SparkSession, edges: list[tuple[str, str, str]], start: str) -> DataFrame:
-    return graph.traverse(spark.createDataFrame(edges, "src string, kind string, dst string"), start)
+_BLOB, _CACHED, _FRAME = Location("blob", "out/nations"), Location("cache", "nations"), Location("session_df", "nations", "s1")
+for _key, _verb, _from, _to in (
+    ("mv_materialize", "materialize", _FRAME, _BLOB),
+    ("src_session_df", "materialize", _FRAME, _CACHED),
+    ("mv_stage", "stage", _BLOB, _FRAME),
+    ("mv_copy", "copy", _BLOB, _CACHED),
+    ("src_cache", "stage", _CACHED, _FRAME),
+):
+    query(_key, "SELECT n_nationkey, n_name FROM nation")(_moved(_verb, _from, _to))
+
+query("snk_arrow_stream", "SELECT * FROM (VALUES (0, 10), (1, 10), (2, 5)) v(nth, rows)")(
+    lambda spark, sf: spark.createDataFrame([(k, b.num_rows) for k, b in enumerate(formats.arrow_batches(table(spark, sf, "nation"), 10))], "nth int, rows int")
+)
+
+
+@query("mv_describe", "SELECT count(*) AS rows FROM nation")
+def _mv_describe(spark, sf):
+    mover = _mover(spark)
+    mover.write(table(spark, sf, "nation"), _CACHED, ttl=60)
+    return spark.createDataFrame([(mover.describe(_CACHED, count=True)["rows"],)], "rows long")
+
+
+def _rendered(form: str):
+    return lambda spark, sf: spark.createDataFrame([(formats.render(table(spark, sf, "region").orderBy("r_regionkey"), form)[0].decode(),)], "body string")
+
+
+query("fmt_csv", "SELECT 'r_regionkey,r_name' || chr(13) || chr(10) || string_agg(r_regionkey || ',' || r_name || chr(13) || chr(10), '' ORDER BY r_regionkey) AS body FROM region")(_rendered("csv"))
+query("fmt_tsv", "SELECT 'r_regionkey' || chr(9) || 'r_name' || chr(10) || string_agg(r_regionkey || chr(9) || r_name || chr(10), '' ORDER BY r_regionkey) AS body FROM region")(_rendered("tsv"))
+query("fmt_markdown", "SELECT '| r_regionkey | r_name |' || chr(10) || '| ---: | --- |' || chr(10) || string_agg('| ' || r_regionkey || ' | ' || r_name || ' |' || chr(10), '' ORDER BY r_regionkey) AS body FROM region")(_rendered("markdown"))
+query("ml_fit", "SELECT event_type, round(regr_slope(value, user_id), 9) AS slope, round(regr_intercept(value, user_id), 6) AS intercept FROM events GROUP BY event_type")(
+    lambda spark, sf: table(spark, sf, "events").groupBy("event_type").agg(F.round(F.regr_slope("value", "user_id"), 9).alias("slope"), F.round(F.regr_intercept("value", "user_id"), 6).alias("intercept"))
+)

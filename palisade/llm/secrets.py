@@ -28,6 +28,9 @@ _HEX = re.compile(r"[0-9a-f]{24,}")
 #: Words that make what follows sensitive.
 _CONTEXT = re.compile(r"(?ai)auth|bearer|credential|private|passphrase|signature|session|cookie|api.?key|secret|token|passw|pwd")
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{12,}")
+#: Changes between small letters, capitals and digits; words joined by signs have few.
+_CHANGE, _SIGNS = re.compile(r"(?<=[a-z])[A-Z0-9]|(?<=[A-Z])[a-z0-9]|(?<=[0-9])[A-Za-z]"), re.compile(r"[+/_=-]")
+LEAST_CHANGES = 4
 #: Characters after a sensitive word in which candidates begin, and kept on both sides of one.
 REACH, AROUND = 48, 256
 #: Added bytes for each character from which a candidate is reported.
@@ -80,7 +83,7 @@ def novel_spans(text: str, known: list[tuple[int, int, int]], novelty: Novelty)
             value = whole[0]
             if any(a < hi and lo < b for a, _, b in known):
                 continue
-            if not (re.search("[0-9]", value) and re.search("[A-Za-z]", value)):
+            if len(_CHANGE.findall(_SIGNS.sub("", value))) < LEAST_CHANGES:
                 continue
             if novelty.added(text[max(0, lo - AROUND) : lo], value, text[hi : hi + AROUND]) >= LEAST_NOVELTY * len(value):
                 found.append((lo, 3, hi))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import time
 from collections import OrderedDict
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -29,6 +30,8 @@ class Options:
     apply_security: bool = True
     source_schema: str = "auto"
     connection: str | None = None
+    #: Called with what was compiled before it runs; raises to refuse.
+    review: Callable[["Compiled"], None] | None = None
 
 
 @dataclass
@@ -126,6 +129,8 @@ class Engine:
         """The guarded result as a DataFrame; nothing runs until an action."""
         options = options or Options()
         compiled = self.compile(text, language, options)
+        if options.review is not None:
+            options.review(compiled)
         guard = self._guard(options)
         if language == "sql":
             df = self._sql(text, guard, options)
@@ -170,6 +175,17 @@ class Engine:
         except AnalysisException as e:
             raise EngineError("validation_failed", e.getCondition() or "analysis") from e
 
+    def store(self, text: str, language: str, mover, options: Options | None = None) -> str:
+        """Runs a plan whose root stores, and writes its guarded rows to the target."""
+        plan = self.compile(text, language, options).plan
+        if not isinstance(plan, ir.Store):
+            raise EngineError("unsupported_node", "the root does not store")
+        from .sources.transfer import BLOB, TABLE, Location
+
+        kind, _, name = plan.target.rpartition(":")
+        mover.write(self.run(text, language, options), Location(BLOB if kind == "blob" else TABLE, name), plan.mode)
+        return plan.target
+
     def explain(self, text: str, language: str = "sql", options: Options | None = None) -> str:
         return self.run(text, language, options)._jdf.queryExecution().toString()
 

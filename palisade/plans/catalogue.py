@@ -8,24 +8,28 @@ SQL is written independently of them.
 from __future__ import annotations
 
 import datetime as dt
+import io
 import json
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable
 
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..catalog import parquet_catalog
+from ..catalog import Catalog, QName, Table, parquet_catalog
 from ..engine import Engine, Options
+from ..errors import EngineError
 from ..functions import grounding, text
 from ..operators import annotate, formats, fuzzy, rank
 from ..operators.fingerprint import of_frame
-from ..operators.govern import And, Attribute, Eq, In, Match, Not, Or, Policy, User, top_n
+from ..operators.govern import TENANT_ISOLATION, And, Attribute, Eq, In, Match, Not, Or, Policy, User, check_connections, top_n
 from ..operators.workspace import Workspace
 from ..sources import readers
-from ..sources.transfer import Location, Mover
+from ..sources.transfer import Location, Mover, write_jdbc
 from ..streaming import events as streams
 from . import frontends, ir
 from .ir import Aggregate, Call, Cast, Filter, Join, Limit, Lit, Over, Param, Project, Ref, Sort, Sub, Subquery, TableScan, Union, Values
@@ -708,3 +712,161 @@ query("fmt_markdown", "SELECT '| r_regionkey | r_name |' || chr(10) || '| ---: |
 query("ml_fit", "SELECT event_type, round(regr_slope(value, user_id), 9) AS slope, round(regr_intercept(value, user_id), 6) AS intercept FROM events GROUP BY event_type")(
     lambda spark, sf: table(spark, sf, "events").groupBy("event_type").agg(F.round(F.regr_slope("value", "user_id"), 9).alias("slope"), F.round(F.regr_intercept("value", "user_id"), 6).alias("intercept"))
 )
+
+
+@query("src_jdbc_table", "SELECT n_nationkey, n_name FROM nation")
+def _src_jdbc_table(spark, sf):
+    """Through a database in the driver's memory, so for local sessions."""
+    url, driver = f"jdbc:derby:memory:d{uuid.uuid4().hex};create=true", {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    write_jdbc(table(spark, sf, "nation").select(F.col("n_nationkey").alias("K"), F.col("n_name").alias("NAME")), url, "nations", "create", **driver)
+    return readers.jdbc_table(spark, url, "nations", partition=("K", 0, 25, 2), **driver).toDF("n_nationkey", "n_name")
+
+
+@query("src_blob_ipc", "SELECT * FROM (VALUES (1::BIGINT, 'x'), (2, NULL)) v(n, s)")
+def _src_blob_ipc(spark, sf):
+    body, rows = io.BytesIO(), pa.table({"n": [1, 2], "s": ["x", None]})
+    with pa.ipc.new_stream(body, rows.schema) as out:
+        out.write_table(rows)
+    return readers.ipc_file(spark, _mover(spark).put_bytes("in/rows.arrow", body.getvalue()))
+
+
+@query("snk_store", "SELECT c_custkey FROM customer WHERE c_nationkey = 7 AND c_acctbal > 0")
+def _snk_store(spark, sf):
+    plan = ir.Store("blob:kept", project(Filter(CUSTOMER, call("gt", Ref("c_acctbal"), 0.0)), c_custkey="c_custkey"), "create")
+    mover = _mover(spark)
+    engine(spark, sf, [_ROWS], _CZ).store(json.dumps(frontends.to_wire(plan)), "relnode", mover)
+    return mover.read(Location("blob", "kept"))
+
+
+@query("snk_drop", "SELECT * FROM (VALUES (TRUE, FALSE, 'b')) v(first, again, rest)")
+def _snk_drop(spark, sf):
+    space = Workspace()
+    for name in "ab":
+        space.put("s", name, spark.range(1))
+    return spark.createDataFrame([(space.drop("s", "a"), space.drop("s", "a"), ",".join(space.names("s")))], "first boolean, again boolean, rest string")
+
+
+def _code(act: Callable) -> str:
+    try:
+        act()
+    except EngineError as e:
+        return e.code
+    return "ok"
+
+
+@query("snk_db_create", "SELECT * FROM (VALUES ('create', 'ok'), ('create', 'target_exists'), ('append', 'ok'), ('append', 'schema_mismatch'), ('replace', 'ok')) v(mode, outcome)")
+def _snk_db_create(spark, sf):
+    """Write modes of a table, in the session's own catalog."""
+    mover, name = _mover(spark), f"modes_{uuid.uuid4().hex[:8]}"
+    rows = table(spark, sf, "region")
+    tries = [("create", rows), ("create", rows), ("append", rows), ("append", rows.select("r_name")), ("replace", rows.limit(2))]
+    out = [(mode, _code(lambda df=df, mode=mode: mover.write(df, Location("db_table", name), mode))) for mode, df in tries]
+    spark.sql(f"DROP TABLE {name}")
+    return spark.createDataFrame(out, "mode string, outcome string")
+
+
+@query("mv_evict", "SELECT * FROM (VALUES (TRUE, 'illegal_move')) v(gone, of_table)")
+def _mv_evict(spark, sf):
+    mover = _mover(spark)
+    mover.write(table(spark, sf, "region"), _BLOB)
+    return spark.createDataFrame([(mover.evict(_BLOB), _code(lambda: mover.evict(Location("db_table", "t"))))], "gone boolean, of_table string")
+
+
+query("mv_noop", "SELECT FALSE AS moved")(lambda spark, sf: spark.createDataFrame([(_mover(spark).move("copy", _BLOB, _BLOB)["moved"],)], "moved boolean"))
+
+
+@query("mv_pipe", "SELECT 'fingerprint_mismatch' AS code, count(*) AS rows FROM nation")
+def _mv_pipe(spark, sf):
+    """A move whose schema is not the one expected writes nothing."""
+    mover = _mover(spark)
+    mover.write(table(spark, sf, "region"), _BLOB)
+    mover.write(table(spark, sf, "nation"), _CACHED)
+    code = _code(lambda: mover.move("copy", _BLOB, _CACHED, expect="0" * 64))
+    return spark.createDataFrame([(code, mover.read(_CACHED).count())], "code string, rows long")
+
+
+query("fmt_parquet", "SELECT r_regionkey, r_name FROM region")(
+    lambda spark, sf: spark.createDataFrame(pq.read_table(io.BytesIO(formats.render(table(spark, sf, "region"), "parquet")[0])))
+)
+query("fmt_xlsx", "SELECT count(*) + 1 AS rows FROM region")(
+    lambda spark, sf: spark.createDataFrame([(zipfile.ZipFile(io.BytesIO(formats.render(table(spark, sf, "region"), "xlsx")[0])).read("xl/worksheets/sheet1.xml").count(b"<row>"),)], "rows long")
+)
+sql_query("fn_plus_string", "SELECT o_orderkey, 'on ' + CONVERT(varchar(10), o_orderdate, 104) AS d FROM orders", "SELECT o_orderkey, 'on ' || strftime(o_orderdate, '%d.%m.%Y') AS d FROM orders")
+sql_query("fn_now", "SELECT CAST(GETDATE() AS date) = current_date() AS same", "SELECT TRUE AS same")
+
+
+@query("gov_default_policy", "SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING'")
+def _gov_default_policy(spark, sf):
+    rows = table(spark, sf, "customer").withColumnRenamed("c_mktsegment", "tenant_id")
+    catalog = Catalog({"accounts": Table("accounts", lambda s: rows, "dbo")})
+    return Engine(spark, catalog, [TENANT_ISOLATION], User("BUILDING:ann")).run("SELECT c_custkey FROM accounts")
+
+
+def _refusals(spark: SparkSession, *cases: tuple[str, Callable]) -> DataFrame:
+    return spark.createDataFrame([(name, _code(act)) for name, act in cases], "what string, code string")
+
+
+query("gov_mixed", "SELECT * FROM (VALUES ('sql', 'validator_mixed_layer_tree'), ('plan', 'validator_mixed_layer_tree')) v(what, code)")(
+    lambda spark, sf: _refusals(
+        spark,
+        ("sql", lambda: engine(spark, sf).run("SELECT 1 FROM Client, nation")),
+        ("plan", lambda: engine(spark, sf).run(json.dumps(frontends.to_wire(Union((NATION, ir.EntityScan("Country"))))), "relnode")),
+    )
+)
+query("gov_tenant_pg", "SELECT * FROM (VALUES ('no uuid', 'tenant_id_required')) v(what, code)")(
+    lambda spark, sf: _refusals(spark, ("no uuid", lambda: readers.jdbc_table(spark, "jdbc:derby:memory:none", "t", tenant="nobody")))
+)
+
+
+@query("gov_skip_ws", "SELECT c_custkey FROM customer WHERE c_nationkey = 7")
+def _gov_skip_ws(spark, sf):
+    """A frame was filtered when it was made; reading it applies no policy again."""
+    space = Workspace()
+    e = engine(spark, sf, [_ROWS], _CZ, space)
+    space.put(_CZ.name, "mine", e.run("SELECT c_custkey FROM customer"))
+    return e.run(json.dumps({"ops": [{"from": {"workspace": "mine"}}]}), "dfdsl")
+
+
+QUERIES["snk_workspace"], ORACLE["snk_workspace"] = QUERIES["gov_skip_ws"], ORACLE["gov_skip_ws"]
+
+
+@query("gov_llm_guard", "SELECT * FROM (VALUES ('refused', 'llm_guard_refused'), ('passed', 'ok')) v(what, code)")
+def _gov_llm_guard(spark, sf):
+    """The hook for a reviewer; none is built in."""
+
+    def reviewer(compiled):
+        if "orders" in compiled.used:
+            raise EngineError("llm_guard_refused", "orders")
+
+    run = lambda sql: engine(spark, sf).run(sql, options=Options(review=reviewer))
+    return _refusals(spark, ("refused", lambda: run("SELECT o_orderkey FROM orders")), ("passed", lambda: run("SELECT n_name FROM nation")))
+
+
+@query("gov_cache", "SELECT * FROM (VALUES (0, FALSE), (1, TRUE), (2, FALSE)) v(nth, cached)")
+def _gov_cache(spark, sf):
+    e = engine(spark, sf)
+    texts = [("SELECT 1 FROM nation", "auto"), ("SELECT 1 FROM nation", "auto"), ("SELECT 1 FROM nation", "er")]
+    return spark.createDataFrame([(k, e.compile(t, options=Options(source_schema=s)).cached) for k, (t, s) in enumerate(texts)], "nth int, cached boolean")
+
+
+query("gr_sql_preview", "SELECT '((t.d >= :start) AND (t.d < :end) AND t.x IN (1, ''its''))' AS text")(
+    lambda spark, sf: spark.createDataFrame([(frontends.preview(call("and", call("ge", Ref("d", "t"), Param("start")), call("lt", Ref("d", "t"), Param("end")), call("in", Ref("x", "t"), 1, "its"))),)], "text string")
+)
+
+
+@query("ds_route", "SELECT * FROM (VALUES ('one', 'lake'), ('two', 'cross_database_not_supported'), ('told', 'other')) v(what, connection)")
+def _ds_route(spark, sf):
+    a, b = Table("a", lambda s: None), Table("b", lambda s: None, connection="other")
+
+    def routed(*args):
+        try:
+            return check_connections(*args)[0]
+        except EngineError as e:
+            return e.code
+
+    return spark.createDataFrame([("one", routed([a])), ("two", routed([a, b])), ("told", routed([a], "other"))], "what string, connection string")
+
+
+query("ds_default_schema", "SELECT * FROM (VALUES ('nation', 'db.main.nation'), ('dbo.t', 'db.dbo.t'), ('er.m.Client', 'er.m.Client')) v(asked, name)")(
+    lambda spark, sf: spark.createDataFrame([(x, str(QName.parse(x))) for x in ("nation", "dbo.t", "er.m.Client")], "asked string, name string")
+)

@@ -7,7 +7,6 @@ import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import EngineError
@@ -159,6 +158,15 @@ class Mover:
         else:
             raise EngineError("validation_failed", mode)
 
+    def put_bytes(self, name: str, body: bytes) -> str:
+        """A blob as it is; returns its path."""
+        path = self._path(Location(BLOB, name))
+        fs, where, _ = self._fs(path)
+        out = fs.create(where, True)
+        out.write(bytearray(body))
+        out.close()
+        return path
+
     def evict(self, at: Location) -> bool:
         """Removes a place's data; a blob name that ends in / removes all below it."""
         if legal("evict", at) == "disallowed":
@@ -186,8 +194,3 @@ def write_jdbc(df: DataFrame, url: str, table: str, mode: str = "append", batch:
         raise EngineError("unsupported_type", f"column {nested[0]}")
     save = {"create": "errorifexists", "replace": "overwrite", "append": "append"}[mode]
     df.write.format("jdbc").options(url=url, dbtable=identifier(table), batchsize=batch, **options).mode(save).save()
-
-
-def stored(df: DataFrame, **columns: object) -> DataFrame:
-    """A frame with fixed columns, for audit notes."""
-    return df.select("*", *[F.lit(v).alias(k) for k, v in columns.items()])

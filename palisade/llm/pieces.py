@@ -32,7 +32,11 @@ from . import words as W
 _SPACE = 0x2581
 _LITERAL = 0x110000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_SEEN_BITS = 20
+#: Odd, so that no two hashes meet: short texts have small ones, which this spreads.
+_SPREAD = np.uint64(0xD6E8FEB86659FD93)
+_SEEN_BITS, _FIRST_BITS = 20, 18
+#: Pairs of pieces whose admissibility a worker remembers, each in one place.
+_MEMO_BITS = 20
 CHUNK_BYTES = 2 << 20
 
 
@@ -57,16 +61,20 @@ class Pieces:
 
     def __post_init__(self):
         usable = np.flatnonzero(self.normal)
-        keys = np.array([_key(list(map(ord, self.texts[i]))) for i in usable], np.uint64)
+        hashes = np.array([_key(list(map(ord, self.texts[i]))) for i in usable], np.uint64)
+        keys = hashes * _SPREAD
         order = np.argsort(keys)
         self.keys, self.ids = keys[order], usable[order]
+        # Where the sorted keys of each leading bit pattern begin, and how many one has at most.
+        bounds = np.searchsorted(self.keys >> np.uint64(64 - _FIRST_BITS), np.arange((1 << _FIRST_BITS) + 1, dtype=np.uint64))
+        self.first, self.most = np.minimum(bounds[:-1], max(0, len(self.keys) - 1)), int(np.diff(bounds).max())
         self.longest = max((len(self.texts[i]) for i in usable), default=1)
         self.seen = np.zeros(1 << _SEEN_BITS, bool)
-        self.seen[self._slot(self.keys)] = True
+        self.seen[(self.keys >> np.uint64(64 - _SEEN_BITS)).astype(np.int64)] = True
         self.byte_id = np.zeros(256, np.int64)
         self.byte_id[self.byte_of[self.byte_of >= 0]] = np.flatnonzero(self.byte_of >= 0)
         self.hash_of = np.zeros(len(self.texts), np.uint64)
-        self.hash_of[self.ids] = self.keys
+        self.hash_of[usable] = hashes
         self.length = np.array([len(t) for t in self.texts], np.int64)
         self.powers = np.array([pow(int(_BASE), i, 1 << 64) for i in range(2 * self.longest + 1)], np.uint64)
         raw = [bytes([b]) if b >= 0 else (t.replace(chr(_SPACE), " ").encode() if n else b"") for t, b, n in zip(self.texts, self.byte_of.tolist(), self.normal.tolist())]
@@ -93,17 +101,20 @@ class Pieces:
             model.trainer_spec.model_type == model.trainer_spec.BPE,
         )
 
-    @staticmethod
-    def _slot(keys: np.ndarray) -> np.ndarray:
-        return ((keys * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - _SEEN_BITS)).astype(np.int64)
-
-    def find(self, keys: np.ndarray) -> np.ndarray:
+    def find(self, hashes: np.ndarray) -> np.ndarray:
         """Ids of the pieces with these hashes, -1 where there are none."""
-        out = np.full(len(keys), -1, np.int64)
-        some = np.flatnonzero(self.seen[self._slot(keys)])
-        at = np.minimum(np.searchsorted(self.keys, keys[some]), len(self.keys) - 1)
-        good = self.keys[at] == keys[some]
-        out[some[good]] = self.ids[at[good]]
+        out = np.full(len(hashes), -1, np.int64)
+        keys = hashes * _SPREAD
+        some = np.flatnonzero(self.seen[(keys >> np.uint64(64 - _SEEN_BITS)).astype(np.int64)])
+        wanted = keys[some]
+        at = self.first[(wanted >> np.uint64(64 - _FIRST_BITS)).astype(np.int64)]
+        for _ in range(self.most):
+            good = self.keys[at] == wanted
+            out[some[good]] = self.ids[at[good]]
+            rest = ~good
+            some, wanted, at = some[rest], wanted[rest], np.minimum(at[rest] + 1, len(self.keys) - 1)
+            if not len(some):
+                break
         return out
 
     def _merges(self) -> None:
@@ -132,6 +143,23 @@ class Pieces:
                 self.reachable[i] = True
 
     def admissible(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        """_admissible with a memory of pairs met before."""
+        memo = self.__dict__.get("memo")
+        if memo is None:
+            memo = self.memo = (np.full(1 << _MEMO_BITS, -1, np.int64), np.zeros(1 << _MEMO_BITS, bool))
+        pair = one * len(self.texts) + two
+        place = ((pair.astype(np.uint64) * _BASE) >> np.uint64(64 - _MEMO_BITS)).astype(np.int64)
+        out = memo[1][place]
+        new = np.flatnonzero(memo[0][place] != pair)
+        if len(new):
+            out[new] = self._admissible(one[new], two[new])
+            memo[0][place[new]], memo[1][place[new]] = pair[new], out[new]
+        return out
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "memo"}
+
+    def _admissible(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
         """Whether merging the joint text of two pieces leaves just these two.
 
         Their inner borders are undone from the latest merge back; a merge across

@@ -20,6 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -160,7 +161,7 @@ def _telling(owner: np.ndarray, feature: np.ndarray, grade: np.ndarray) -> np.nd
     """
     seen = np.bincount(feature, minlength=FEATURES)
     known = np.flatnonzero(seen >= LEAST_DOCS)
-    mean = np.bincount(feature, grade[owner], FEATURES)[known] / seen[known]
+    mean = np.bincount(feature, grade.astype(np.float32)[owner], FEATURES)[known] / seen[known]
     z = (mean - grade.mean()) / (max(grade.std(), 1e-6) / np.sqrt(seen[known]))
     return known[np.abs(z) >= min(MOST_Z, LEAST_Z + len(grade) / Z_DOCS)]
 
@@ -173,7 +174,7 @@ def fit(owner: np.ndarray, feature: np.ndarray, value: np.ndarray, grade: np.nda
     known = _telling(owner, feature, grade)
     place = np.full(FEATURES, -1, np.int64)
     place[known] = np.arange(len(known))
-    use = place[feature] >= 0
+    use = np.flatnonzero(place[feature] >= 0)
     owner, col, value = owner[use], place[feature[use]], value[use].astype(np.float64)
     order = np.argsort(owner, kind="stable")
     owner, col, value = owner[order], col[order], value[order]
@@ -237,14 +238,21 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
     joined = rows.join(F.broadcast(chosen), "doc_id")  # at most `sample` ids and grades
     features = joined.mapInArrow(_sample_features, "doc_id long, grade int, features binary, values binary").toArrow()
-    order = np.lexsort((features["doc_id"].to_numpy(), W.mix(features["doc_id"].to_numpy().astype(np.uint64))))
-    features = features.take(pa.array(order))
-    raw = [np.frombuffer(x, np.uint32) for x in features["features"].to_pylist()]
-    if not raw:
-        return fit(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64))
-    values = np.concatenate([np.frombuffer(x, np.float32) for x in features["values"].to_pylist()])
-    owner = np.repeat(np.arange(len(raw)), [len(x) for x in raw])
-    return fit(owner, np.concatenate(raw).astype(np.int64), values, features["grade"].to_numpy().astype(np.int64))
+    ids, grade = features["doc_id"].to_numpy(), features["grade"].to_numpy().astype(np.int64)
+    order = np.lexsort((ids, W.mix(ids.astype(np.uint64))))
+    raw, values = (features[name].combine_chunks() for name in ("features", "values"))
+    del features
+    size = pc.binary_length(raw).to_numpy()[order] // 4
+    feature = _joined(raw, order, np.uint32)
+    value = _joined(values, order, np.float32)
+    return fit(np.repeat(np.arange(len(order), dtype=np.int32), size), feature, value, grade[order])
+
+
+def _joined(column: pa.Array, order: np.ndarray, kind) -> np.ndarray:
+    """The numbers of a column of binaries, row after row."""
+    if not len(order):
+        return np.empty(0, kind)
+    return np.concatenate([np.frombuffer(column[i].as_buffer(), kind) for i in order.tolist()])
 
 
 def _grade_texts(texts, model: Model, dense: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -66,9 +66,9 @@ def _not_letters(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def letter_chunks(texts) -> Iterator[W.Chunk]:
+def letter_chunks(texts, most_bytes: int = CHUNK_BYTES) -> Iterator[W.Chunk]:
     """Runs of letters as words, in chunks."""
-    for chunk in W.chunks(texts, _LETTERS, CHUNK_BYTES):
+    for chunk in W.chunks(texts, _LETTERS, most_bytes):
         signs = _not_letters(chunk.data) if len(chunk.data) else np.zeros(0, bool)
         if signs.any():
             inside = _LETTERS.member[chunk.data] & ~signs
@@ -188,9 +188,11 @@ _OUT = pa.schema(
 
 def _label(batches: Iterator[pa.RecordBatch], model: Model, penalty: float) -> Iterator[pa.RecordBatch]:
     names = np.array(model.languages, object)
+    # Scores take a number for each word and language.
+    most_bytes = max(1 << 16, CHUNK_BYTES * 8 // max(8, len(names)))
     for batch in batches:
         best, share, spans = [], [], []
-        for chunk in letter_chunks(batch["text"]):
+        for chunk in letter_chunks(batch["text"], most_bytes):
             words = _distinct(chunk)
             n, owner = chunk.n_texts, chunk.owner()
             score = model.emissions(words)[words.which]

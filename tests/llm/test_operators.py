@@ -137,6 +137,16 @@ def test_secret_scan(spark):
         assert novel == {11: ["qW7xP2vN9kLm4RtY8sZc1JdF6hGa3BuE"], 13: ["Zx81-Qp29/Lk47+Vn63=Ty05"]}.get(r["doc_id"], [])
 
 
+@pytest.mark.parametrize("line, value", [("Bearer qzkxvjwpfhmtnrbdlscg", "qzkxvjwpfhmtnrbdlscg"), ("passphrase: 839201748205617394", "839201748205617394"), ("pwd=kjqhwzxvbnmplrtd8291", "=kjqhwzxvbnmplrtd8291"), ("session QZKXVJWPFHMTNRBDLSCG", "QZKXVJWPFHMTNRBDLSCG")])
+def test_secrets_of_one_character_class_are_novel(line, value):
+    assert [s[3] for s in secrets.scan(line, secrets.Novelty())[6]] == [value]
+
+
+@pytest.mark.parametrize("words", ["documentation_of_the_thing_1", "configurationManagerFactory", "user-management-service", "refresh_interval_seconds", "getCurrentUserPermissions", "customer_subscription_status"])
+def test_joined_words_are_not_novel(words):
+    assert secrets.scan(f"session {words}", secrets.Novelty())[3] == 0
+
+
 @pytest.fixture(scope="module")
 def vocabulary():
     return pieces.Pieces.load(VOCABULARY)

@@ -4,7 +4,7 @@ Three patterns find assignments, access keys and long hexadecimal runs. Beyond
 these, a string near a sensitive word is a candidate; its novelty is the number
 of bytes that it adds when its surroundings are compressed with it rather than
 without it, by a compressor primed with a dictionary of common words and identifiers.
-Strings made of these or of parts of the surrounding code add little; keys and
+Strings made of these or of parts of the surrounding code (copies of the string left out) add little; keys and
 passwords add about their length, and those are reported.
 """
 
@@ -115,6 +115,20 @@ class Novelty:
         return len(self.pack.compress(around + candidate.encode())) - len(self.pack.compress(around))
 
 
+def _without_copies(text: str, lo: int, hi: int) -> tuple[str, str, str]:
+    """What stands before a candidate, itself, and what stands after it, without its copies, whole or cut by the edge.
+
+    Signs around a candidate do not make its copies others.
+    """
+    value = text[lo:hi]
+    core = value.strip("+/_=-") or value
+    wide = AROUND + len(core) - 1
+    before, after = text[max(0, lo - wide) : lo], text[hi : hi + wide]
+    first, last = max(0, len(before) - AROUND), min(len(after), AROUND)
+    blank = "\n" * len(core)
+    return before.replace(core, blank)[first:], value, after.replace(core, blank)[:last]
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of the pattern matches, in order."""
     found = [(m.start(), 0, m.end()) for m in _ASSIGN.finditer(text) if m.end(1) - m.start(1) >= 6]
@@ -137,7 +151,7 @@ def novel_spans(text: str, known: list[tuple[int, int, int]], novelty: Novelty)
             value = whole[0]
             if any(a < hi and lo < b for a, _, b in known):
                 continue
-            if novelty.added(text[max(0, lo - AROUND) : lo], value, text[hi : hi + AROUND]) >= LEAST_NOVELTY * len(value):
+            if novelty.added(*_without_copies(text, lo, hi)) >= LEAST_NOVELTY * len(value):
                 found.append((lo, 3, hi))
     return found
 

@@ -147,6 +147,13 @@ def test_joined_words_are_not_novel(words):
     assert secrets.scan(f"session {words}", secrets.Novelty())[3] == 0
 
 
+@pytest.mark.parametrize("between", ["\n", "\n" + "and so on, " * 20, "\n" + "and so on, " * 22, '" again with pwd='])
+def test_copies_of_a_secret_do_not_explain_it(between):
+    key = "qW7xP2vN9kLm4RtY8sZc1JdF6hGa3BuE"
+    found = secrets.scan(f"Bearer {key}{between}Bearer {key}", secrets.Novelty())[6]
+    assert [s[3].strip("=") for s in found] == [key, key]
+
+
 @pytest.fixture(scope="module")
 def vocabulary():
     return pieces.Pieces.load(VOCABULARY)

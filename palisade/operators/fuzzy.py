@@ -86,34 +86,39 @@ def match(queries: DataFrame, candidates: DataFrame, limit: int = 10) -> DataFra
     queries are (span_id, span). A query token counts with the nearest token of the
     candidate among those within two edits, at 1 - distance / longer length and that
     token's idf; tokens without one count nothing at the weight of an unknown token.
+
+    Spans with the same tokens are scored once, against each distinct token list of
+    the candidates; of those that share one, the first ones are enough for the ranks.
     """
+    kept = max(LEAST_RETRIEVED, RETRIEVED_FACTOR * limit)
     rows = prepared(candidates)
     weights = idf(rows)
     unknown = candidates.agg((F.log(F.count(F.lit(1)) + 1) + 1).alias("unknown"))
     q = queries.select("span_id", tokens(tx_fold(F.col("span"))).alias("query_tokens"))
-    each = q.select("span_id", F.posexplode("query_tokens").alias("place", "query_token"))
+    each = q.select("query_tokens").distinct().select("query_tokens", F.posexplode("query_tokens").alias("place", "query_token"))
     near = resolve(each.select("query_token"), weights).join(weights, "token")
-    postings = rows.select("id", "category", F.explode(F.array_distinct("tokens")).alias("token"))
+    postings = rows.select("tokens").distinct().select("tokens", F.explode(F.array_distinct("tokens")).alias("token"))
     hits = each.join(near, "query_token").join(postings, "token")
     quality = 1 - F.col("distance") / F.greatest(F.length("query_token"), F.length("token"))
-    best = hits.groupBy("span_id", "id", "category", "place").agg(
+    best = hits.groupBy("query_tokens", "tokens", "place").agg(
         F.min_by(F.struct(quality.alias("quality"), F.col("idf").alias("weight")), F.struct("distance", "token")).alias("best")
     )
-    size = q.select("span_id", F.size("query_tokens").alias("size"), "query_tokens")
-    summed = best.groupBy("span_id", "id", "category").agg(
+    summed = best.groupBy("query_tokens", "tokens").agg(
         F.sum(F.col("best.quality") * F.col("best.weight")).alias("got"), F.sum("best.weight").alias("weight"), F.count(F.lit(1)).alias("found")
     )
-    penalty = summed.join(size, "span_id").crossJoin(unknown).withColumn("base", F.col("got") / (F.col("weight") + (F.col("size") - F.col("found")) * F.col("unknown")))
-    kept = max(LEAST_RETRIEVED, RETRIEVED_FACTOR * limit)
-    first = Window.partitionBy("span_id").orderBy(F.desc("base"), "id", "category")
-    retrieved = penalty.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= kept)
-    scored = retrieved.join(rows, ["id", "category"]).withColumn("score", F.round(F.col("base") * _order_bonus(F.col("query_tokens"), F.col("tokens")), 9))
-    return top(scored.select("span_id", "id", "category", "value", "score"), limit)
+    penalty = summed.crossJoin(unknown).withColumn("base", F.col("got") / (F.col("weight") + (F.size("query_tokens") - F.col("found")) * F.col("unknown")))
+    alike = Window.partitionBy("tokens").orderBy("id", "category", "value")
+    members = rows.withColumn("rank", F.row_number().over(alike)).filter(F.col("rank") <= kept).drop("rank")
+    first = Window.partitionBy("query_tokens").orderBy(F.desc("base"), "id", "category", "value")
+    retrieved = penalty.join(members, "tokens").withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= kept)
+    scored = retrieved.withColumn("score", F.round(F.col("base") * _order_bonus(F.col("query_tokens"), F.col("tokens")), 9))
+    best_rows = top(scored.select("query_tokens", "id", "category", "value", "score"), limit, "query_tokens")
+    return q.join(best_rows, "query_tokens").select("span_id", "id", "category", "value", "score", "nth")
 
 
-def top(scored: DataFrame, limit: int) -> DataFrame:
+def top(scored: DataFrame, limit: int, by: str = "span_id") -> DataFrame:
     """The best rows of each span; ties by id, then category."""
-    order = Window.partitionBy("span_id").orderBy(F.desc("score"), "id", "category")
+    order = Window.partitionBy(by).orderBy(F.desc("score"), "id", "category")
     return scored.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= limit)
 
 

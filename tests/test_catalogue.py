@@ -27,3 +27,17 @@ def test_entry(spark):
 def test_match_finds_the_word_with_a_letter_lost(spark, sf):
     found = QUERIES["fz_score"](spark, sf).filter("nth = 1").collect()
     assert found and all(0 < r["score"] <= 1.5 for r in found)
+
+
+@pytest.fixture(scope="module")
+def parts(spark, tmp_path_factory):
+    """A part table of 260 rows in which the last ones have words of their own."""
+    d = str(tmp_path_factory.mktemp("parts"))
+    rows = [(k, f"{'small' if k % 2 else 'large'} {'ring' if k < 210 else 'zircon'}") for k in range(260)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string").write.parquet(f"{d}/part.parquet")
+    return d
+
+
+def test_every_row_is_a_span(spark, parts):
+    rows = QUERIES["fz_score"](spark, parts).filter("nth = 1").collect()
+    assert sorted(r["span_id"] for r in rows) == list(range(260))

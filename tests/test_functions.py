@@ -1,4 +1,7 @@
 import datetime as dt
+import functools
+import math
+from collections import Counter
 from decimal import Decimal
 
 import duckdb
@@ -109,6 +112,43 @@ def test_match(spark):
     assert best[1] == ("1", 1.1) and best[2] == ("3", 1.1) and best[3][0] == "2" and 4 not in best
 
 
+def _plain_match(spans, members, limit, kept):
+    """Every span against every candidate."""
+    split = lambda x: text.fold(x).split() if x is not None else []
+    df = Counter(t for _, v, _ in members for t in set(split(v)))
+    idf = {t: math.log((len(members) + 1) / (n + 1)) + 1 for t, n in df.items()}
+    edits = functools.cache(lambda a, b: duckdb.execute("SELECT levenshtein(?, ?)", [a, b]).fetchone()[0])
+    out = []
+    for span_id, span in spans:
+        scored = []
+        for i, value, category in members:
+            have, got, weight, places = split(value), 0.0, 0.0, []
+            for t in split(span):
+                d, token = min(((edits(t, c), c) for c in have), default=(9, ""))
+                got += (1 - d / max(len(t), len(token))) * idf[token] if d <= 2 else 0
+                weight += idf[token] if d <= 2 else math.log(len(members) + 1) + 1
+                places.append((have.index(t) + 1 if t in have else 0, d <= 2))
+            if any(near for _, near in places):
+                pairs = sum(0 < p < r for k, (p, _) in enumerate(places) for r, _ in places[k + 1 :])
+                scored.append((got / weight, i, category, value, min(1.1**pairs, 1.5)))
+        scored = sorted(scored, key=lambda x: (-round(x[0], 12), *x[1:4]))[:kept]
+        ranked = sorted(((i, c, v, round(base * bonus, 9)) for base, i, c, v, bonus in scored), key=lambda x: (-x[3], x[0], x[1]))
+        out += [(span_id, *row, n) for n, row in enumerate(ranked[:limit], 1)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("kept", [500, 12])
+def test_match_equals_brute_force(spark, monkeypatch, kept):
+    monkeypatch.setattr(fuzzy, "LEAST_RETRIEVED", kept)
+    values = ["red widget", "blue bolt", "hot gear", "Red Widget", "widget red", "small hot ring gear", "big žlutý bolt", "red red bolt", "gear", "", None, "ring of small hot gears", "bold blue widgets"]
+    members = [(f"{k}", v, "ab"[k % 2]) for k, v in enumerate(values * 3)] + [("0", "blue ring", "b")]
+    spans = [(1, "red widget"), (2, "re widget"), (3, "zluty bolt"), (4, "gaer hot"), (5, "small hot ring gear"), (6, ""), (7, None), (8, "qqqqqqqq"), (9, "red widget"), (10, "blu qqqqqqqq rng"), (11, "widget red bolt")]
+    got = fuzzy.match(spark.createDataFrame(spans, "span_id long, span string"), spark.createDataFrame(members, "id string, value string, category string"), 3)
+    got = sorted((r["span_id"], r["id"], r["category"], r["value"], r["score"], r["nth"]) for r in got.collect())
+    want = _plain_match(spans, members, 3, kept)
+    assert [r[:4] + r[5:] for r in got] == [r[:4] + r[5:] for r in want] and [r[4] for r in got] == pytest.approx([r[4] for r in want], abs=2e-9)
+
+
 def test_traverse_takes_the_least_depth(spark):
     edges = spark.createDataFrame([("a", "x", "b"), ("b", "x", "c"), ("a", "x", "c"), ("c", "x", "a"), ("a", "y", "z")], "src string, kind string, dst string")
     found = {r["node"]: r["depth"] for r in graph.traverse(edges, "a", ("x",), depth=3).collect()}

@@ -508,8 +508,8 @@ query("fz_idf", f"SELECT token, count(*) AS df, round(ln(((SELECT count(*) FROM
 query("fz_seed", f"SELECT DISTINCT id, value FROM (SELECT id, value, unnest(tokens) AS token FROM {_TOKENS}) WHERE token IN (SELECT unnest(regexp_extract_all(lower(p_name), '\\S+')) FROM part WHERE p_partkey = 1)")(
     lambda spark, sf: (lambda rows: rows.join(rows.filter("id = '1'").select(F.explode("tokens").alias("t")).distinct(), F.array_contains("tokens", F.col("t"))).select("id", "value").distinct())(fuzzy.prepared(_members(spark, sf)))
 )
-query("fz_resolve", f"SELECT q.t AS query_token, v.t AS token, levenshtein(q.t, v.t) AS distance FROM (SELECT DISTINCT unnest(tokens) AS t FROM {_TOKENS} WHERE CAST(id AS BIGINT) <= 40) q JOIN (SELECT DISTINCT unnest(tokens) AS t FROM {_TOKENS}) v ON levenshtein(q.t, v.t) <= 2")(
-    lambda spark, sf: (lambda rows: fuzzy.resolve(rows.filter("CAST(id AS BIGINT) <= 40").select(F.explode("tokens").alias("query_token")), fuzzy.idf(rows)).withColumn("distance", F.col("distance").cast("long")))(fuzzy.prepared(_members(spark, sf)))
+query("fz_resolve", f"SELECT q.t AS query_token, v.t AS token, levenshtein(q.t, v.t) AS distance FROM (SELECT DISTINCT unnest(tokens) AS t FROM {_TOKENS}) q JOIN (SELECT DISTINCT unnest(tokens) AS t FROM {_TOKENS}) v ON levenshtein(q.t, v.t) <= 2")(
+    lambda spark, sf: (lambda rows: fuzzy.resolve(rows.select(F.explode("tokens").alias("query_token")), fuzzy.idf(rows)).withColumn("distance", F.col("distance").cast("long")))(fuzzy.prepared(_members(spark, sf)))
 )
 
 

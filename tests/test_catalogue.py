@@ -41,3 +41,8 @@ def parts(spark, tmp_path_factory):
 def test_every_row_is_a_span(spark, parts):
     rows = QUERIES["fz_score"](spark, parts).filter("nth = 1").collect()
     assert sorted(r["span_id"] for r in rows) == list(range(260))
+
+
+def test_tokens_of_every_row_are_resolved(spark, parts):
+    found = {(r["query_token"], r["token"], r["distance"]) for r in QUERIES["fz_resolve"](spark, parts).collect()}
+    assert found == {(w, w, 0) for w in ("small", "large", "ring", "zircon")}

@@ -13,6 +13,7 @@ from dataclasses import dataclass, field
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +21,8 @@ from ..errors import EngineError
 from ..functions.text import fold, tx_fold
 
 SCHEMA = "doc_id long, type string, start long, `end` long, features map<string,string>"
+#: Tokens from which a part of a batch is handed on.
+PART_TOKENS = 50_000
 CONTROLS = ("appelt", "brill", "all", "first", "once")
 
 
@@ -33,12 +36,28 @@ def import_annotations(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 def tokenise(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """Token annotations: runs of word characters and single signs."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [(i, "Token", m.start(), m.end(), {"string": m[0]}) for i, x in zip(batch["doc_id"], batch["text"]) if x for m in re.finditer(r"\w+|[^\w\s]", x)]
-            yield pd.DataFrame(rows, columns=["doc_id", "type", "start", "end", "features"])
+    def part(ids: list, starts: list, ends: list, strings: list) -> pa.RecordBatch:
+        names = pa.array(["string"] * len(ids), pa.string())
+        features = pa.MapArray.from_arrays(pa.array(range(len(ids) + 1), pa.int32()), names, pa.array(strings, pa.string()))
+        columns = [pa.array(ids, pa.int64()), pa.array(["Token"] * len(ids), pa.string()), pa.array(starts, pa.int64()), pa.array(ends, pa.int64()), features]
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "type", "start", "end", "features"])
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text")).mapInPandas(run, SCHEMA)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, starts, ends, strings = held = [], [], [], []
+            for i, x in zip(batch["doc_id"].to_pylist(), batch["text"]):
+                for m in re.finditer(r"\w+|[^\w\s]", x.as_py() or ""):
+                    ids.append(i)
+                    starts.append(m.start())
+                    ends.append(m.end())
+                    strings.append(m[0])
+                if len(ids) >= PART_TOKENS:
+                    yield part(*held)
+                    for column in held:
+                        column.clear()
+            yield part(*held)
+
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, SCHEMA)
 
 
 def sentences(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:

@@ -569,9 +569,16 @@ def _texts(spark: SparkSession) -> DataFrame:
 
 
 _LIST = [("Acme", "Org", "company"), ("Acme Corp", "Org", "company"), ("John Smith", "Person", "name"), ("John", "Person", "name")]
-query("nl_ops", r"SELECT doc_id, CAST(len(regexp_extract_all(text, '\w+|[^\w\s]')) AS BIGINT) AS tokens FROM documents WHERE regexp_matches(text, '^[\x00-\x7F]+$')")(
-    lambda spark, sf: annotate.tokenise(table(spark, sf, "documents").filter(F.col("text").rlike(r"^[\x00-\x7F]+\z"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("tokens"))
-)
+
+
+@query("nl_ops", r"SELECT doc_id, CAST(sum(len(regexp_extract_all(coalesce(text, ''), '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\x0b\x1c-\x1f\x85\p{Z}]'))) AS BIGINT) AS tokens FROM documents GROUP BY doc_id")
+def _nl_ops(spark, sf):
+    """Tokens of every document, 0 for those without any."""
+    docs = table(spark, sf, "documents")
+    found = annotate.tokenise(docs).select("doc_id", F.lit(1).alias("n"))
+    return found.unionAll(docs.select(F.col("doc_id").cast("long"), F.lit(0))).groupBy("doc_id").agg(F.sum("n").alias("tokens"))
+
+
 query("nl_doc", "SELECT * FROM (VALUES (1::BIGINT, 1::BIGINT), (2, 0)) v(doc_id, dropped)")(
     lambda spark, sf: annotate.import_annotations(spark.createDataFrame([(1, "A", 0, 2, {}), (1, "A", 0, 2, {}), (2, "A", 0, 2, {})], annotate.SCHEMA))[1]
 )

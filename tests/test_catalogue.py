@@ -1,5 +1,7 @@
 """Every query against its SQL."""
 
+import re
+
 import pytest
 from conftest import duck_rows, rows_of
 
@@ -46,3 +48,12 @@ def test_every_row_is_a_span(spark, parts):
 def test_tokens_of_every_row_are_resolved(spark, parts):
     found = {(r["query_token"], r["token"], r["distance"]) for r in QUERIES["fz_resolve"](spark, parts).collect()}
     assert found == {(w, w, 0) for w in ("small", "large", "ring", "zircon")}
+
+
+def test_tokens_of_texts_beyond_ascii(spark, duck, tmp_path):
+    texts = ["Žlutý kůň – „úpěl“!", "niño, ¿qué?", "a b c\x1fd\x0be", "x² ½ Ⅷ ٣", "ét", "日本語 text_1", "", None, "  \n", "plain one."]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = rows_of(QUERIES["nl_ops"](spark, str(tmp_path)))
+    assert got == sorted((str(k), str(len(re.findall(r"\w+|[^\w\s]", x or "")))) for k, x in enumerate(texts))
+    sql = ORACLE["nl_ops"].replace("FROM documents", f"FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert duck_rows(duck, sql)[1] == got

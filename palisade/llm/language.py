@@ -101,7 +101,7 @@ class _Words:
 
 
 def _distinct(chunk: W.Chunk) -> _Words:
-    _, example, which = np.unique(chunk.hashes(), return_index=True, return_inverse=True)
+    example, which = chunk.distinct()
     lo, size = chunk.starts[example], (chunk.ends - chunk.starts)[example]
     at = np.append(0, np.cumsum(size))
     place = np.repeat(lo - at[:-1], size) + np.arange(at[-1])

@@ -11,6 +11,11 @@ what merging their joint text gives, so there the maximum runs over the pieces,
 the longest first, that are admissible after the best path's last piece. Both
 give the ids that the model defines. Characters without a piece become bytes.
 
+A long word is first cut at the characters that no piece spans, which changes
+nothing, as no path has a piece there. The stretches join the batch; long ones
+with few equals to advance with are walked by the same recurrence with plain
+look-ups, so unbroken text takes time in proportion to its length.
+
 A literal U+2581, which a vocabulary cannot tell from a space, becomes bytes too,
 so decoding gives every text back exactly.
 """
@@ -38,6 +43,8 @@ _SEEN_BITS, _FIRST_BITS = 20, 18
 #: Pairs of pieces whose admissibility a worker remembers, each in one place.
 _MEMO_BITS = 20
 CHUNK_BYTES = 2 << 20
+#: Characters from which a word is cut, and from which stretches of a length with fewer than FEW of them are walked; all are from the last on.
+LONG_WORD, WALKED, ALL_WALKED, FEW = 48, 16, 256, 32
 
 
 def _key(points: list[int]) -> int:
@@ -157,7 +164,7 @@ class Pieces:
         return out
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k != "memo"}
+        return {k: v for k, v in self.__dict__.items() if k not in ("memo", "plain")}
 
     def _admissible(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
         """Whether merging the joint text of two pieces leaves just these two.
@@ -225,11 +232,101 @@ class Pieces:
                     break
         return last, back
 
-    def encode_words(self, points: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def stretches(self, points: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """Bounds of the words, with long ones cut wherever no piece spans two neighbouring characters."""
+        if not (np.diff(bounds) >= LONG_WORD).any():
+            return bounds
+        n = len(points)
+        edge = np.zeros(n + 1, bool)
+        edge[bounds] = True
+        inside = np.repeat(np.diff(bounds) >= LONG_WORD, np.diff(bounds))
+        end = np.repeat(bounds[1:], np.diff(bounds))
+        spanned = np.zeros(n + 2, np.int64)
+        at = np.flatnonzero(inside)
+        hashes = points[at].astype(np.uint64) + np.uint64(1)
+        for size in range(2, self.longest + 1):
+            keep = at + size <= end[at]
+            at, hashes = at[keep], hashes[keep] * _BASE + points[at[keep] + size - 1].astype(np.uint64) + np.uint64(1)
+            hit = at[self.find(hashes) >= 0]
+            spanned[hit + 1] += 1
+            spanned[hit + size] -= 1
+        free = np.cumsum(spanned)[: n + 1] == 0
+        free[:-1] &= inside
+        return np.flatnonzero(free | edge)
+
+    def walk(self, points: np.ndarray) -> list[int]:
+        """segment() for one stretch: the ids of its best path, -1 less the code point where there is no piece."""
+        plain = self.__dict__.get("plain")
+        if plain is None:
+            usable = np.flatnonzero(self.normal).tolist()
+            parts = (self.left.tolist(), self.right.tolist(), self.rank.tolist(), self.reachable.tolist()) if self.bpe else ((), (), (), ())
+            plain = self.plain = ({self.texts[i]: i for i in usable}, {}, *parts)
+        number, met, left, right, rank, reachable = plain
+        text = points.astype(np.uint32).tobytes().decode("utf-32-le", "surrogatepass") if points.max() < _LITERAL else "".join(chr(c) if c < _LITERAL else "\x00" for c in points.tolist())
+        texts, n, longest = self.texts, len(text), self.longest
+
+        def admits(a: int, b: int) -> bool:
+            limit = 1 << 62
+            while True:
+                joint = number.get(texts[a] + texts[b])
+                if joint is not None and rank[joint] < limit:
+                    return False
+                leaf_a, leaf_b = len(texts[a]) == 1, len(texts[b]) == 1
+                if not leaf_a and (leaf_b or rank[a] > rank[b]):
+                    limit, a = rank[a], right[a]
+                elif not leaf_b:
+                    limit, b = rank[b] + 1, left[b]
+                else:
+                    return True
+
+        last, back = [-1] * (n + 1), [1] * (n + 1)
+        best, scores = [0.0] * (n + 1), self.scores
+        lowest = float(self.scores[self.normal].min(initial=0)) - 10
+        for i in range(1, n + 1):
+            best[i] = best[i - 1] + lowest
+            for size in range(min(i, longest), 0, -1):
+                one = number.get(text[i - size : i])
+                if one is None:
+                    continue
+                j = i - size
+                if not self.bpe:
+                    if best[j] + scores[one] > best[i]:
+                        best[i], last[i], back[i] = best[j] + scores[one], one, size
+                    continue
+                if not reachable[one]:
+                    continue
+                before = last[j]
+                if j and before >= 0:
+                    good = met.get((before, one))
+                    if good is None:
+                        if len(met) > 1 << _MEMO_BITS:
+                            met.clear()
+                        good = met[before, one] = admits(before, one)
+                    if not good:
+                        continue
+                last[i], back[i] = one, size
+                break
+        out, i = [], n
+        while i:
+            out.append(last[i] if last[i] >= 0 else -1 - int(points[i - 1]))
+            i -= back[i]
+        return out[::-1]
+
+    def encode_words(self, points: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of words of code points, and each word's bounds among them."""
+        bounds = self.stretches(points, words)
+        ids, cuts = self._encode_stretches(points, bounds)
+        return ids, cuts[np.searchsorted(bounds, words)]
+
+    def _encode_stretches(self, points: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         size = np.diff(bounds)
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for n in np.unique(size).tolist():
+        many = np.bincount(size)
+        alone = (size >= ALL_WALKED) | ((size >= WALKED) & (many[size] < FEW))
+        for k in np.flatnonzero(alone).tolist():
+            ids = self.walk(points[bounds[k] : bounds[k + 1]])
+            found.append((np.full(len(ids), k), np.arange(len(ids), 0, -1), np.array(ids, np.int64)))
+        for n in np.unique(size[~alone]).tolist():
             rows = np.flatnonzero(size == n)
             for part in np.array_split(rows, -(-len(rows) * n // (1 << 19))):
                 text = points[bounds[part][:, None] + np.arange(n)].astype(np.uint64)
@@ -284,7 +381,7 @@ class Pieces:
         starts = np.flatnonzero(start)
         ends = np.append(starts[1:], len(data))
         whole = W.Chunk(0, data, starts, ends, np.searchsorted(starts, chunk.offsets), W.SPACED)
-        _, example, which = np.unique(whole.hashes(), return_index=True, return_inverse=True)
+        example, which = whole.distinct()
         lo, size = starts[example], (ends - starts)[example]
         at = np.append(0, np.cumsum(size))
         raw = data[np.repeat(lo - at[:-1], size) + np.arange(at[-1])]

@@ -57,11 +57,8 @@ def _shapes(chunk: W.Chunk) -> np.ndarray:
     keep = np.ones(len(shape), bool)
     keep[1:] = shape[1:] != shape[:-1]
     keep[chunk.starts] = True
-    up, down = W._BYTE_POWERS.get(len(shape) + 1)
     nth = np.cumsum(keep) - 1
-    sums = np.zeros(len(shape) + 1, np.uint64)
-    np.cumsum(np.where(keep, W.SPACED.value[shape] * up[nth], np.uint64(0)), out=sums[1:])
-    return W.mix((sums[chunk.ends] - sums[chunk.starts]) * down[nth[chunk.starts]])
+    return W.byte_hashes(shape[keep], nth[chunk.starts], nth[chunk.ends - 1] + 1)
 
 
 def _tally(owner: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -1,9 +1,9 @@
 """Vectorised words and word windows over UTF-8 buffers.
 
 Texts stay in the Arrow buffer they arrive in. Byte classes are looked up in a
-256-entry table, words are found as runs of word bytes, and both words and
-windows of words get 64-bit polynomial hashes from prefix sums, so no Python
-object is made per word. Work is cut into chunks of a bounded number of bytes;
+256-entry table, words are found as runs of word bytes, and words and windows of
+words get 64-bit hashes lane by lane and by doubling, so no Python object is made
+per word. Two seeds give 128 bits. Work is cut into chunks of a bounded number of bytes;
 a text longer than a chunk forms a chunk of its own.
 """
 
@@ -19,8 +19,9 @@ import pyarrow.compute as pc
 CHUNK_BYTES = 1 << 21
 
 _MASK = (1 << 64) - 1
-_BYTE_BASE = 0x9E3779B97F4A7C15
-_WORD_BASE = 0xD6E8FEB86659FD93
+_STEP, _PAIR = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+#: The low 0 to 8 bytes of a lane.
+_LOW = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -33,30 +34,27 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-class _Powers:
-    """Powers of an odd base and of its inverse modulo 2**64, grown on demand."""
+def byte_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """Hashes of the bytes data[start:end], none of them empty; another seed gives another hash.
 
-    def __init__(self, base: int):
-        self.base, self.inverse = base, pow(base, -1, 1 << 64)
-        self.up = self.down = np.ones(1, np.uint64)
-
-    def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = 1 << (n - 1).bit_length()
-            self.up = self._series(self.base, size)
-            self.down = self._series(self.inverse, size)
-        return self.up[:n], self.down[:n]
-
-    @staticmethod
-    def _series(base: int, n: int) -> np.ndarray:
-        out, step = np.ones(1, np.uint64), base
-        while len(out) < n:
-            out = np.concatenate([out, out * np.uint64(step)])
-            step = step * step & _MASK
-        return out
-
-
-_BYTE_POWERS, _WORD_POWERS = _Powers(_BYTE_BASE), _Powers(_WORD_BASE)
+    Each lane of 8 bytes is mixed with its place, and the lanes' sum with the
+    length, so no arrangement of equal letters makes two strings agree.
+    """
+    if not len(starts):
+        return np.empty(0, np.uint64)
+    size = ends - starts
+    lanes = np.ndarray((len(data) + 1,), "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
+    place = mix(np.arange((int(size.max()) + 7) // 8, dtype=np.uint64) * _STEP + np.uint64(seed * 2 + 1))
+    out = mix((lanes[starts] & _LOW[np.minimum(size, 8)]) + place[0])
+    long = np.flatnonzero(size > 8)
+    if len(long):
+        more = (size[long] - 1) // 8
+        first = np.cumsum(more) - more
+        nth = np.arange(int(more.sum())) - np.repeat(first, more) + 1
+        left = np.repeat(size[long], more) - 8 * nth
+        value = lanes[np.repeat(starts[long], more) + 8 * nth] & _LOW[np.minimum(left, 8)]
+        out[long] += np.add.reduceat(mix(value + place[nth]), first)
+    return mix(out + size.astype(np.uint64) * _PAIR + np.uint64(seed))
 
 
 @dataclass(frozen=True)
@@ -65,7 +63,7 @@ class WordClass:
 
     member: np.ndarray
     fold: np.ndarray
-    value: np.ndarray
+    lower: bool
 
     @staticmethod
     def build(excluded: bytes, lower: bool) -> "WordClass":
@@ -75,7 +73,7 @@ class WordClass:
         if lower:
             fold[65:91] += 32
             member[65:91] = member[97:123]
-        return WordClass(member, fold, mix(fold.astype(np.uint64) + np.uint64(1)))
+        return WordClass(member, fold, lower)
 
 
 _SPACES = bytes([0x20, *range(0x09, 0x0E)])
@@ -87,16 +85,27 @@ SPACED_LOWER = WordClass.build(_SPACES, lower=True)
 ALNUM_LOWER = WordClass.build(bytes([*range(0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]), lower=True)
 
 
+def joined(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Hash of two neighbouring runs from theirs."""
+    return mix((left ^ (left >> np.uint64(29))) * _PAIR + right)
+
+
 def windows(hashes: np.ndarray, length: int) -> np.ndarray:
-    """Hash of every run of `length` hashes; shorter input gives nothing."""
+    """Hash of every run of `length` hashes, put together from runs of powers of two; shorter input gives nothing."""
     n = len(hashes)
     if n < length:
         return np.empty(0, np.uint64)
-    up, down = _WORD_POWERS.get(n)
-    sums = np.empty(n + 1, np.uint64)
-    sums[0] = 0
-    np.cumsum(hashes * up, out=sums[1:])
-    return mix((sums[length:] - sums[: n - length + 1]) * down[: n - length + 1] + np.uint64(length))
+    many = n - length + 1
+    out, done, power, size = None, 0, hashes, 1
+    while True:
+        if length & size:
+            part = power[done : done + many]
+            out = part if out is None else joined(out, part)
+            done += size
+        if done == length:
+            return mix(out + np.uint64(length * int(_STEP) & _MASK))
+        power = joined(power[: len(power) - size], power[size:])
+        size *= 2
 
 
 @dataclass
@@ -119,14 +128,30 @@ class Chunk:
     def owner(self) -> np.ndarray:
         return np.repeat(np.arange(self.n_texts, dtype=np.int64), np.diff(self.first))
 
-    def hashes(self) -> np.ndarray:
-        n = len(self.data)
-        up, down = _BYTE_POWERS.get(n + 1)
-        sums = np.empty(n + 1, np.uint64)
-        sums[0] = 0
-        np.cumsum(self.kind.value[self.data] * up[:n], out=sums[1:])
-        out = (sums[self.ends] - sums[self.starts]) * down[self.starts]
-        return mix(out + (self.ends - self.starts).astype(np.uint64))
+    def hashes(self, seed: int = 0) -> np.ndarray:
+        return byte_hashes(self.kind.fold[self.data] if self.kind.lower else self.data, self.starts, self.ends, seed)
+
+    def distinct(self) -> tuple[np.ndarray, np.ndarray]:
+        """One word of each spelling, and which of these every word is; hashes propose, all bytes are compared."""
+        _, example, which = np.unique(self.hashes(), return_index=True, return_inverse=True)
+        if not len(which):
+            return example, which
+        size = self.ends - self.starts
+        first = np.cumsum(size) - size
+        at = np.repeat(self.starts - first, size) + np.arange(int(size.sum()))
+        other = at + np.repeat(self.starts[example][which] - self.starts, size)
+        data = self.kind.fold[self.data] if self.kind.lower else self.data
+        differ = np.add.reduceat(data[at] != data[np.minimum(other, len(data) - 1)], first) > 0
+        wrong = np.flatnonzero(differ | (size != size[example][which]))
+        if len(wrong):
+            known: dict[bytes, int] = {}
+            for i in wrong.tolist():
+                which[i] = known.setdefault(self.word(i), len(example) + len(known))
+            firsts: dict[int, int] = {}
+            for i in wrong.tolist():
+                firsts.setdefault(int(which[i]), i)
+            example = np.concatenate([example, np.array([firsts[k] for k in sorted(firsts)], example.dtype)])
+        return example, which
 
     def window_hashes(self, length: int, hashes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of the windows that lie within one text, and each one's first word."""

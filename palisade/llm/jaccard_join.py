@@ -6,17 +6,24 @@ documents are counted per fragment and summed per pair.
 
 1. Every fragment counts its n-grams' documents. A document whose share of
    n-grams that other documents have is below the threshold links with nothing.
-2. What is left is reduced to one representative for each distinct set. Two sets
-   at the threshold share an n-gram of their prefixes in the global order, so
-   joining each prefix n-gram's sets to its least set makes families that hold
-   every link.
-3. In a family, sets meet in pairs of bounded blocks. One set's partial overlaps
-   with a block are counted fragment by fragment; pairs that cannot reach the
+2. What is left is reduced to one representative for each distinct set (16-byte
+   digests). Two sets at the threshold share an n-gram of their prefixes in the
+   global order, so joining each prefix n-gram's sets to its least set makes
+   families that hold every link.
+3. Families of up to FAMILY_BLOCK n-grams are packed into tasks of about that
+   size. A larger family is dealt in the way that ships less: as pairs of such
+   blocks, or by prefix n-gram, a hot one again in block pairs and n-grams of the
+   same members once. So a family that grew together by chance costs about its
+   prefixes, and one of near copies about its blocks.
+4. In a task only sets that share a prefix n-gram meet, if their sizes and the
+   n-gram's places allow the threshold, and if they are not yet in one tree. Their
+   partial overlaps are counted fragment by fragment; pairs that cannot reach the
    threshold with the fragments left are dropped. A task sends back a spanning
    forest of its links, never the pairs.
-4. Components of these links, widened to the copies, give each document's group.
+5. Components of these links, widened to the copies, give each document's group.
 
-No cap is set on partners: a family of any size is covered by its block pairs.
+No cap is set on partners. N-grams are compared by 64-bit hashes within a pair:
+of two sets of 1000, one false n-gram comes about once in 10^13 pairs.
 """
 
 from __future__ import annotations
@@ -32,12 +39,12 @@ from . import probe, shared
 from . import words as W
 from .components import components
 
-#: N-grams in a block of a family: 256 times the root of the family's, within these bounds.
-LEAST_FAMILY_BLOCK, MOST_FAMILY_BLOCK = 1 << 18, 1 << 22
+#: N-grams in a block: a task gets one or two of these.
+FAMILY_BLOCK = 1 << 17
 #: Fragments in which overlaps are counted.
 OVERLAP_FRAGMENTS = 4
 
-STATE = "doc_id long, n_shingles long, node long, grams binary, prefix array<long>"
+STATE = "doc_id long, n_shingles long, digest binary, grams binary, prefix array<long>, skipped int"
 
 
 def gram_sets(chunk: W.Chunk, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -77,7 +84,7 @@ def _frequency_reply(keys, values, source):
 def _prune(table: pa.Table, given: pa.Table, n: int, percent: int, fragments: int) -> pa.Table:
     known = probe.Answers(given, fragments, 4, "<u4")
     table = shared.side(table, doc_id=pa.int64(), text=pa.string())
-    sizes, nodes, grams, prefixes = [], [], [], []
+    sizes, digests, grams, prefixes, skipped = [], [], [], [], []
     for chunk in W.chunks(table["text"], W.SPACED_LOWER):
         keys, bounds = gram_sets(chunk, n)
         told, place = known.find(keys)
@@ -87,110 +94,119 @@ def _prune(table: pa.Table, given: pa.Table, n: int, percent: int, fragments: in
             size = hi - lo
             sizes.append(size)
             if not size or 100 * int(shared_upto[hi] - shared_upto[lo]) < percent * size:
-                nodes.append(None), grams.append(None), prefixes.append(None)
+                digests.append(None), grams.append(None), prefixes.append(None), skipped.append(None)
                 continue
             own = keys[lo:hi]
             frequency = np.ones(size, np.int64)
             frequency[told[lo:hi]] = known.values[place[lo:hi][told[lo:hi]]]
             order = np.lexsort((own, frequency))[: size - -(-percent * size // 100) + 1]
-            order = order[frequency[order] > 1]
+            alone = int((frequency[order] == 1).sum())  # these come first
+            order = order[alone:]
             raw = own.tobytes()
-            nodes.append(int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "little", signed=True))
+            digests.append(hashlib.blake2b(raw, digest_size=16).digest())
+            skipped.append(alone)
             grams.append(raw)
             prefixes.append(own[order].view(np.int64))
     return pa.table(
         {
             "doc_id": table["doc_id"],
             "n_shingles": pa.array(sizes, pa.int64()),
-            "node": pa.array(nodes, pa.int64()),
+            "digest": pa.array(digests, pa.binary()),
             "grams": pa.array(grams, pa.binary()),
             "prefix": pa.array(prefixes, pa.list_(pa.int64())),
+            "skipped": pa.array(skipped, pa.int32()),
         }
     )
 
 
-class _Side:
-    """Sets of a block, their grams numbered and cut into fragments of the hash order."""
+def _ranges(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All places of the ranges lo to hi, and where each range's begin among them."""
+    size = hi - lo
+    upto = np.append(0, np.cumsum(size))
+    return np.arange(upto[-1]) + np.repeat(lo - upto[:-1], size), upto
 
-    def __init__(self, sets: list[np.ndarray], vocabulary: np.ndarray):
+
+class _Index:
+    """Sets as numbers, cut into fragments of the hash order, and the places of their prefix grams."""
+
+    def __init__(self, sets: list[np.ndarray], prefixes: list[np.ndarray], skipped: np.ndarray):
         self.size = np.array([len(s) for s in sets], np.int64)
+        every = np.concatenate(sets)
+        vocabulary, key = np.unique(every, return_inverse=True)
         row = np.repeat(np.arange(len(sets)), self.size)
-        key = np.concatenate(sets) if sets else np.empty(0, np.uint64)
-        place = np.minimum(np.searchsorted(vocabulary, key), max(0, len(vocabulary) - 1))
-        cut = (key >> np.uint64(62)).astype(np.int64)
-        common = vocabulary[place] == key if len(vocabulary) else np.zeros(len(key), bool)
+        cut = (every >> np.uint64(62)).astype(np.int64)
         self.parts = []
         for f in range(OVERLAP_FRAGMENTS):
-            inside = common & (cut == f)
-            total = np.bincount(row[cut == f], minlength=len(sets))
-            self.parts.append((place[inside], np.searchsorted(row[inside], np.arange(len(sets) + 1)), total))
-
-
-def forest(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links between left and right (or among left): places in left, then right.
-
-    Every set of left is held against every set of right that is not yet in its tree.
+            inside = np.flatnonzero(cut == f)
+            self.parts.append((key[inside], np.searchsorted(row[inside], np.arange(len(sets) + 1))))
+        self.mark = np.zeros(len(vocabulary), np.int8)
+        length = np.array([len(x) for x in prefixes], np.int64)
+        gram = np.searchsorted(vocabulary, np.concatenate(prefixes))
+        self.first = np.append(0, np.cumsum(length))
+        self.gram = gram
+        owner = np.repeat(np.arange(len(sets)), length)
+        self.place = np.arange(len(gram)) - np.repeat(self.first[:-1], length) + np.repeat(skipped, length)
+        self.order = np.argsort(gram, kind="stable")
+        self.held = owner[self.order], self.place[self.order]
+        self.at = np.searchsorted(gram[self.order], np.arange(len(vocabulary) + 1))
+
+
+def forest(sets: list[np.ndarray], prefixes: list[np.ndarray], skipped: np.ndarray, percent: int, side: np.ndarray | None = None) -> tuple[list[tuple[int, int]], int]:
+    """A spanning forest of the links among the sets, and how many pairs were compared.
+
+    Sets are sorted hashes; a prefix is in the global order, without the `skipped`
+    grams at its front that no other set has. With sides, two of one side don't meet.
     """
-    n = len(left)
-    other = left if right is None else right
-    shift = 0 if right is None else n
-    vocabulary, counts = np.unique(np.concatenate([*left, *([] if right is None else right)]), return_counts=True)
-    vocabulary = vocabulary[counts > 1]
-    a = _Side(left, vocabulary)
-    b = a if right is None else _Side(right, vocabulary)
-    root = np.arange(n + (0 if right is None else len(other)))
-    mark = np.zeros(len(vocabulary), np.int32)
-    edges = []
-    for x in range(n):
-        need = -(-percent * (a.size[x] + b.size) // (100 + percent))
-        open_ = root[shift : shift + len(other)] != root[x]
-        if right is None:
-            open_[: x + 1] = False
-        open_ &= (100 * np.minimum(a.size[x], b.size) >= percent * np.maximum(a.size[x], b.size))
-        if not open_.any():
+    if len(sets) < 2:
+        return [], 0
+    index = _Index(sets, prefixes, skipped)
+    size, mark, root = index.size, index.mark, np.arange(len(sets))
+    edges, compared = [], 0
+    for x in range(len(sets)):
+        own = slice(index.first[x], index.first[x + 1])
+        gram = index.gram[own]
+        at, upto = _ranges(index.at[gram], index.at[gram + 1])
+        y, there = index.held[0][at], index.held[1][at]
+        here = np.repeat(index.place[own], np.diff(upto))
+        need = -(-percent * (size[x] + size[y]) // (100 + percent))
+        good = (y > x) & (root[y] != root[x]) & (np.minimum(size[x] - here, size[y] - there) >= need)
+        if side is not None:
+            good &= side[y] != side[x]
+        y = np.unique(y[good])
+        if not len(y):
             continue
-        got = np.zeros(len(other), np.int64)
-        rest_x, rest = int(a.size[x]), b.size.copy()
-        for (own, at, total_x), (ids, bounds, total) in zip(a.parts, b.parts):
-            own = own[at[x] : at[x + 1]]
-            mark[own] = 1
-            upto = np.append(0, np.cumsum(mark[ids], dtype=np.int64))
-            got += upto[bounds[1:]] - upto[bounds[:-1]]
-            mark[own] = 0
-            rest_x -= int(total_x[x])
-            rest -= total
-            open_ &= got + np.minimum(rest_x, rest) >= need
-            if not open_.any():
+        compared += len(y)
+        need = -(-percent * (size[x] + size[y]) // (100 + percent))
+        got, rest_x, rest = np.zeros(len(y), np.int64), int(size[x]), size[y].copy()
+        for key, bounds in index.parts:
+            mine = key[bounds[x] : bounds[x + 1]]
+            mark[mine] = 1
+            places, upto = _ranges(bounds[y], bounds[y + 1])
+            total = np.append(0, np.cumsum(mark[key[places]], dtype=np.int64))
+            got += total[upto[1:]] - total[upto[:-1]]
+            mark[mine] = 0
+            rest_x -= len(mine)
+            rest -= np.diff(upto)
+            able = got + np.minimum(rest_x, rest) >= need
+            y, need, got, rest = y[able], need[able], got[able], rest[able]
+            if not len(y):
                 break
-        for y in np.flatnonzero(open_).tolist():
-            if root[x] != root[shift + y]:
-                edges.append((x, shift + y))
-                root[root == root[shift + y]] = root[x]
-    return edges
-
+        for other in y.tolist():
+            if root[x] != root[other]:
+                edges.append((x, other))
+                root[root == root[other]] = root[x]
+    return edges, compared
 
-def _family(table: pa.Table, percent: int) -> pa.Table:
-    """Links of a task's block pairs; two tasks of one hash are told apart."""
-    component, one, two = (table[name].to_numpy() for name in ("component", "first", "second"))
-    order = np.lexsort((two, one, component))
-    keys = np.stack([component, one, two])[:, order]
-    cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
-    return pa.concat_tables([_block_pair(table.take(pa.array(part)), percent) for part in np.split(order, cuts)])
 
-
-def _block_pair(table: pa.Table, percent: int) -> pa.Table:
-    nodes = table["node"].to_numpy()
-    blocks = table["block"].to_numpy()
+def _task(table: pa.Table, percent: int) -> pa.Table:
+    """Links among a task's sets; of a pair of two blocks, only those between them."""
+    order = np.argsort(table["node"].to_numpy(), kind="stable")
+    table = table.take(pa.array(order))
     sets = [np.frombuffer(x, np.uint64) for x in table["grams"].to_pylist()]
-    first, second = table["first"][0].as_py(), table["second"][0].as_py()
-    if first == second:
-        where, edges = np.arange(len(sets)), forest(sets, None, percent)
-    else:
-        where = np.argsort(blocks != first, kind="stable")
-        cut = int((blocks == first).sum())
-        one, two = [sets[i] for i in where[:cut]], [sets[i] for i in where[cut:]]
-        edges = forest(one, two, percent) if one and two else []
-    pairs = nodes[where[np.array(edges, np.int64).reshape(-1, 2)]]
+    prefixes = [np.array(x, np.int64).view(np.uint64) for x in table["prefix"].to_pylist()]
+    side = table["block"].to_numpy() if table["first"][0].as_py() != table["second"][0].as_py() else None
+    edges, _ = forest(sets, prefixes, table["skipped"].to_numpy().astype(np.int64), percent, side)
+    pairs = table["node"].to_numpy()[np.array(edges, np.int64).reshape(-1, 2)]
     return pa.table({"u": pa.array(pairs[:, 0], pa.int64()), "v": pa.array(pairs[:, 1], pa.int64())})
 
 
@@ -201,6 +217,50 @@ def _families(sets: DataFrame) -> DataFrame:
     return components(prefix.join(lead, "gram").select(F.col("node").alias("u"), "v"), "families")
 
 
+def _block_pairs(rows: DataFrame, parts: str) -> DataFrame:
+    """(block, first, second): a set's block among `parts`, and the pairs of blocks in which it is held."""
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col(parts)).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), (F.col(parts) - 1).cast("int"))))
+    return rows.withColumns({"first": F.least("block", "other"), "second": F.greatest("block", "other")})
+
+
+def _large(light: DataFrame) -> DataFrame:
+    """(node, task, block, first, second) for the sets of families beyond a block.
+
+    A family goes in block pairs or by prefix gram, whichever copies fewer grams. Of
+    grams that the same sets hold (equal in number, size and two hashes) one is taken.
+    """
+    held = light.select("component", "node", "size", "parts", F.explode("prefix").alias("gram"))
+    of_gram = held.groupBy("component", "gram").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("size").alias("grams"), F.bit_xor(F.xxhash64("node")).alias("one"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("two"), F.first("parts").alias("parts")
+    )
+    of_gram = of_gram.filter("n > 1").groupBy("component", "n", "grams", "one", "two", "parts").agg(F.min("gram").alias("gram"))
+    of_gram = of_gram.withColumn("gram_parts", F.ceil(F.col("grams") / FAMILY_BLOCK))
+    whole = light.groupBy("component").agg(F.sum("size").alias("whole"), F.first("parts").alias("parts"))
+    cost = of_gram.groupBy("component").agg(F.sum(F.col("grams") * F.col("gram_parts")).alias("by_gram"))
+    chosen = whole.join(cost, "component").select("component", (F.col("by_gram") < F.col("whole") * F.col("parts")).alias("by_gram"))
+    blocks = _block_pairs(light.join(chosen.filter("NOT by_gram"), "component", "left_semi"), "parts").withColumn("gram", F.lit(0).cast("long"))
+    own = of_gram.join(chosen.filter("by_gram"), "component", "left_semi").select("component", "gram", "gram_parts")
+    grams = _block_pairs(held.join(own, ["component", "gram"]), "gram_parts")
+    columns = ("node", "component", "gram", "block", "first", "second")
+    return blocks.select(*columns).unionAll(grams.select(*columns))
+
+
+def _links(sets: DataFrame, percent: int) -> DataFrame:
+    """(u, v): a spanning forest, or more, of the links between distinct sets."""
+    family = shared.written(sets.select("node", "prefix", (F.octet_length("grams") / 8).cast("long").alias("size")).join(_families(sets), "node"), "placed")
+    total, most = family.groupBy("component").agg(F.sum("size").alias("grams")).agg(F.sum("grams"), F.max("grams")).first()
+    tasks = max(1, -(-(total or 0) // FAMILY_BLOCK))
+    sizes = family.groupBy("component").agg(F.ceil(F.sum("size") / FAMILY_BLOCK).alias("parts"))
+    light = family.join(sizes, "component")
+    none = [F.lit(0).alias(name) for name in ("block", "first", "second")]
+    dealt = light.filter("parts = 1").select("node", F.pmod(F.xxhash64("component"), F.lit(tasks)).alias("component"), F.lit(None).cast("long").alias("gram"), *none)
+    if (most or 0) > FAMILY_BLOCK:
+        dealt = dealt.unionAll(_large(light.filter("parts > 1")))
+    placed = dealt.join(sets.select("node", "grams", "prefix", "skipped"), "node")
+    return placed.groupBy("component", "gram", "first", "second").applyInArrow(lambda table: _task(table, percent), "u long, v long")
+
+
 def jaccard_groups(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id.
 
@@ -208,8 +268,8 @@ def jaccard_groups(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str =
     shingles (A-Z lowered) is at least percent / 100; a text of fewer words is one
     shingle. component_id is the least doc_id that links reach. Texts that are
     null, empty or without words have no shingles and stay alone. Equal sets link,
-    whatever their ids; a null id comes after all others. Other columns of docs
-    are not looked at.
+    whatever their ids; a null id comes after all others. Rows that repeat are one
+    set. An empty table gives no rows. Other columns of docs are not looked at.
     """
     if not 50 <= percent <= 100:
         raise ValueError("percent must lie between 50 and 100")
@@ -221,25 +281,17 @@ def jaccard_groups(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str =
     pruned = blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(lambda table, given: _prune(table, given, n, percent, fragments), STATE)
     state = shared.written(pruned, "grams")
 
-    sets = state.filter("node IS NOT NULL").groupBy("node").agg(F.first("grams").alias("grams"), F.first("prefix").alias("prefix"))
-    family = _families(sets)
-    placed = sets.select("node", "grams").join(family, "node")
-    grams = F.sum(F.octet_length("grams")) / 8
-    limit = F.least(F.greatest(256 * F.sqrt(grams), F.lit(LEAST_FAMILY_BLOCK)), F.lit(MOST_FAMILY_BLOCK))
-    size = placed.groupBy("component").agg(F.ceil(grams / limit).cast("int").alias("parts"))
-    placed = placed.join(size, "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    placed = placed.withColumns({"first": F.least("block", "other"), "second": F.greatest("block", "other")}).drop("other", "parts")
-    # One key of its own, or Spark would leave all of a family's tasks where the join above put the family.
-    placed = placed.withColumn("task", F.xxhash64("component", "first", "second"))
-    links = placed.groupBy("task").applyInArrow(lambda table: _family(table, percent), "u long, v long")
-    group = components(links, "links")
-
-    members = state.filter("node IS NOT NULL").select("doc_id", "n_shingles", "node").join(group, "node", "left")
+    distinct = state.filter("digest IS NOT NULL").groupBy("digest").agg(*[F.first(name).alias(name) for name in ("grams", "prefix", "skipped")])
+    # Numbers given once and written are the same for every later reader, whichever task is run again.
+    sets = shared.written(distinct.withColumn("node", F.monotonically_increasing_id()), "sets")
+    group = components(_links(sets, percent), "links")
+
+    members = state.filter("digest IS NOT NULL").select("doc_id", "n_shingles", "digest").join(sets.select("digest", "node"), "digest")
+    members = members.join(group, "node", "left")
     members = members.withColumn("component", F.coalesce("component", "node"))
     least = members.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     linked = members.join(least, "component").select("doc_id", "n_shingles", "component_id")
-    alone = state.filter("node IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    alone = state.filter("digest IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return linked.unionAll(alone)
 
 

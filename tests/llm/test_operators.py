@@ -252,15 +252,33 @@ def _linked(n, percent):
     return [(i, len(sets[k]), least.get(root[k])) for k, (i, _) in enumerate(ROWS)]
 
 
-@pytest.mark.parametrize("n,percent,block", [(4, 85, None), (4, 85, 40), (2, 50, None)])
+@pytest.mark.parametrize("n,percent,block", [(4, 85, None), (4, 85, 40), (4, 85, 300), (2, 50, None), (2, 50, 60)])
 def test_jaccard_groups(docs, monkeypatch, n, percent, block):
-    if block:  # many block pairs a family
-        monkeypatch.setattr(jaccard_join, "LEAST_FAMILY_BLOCK", block)
-        monkeypatch.setattr(jaccard_join, "MOST_FAMILY_BLOCK", block)
+    if block:  # families in block pairs, or by gram where that copies less
+        monkeypatch.setattr(jaccard_join, "FAMILY_BLOCK", block)
     rows = jaccard_join.jaccard_groups(docs, n, percent).collect()
     assert _bag((r["doc_id"], r["n_shingles"], r["component_id"]) for r in rows) == _bag(_linked(n, percent))
 
 
+def test_a_chained_family_is_not_compared_with_itself(spark, monkeypatch):
+    """Each document shares words with its two neighbours only, yet all are one family."""
+    import numpy as np
+
+    n = 400
+    words = [f"w{k}" for k in range(8 * n + 40)]
+    texts = [" ".join(words[8 * k : 8 * k + 40]) for k in range(n)]
+    sets, skipped = [], np.zeros(n, np.int64)
+    for chunk in W.chunks(pa.array(texts), W.SPACED_LOWER):
+        keys, bounds = jaccard_join.gram_sets(chunk, 1)
+        sets += [keys[a:b] for a, b in zip(bounds, bounds[1:])]
+    edges, compared = jaccard_join.forest(sets, sets, skipped, 60)
+    assert len(edges) == n - 1 and compared <= 4 * n  # four later ones share a word
+    monkeypatch.setattr(jaccard_join, "FAMILY_BLOCK", 200)
+    rows = spark.createDataFrame([(k, t, k) for k, t in enumerate(texts)], "doc_id long, text string, node int")
+    assert {r["component_id"] for r in jaccard_join.jaccard_groups(rows, 1, 60).collect()} == {0}
+    assert {r["component_id"] for r in jaccard_join.jaccard_groups(rows, 1, 70).collect()} == set(range(n))
+
+
 def test_first_rows_keep_one_of_each_group(docs):
     kept = jaccard_join.first_rows(docs.filter("doc_id IS NOT NULL"), 4, 85)
     assert kept.columns == docs.columns

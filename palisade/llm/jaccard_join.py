@@ -73,9 +73,8 @@ def _ask(table: pa.Table, n: int, fragments: int) -> pa.Table:
     return probe.requests_table(list(probe.split(table["block"][0].as_py(), keys[first], fragments, True, counts)))
 
 
-def _frequency_reply(keys, values, source):
-    first, run = probe.runs(keys)
-    if not len(keys):
+def _frequency_reply(first, run, values):
+    if not len(run):
         return np.zeros(0, bool), values
     total = np.minimum(np.add.reduceat(values.astype(np.int64), first), (1 << 32) - 1)
     return (total > 1)[run], total[run].astype("<u4")[(total > 1)[run]]

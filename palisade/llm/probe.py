@@ -5,6 +5,7 @@ sends each fragment of the key space one binary of its own distinct keys, and
 gets one binary back. A key that a third of all documents hold costs one entry
 for each block, whatever its count, so no key makes a large group. Fragments are
 cut by the key's top bits, so they are even, and their number follows the data.
+Keys have 4 bytes (the fragment gives more), 8, or 16 with a second hash beside.
 """
 
 from __future__ import annotations
@@ -39,7 +40,7 @@ def fragment_of(keys: np.ndarray, fragments: int) -> np.ndarray:
     return ((keys >> np.uint64(32)) * np.uint64(fragments) >> np.uint64(32)).astype(np.int64)
 
 
-def split(block: int, keys: np.ndarray, fragments: int, narrow: bool, values: np.ndarray | None = None) -> Iterator[tuple[int, int, bytes, bytes]]:
+def split(block: int, keys: np.ndarray, fragments: int, narrow: bool, values: np.ndarray | None = None, check: np.ndarray | None = None) -> Iterator[tuple[int, int, bytes, bytes]]:
     """One request a fragment for a block's distinct sorted keys.
 
     narrow sends the low 32 bits: within a fragment of bounded size two keys then
@@ -49,7 +50,7 @@ def split(block: int, keys: np.ndarray, fragments: int, narrow: bool, values: np
     if not len(keys):
         return
     bounds = np.searchsorted(fragment_of(keys, fragments), np.arange(fragments + 1))
-    sent = keys.astype(np.uint32) if narrow else keys
+    sent = keys.astype(np.uint32) if narrow else keys if check is None else np.stack([keys, check], axis=1)
     for f in np.flatnonzero(np.diff(bounds)).tolist():
         lo, hi = bounds[f], bounds[f + 1]
         yield f, block, sent[lo:hi].tobytes(), b"" if values is None else values[lo:hi].tobytes()
@@ -60,25 +61,31 @@ def requests_table(rows: list[tuple[int, int, bytes, bytes]]) -> pa.Table:
     return pa.table({"fragment": pa.array(f, pa.int32()), "block": pa.array(b, pa.int32()), "keys": pa.array(k, pa.binary()), "values": pa.array(v, pa.binary())})
 
 
-def answer(requests: DataFrame, reply: Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray | None]], width: int, value: str | None) -> DataFrame:
-    """Answers of every fragment: reply gets keys, values and each one's request, all sorted by key.
+def _numbers(raw: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray | None]:
+    """Keys of some messages, and their second hashes if they have any."""
+    every = np.frombuffer(b"".join(raw), "<u4" if width == 4 else "<u8")
+    return (every[::2], every[1::2]) if width == 16 else (every, None)
+
+
+def answer(requests: DataFrame, reply: Callable, width: int, value: str | None) -> DataFrame:
+    """Answers of every fragment: reply gets where each key's run begins, the run of each entry, and the values, by key.
 
     It returns which entries are answered, and a value for each of these or None.
     """
-    kind = np.uint32 if width == 4 else np.uint64
 
     def fragment(table: pa.Table) -> pa.Table:
         number = table["fragment"][0].as_py()
-        blocks, raw, more = table["block"].to_numpy(), table["keys"].to_pylist(), table["values"].to_pylist()
-        keys = np.concatenate([np.frombuffer(x, kind) for x in raw])
-        values = np.concatenate([np.frombuffer(x, value) for x in more]) if value else None
+        blocks, raw = table["block"].to_numpy(), table["keys"].to_pylist()
+        keys, check = _numbers(raw, width)
+        values = np.frombuffer(b"".join(table["values"].to_pylist()), value) if value else None
         source = np.repeat(np.arange(len(raw), dtype=np.int32), [len(x) // width for x in raw])
-        order = np.argsort(keys, kind="stable")
-        keys, source = keys[order], source[order]
-        told, back = reply(keys, None if values is None else values[order], source)
-        keys, source = keys[told], source[told]
+        order = np.argsort(keys, kind="stable") if check is None else np.lexsort((check, keys))
+        keys, source, check = keys[order], source[order], None if check is None else check[order]
+        told, back = reply(*runs(keys, check), None if values is None else values[order])
+        keys, source, check = keys[told], source[told], None if check is None else check[told]
         order = np.argsort(source, kind="stable")
         keys, source = keys[order], source[order]
+        keys = keys if check is None else np.stack([keys, check[order]], axis=1)
         back = None if back is None else back[order]
         bounds = np.searchsorted(source, np.arange(len(raw) + 1))
         some = np.flatnonzero(np.diff(bounds)).tolist()
@@ -94,11 +101,13 @@ def answer(requests: DataFrame, reply: Callable[[np.ndarray, np.ndarray, np.ndar
     return requests.groupBy("fragment").applyInArrow(fragment, ANSWER)
 
 
-def runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def runs(keys: np.ndarray, check: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Of sorted keys: where each run of equal ones begins, and the run of each."""
     new = np.empty(len(keys), bool)
     new[:1] = True
     np.not_equal(keys[1:], keys[:-1], out=new[1:])
+    if check is not None:
+        new[1:] |= check[1:] != check[:-1]
     return np.flatnonzero(new), np.cumsum(new) - 1
 
 
@@ -106,23 +115,27 @@ class Answers:
     """A block's answers: looks keys up by fragment."""
 
     def __init__(self, table: pa.Table, fragments: int, width: int, value: str | None = None):
-        kind = np.uint32 if width == 4 else np.uint64
         table = side(table, fragment=pa.int32(), keys=pa.binary(), values=pa.binary())
-        tags, values = [np.empty(0, np.uint64)], [np.empty(0, value or np.uint8)]
-        for f, keys, more in zip(table["fragment"].to_pylist(), table["keys"].to_pylist(), table["values"].to_pylist()):
-            own = np.frombuffer(keys, kind).astype(np.uint64)
-            tags.append(own if width == 8 else own | np.uint64(f) << np.uint64(32))
-            if value:
-                values.append(np.frombuffer(more, value))
-        self.tags, self.fragments, self.width = np.concatenate(tags), fragments, width
+        raw = table["keys"].to_pylist()
+        self.tags, self.check = _numbers(raw, width)
+        self.fragments, self.width = fragments, width
+        if width == 4:
+            self.tags = self.tags | np.repeat(table["fragment"].to_numpy().astype(np.uint64) << np.uint64(32), [len(x) // 4 for x in raw])
         order = np.argsort(self.tags, kind="stable")
         self.tags = self.tags[order]
-        self.values = np.concatenate(values)[order] if value else None
+        self.check = None if self.check is None else self.check[order]
+        self.values = np.frombuffer(b"".join(table["values"].to_pylist()), value)[order] if value else None
 
-    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def find(self, keys: np.ndarray, check: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Which keys are answered, and each one's place among the answers."""
-        tags = keys if self.width == 8 else keys & np.uint64(0xFFFFFFFF) | fragment_of(keys, self.fragments).astype(np.uint64) << np.uint64(32)
+        tags = keys if self.width != 4 else keys & np.uint64(0xFFFFFFFF) | fragment_of(keys, self.fragments).astype(np.uint64) << np.uint64(32)
         if not len(self.tags):
             return np.zeros(len(keys), bool), np.zeros(len(keys), np.int64)
         at = np.minimum(np.searchsorted(self.tags, tags), len(self.tags) - 1)
-        return self.tags[at] == tags, at
+        known = self.tags[at] == tags
+        if self.check is not None:
+            known &= self.check[at] == check
+            # Answers that share the first hash alone are looked through one by one.
+            for i in np.flatnonzero(self.tags[1:] == self.tags[:-1]).tolist():
+                known |= (tags == self.tags[i + 1]) & (check == self.check[i + 1])
+        return known, at

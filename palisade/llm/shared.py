@@ -57,11 +57,12 @@ def total_bytes(docs: DataFrame, text: str = "text") -> int:
 
 
 def in_blocks(docs: DataFrame, n_blocks: int, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(block, doc_id, text): every row falls into one of n_blocks by a hash of its id and text.
+    """(block, doc_id, text): every row falls into one of n_blocks by a hash of its id, its text and its partition.
 
+    With the partition, a row that repeats very often does not fill one block.
     Nothing else of the row is carried, so columns of clashing names do no harm.
     """
     ident = F.col(id_col).cast("long")
     body = text_or_empty(text)
-    block = F.pmod(F.xxhash64(ident, F.crc32(body.cast("binary"))), F.lit(n_blocks))
+    block = F.pmod(F.xxhash64(ident, F.crc32(body.cast("binary")), F.spark_partition_id()), F.lit(n_blocks))
     return docs.select(block.cast("int").alias("block"), ident.alias("doc_id"), body.alias("text"))

@@ -6,7 +6,7 @@ half its length in it all occur in more than one document; a level without
 candidates sends nothing on, and the levels above it are empty. The first level
 looks at anchors alone: in every window of the second level, its first-level
 windows of least hash, so equal windows have equal anchors and none is missed.
-The last level compares 64-bit hashes and finds the smallest document of each.
+The last level compares 128-bit hashes and finds the smallest document of each.
 
 Documents lie in blocks, and every level is one exchange of probe.py between
 blocks and hash fragments. Documents are shuffled once into blocks, read again at
@@ -82,16 +82,24 @@ def _supported(level: _Level, below: _Level, known: np.ndarray, places: np.ndarr
     return bad[last + 1] == bad[level.at]
 
 
-def _block_keys(table: pa.Table, run: int, lengths: list[int], answers: list[probe.Answers]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Level `run`'s candidates of a block: keys, documents, places by (chunk) order."""
-    keys, docs = [], []
-    ids = table["doc_id"].fill_null(_LAST).to_numpy()
+def _block_keys(table: pa.Table, run: int, lengths: list[int], answers: list[probe.Answers]) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+    """Level `run`'s candidates of a block: keys, documents and, at the last level, second hashes."""
+    last = run == len(lengths) - 1
+    keys, docs, checks = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
+    ids = _ranked(table)
     for chunk in W.chunks(table["text"], W.SPACED):
         hashes, owner = chunk.hashes(), chunk.owner()
         level, at = _candidates(chunk, hashes, owner, run, lengths, answers)
         keys.append(level.keys[at])
         docs.append(ids[chunk.row + level.owner[at]])
-    return np.concatenate(keys or [np.empty(0, np.uint64)]), np.concatenate(docs or [np.empty(0, np.int64)])
+        if last:
+            checks.append(chunk.window_hashes(lengths[run], chunk.hashes(1))[0][at])
+    return np.concatenate(keys), np.concatenate(docs), np.concatenate(checks) if last else None
+
+
+def _ranked(table: pa.Table) -> np.ndarray:
+    """Ids as numbers whose order is theirs, a null after all others: the largest id and null share one, which no other row can precede."""
+    return table["doc_id"].fill_null(_LAST).to_numpy()
 
 
 def _candidates(chunk, hashes, owner, run, lengths, answers) -> tuple[_Level, np.ndarray]:
@@ -108,49 +116,47 @@ def _candidates(chunk, hashes, owner, run, lengths, answers) -> tuple[_Level, np
     return level, places
 
 
-def _ask(block: int, keys: np.ndarray, docs: np.ndarray, fragments: int, last: bool) -> pa.Table:
+def _ask(block: int, keys: np.ndarray, docs: np.ndarray, check: np.ndarray | None, fragments: int) -> pa.Table:
     """Distinct keys of a block: before the last level with whether two documents hold each, at the last with the smallest."""
-    order = np.lexsort((docs, keys))
-    keys, docs = keys[order], docs[order]
-    first, run = probe.runs(keys)
     if not len(keys):
         return probe.requests_table([])
-    if last:
-        values = docs[first]
-    else:
-        values = (np.maximum.reduceat(docs, first) > docs[first]).astype(np.uint8)
-    return probe.requests_table(list(probe.split(block, keys[first], fragments, not last, values)))
+    order = np.lexsort((docs, keys) if check is None else (docs, check, keys))
+    keys, docs, check = keys[order], docs[order], None if check is None else check[order]
+    first, run = probe.runs(keys, check)
+    if check is not None:
+        return probe.requests_table(list(probe.split(block, keys[first], fragments, False, docs[first], check[first])))
+    several = (np.maximum.reduceat(docs, first) > docs[first]).astype(np.uint8)
+    return probe.requests_table(list(probe.split(block, keys[first], fragments, True, several)))
 
 
-def _shared_reply(keys, values, source):
-    first, run = probe.runs(keys)
-    several = (np.diff(np.append(first, len(keys))) > 1) | (np.maximum.reduceat(values, first) > 0)
+def _shared_reply(first, run, values):
+    several = (np.diff(np.append(first, len(run))) > 1) | (np.maximum.reduceat(values, first) > 0) if len(run) else np.zeros(0, bool)
     return several[run], None
 
 
-def _earlier_reply(keys, values, source):
+def _earlier_reply(first, run, values):
     """Answered where another block has a smaller document."""
-    first, run = probe.runs(keys)
-    return values > np.minimum.reduceat(values, first)[run], None
+    return values > np.minimum.reduceat(values, first)[run] if len(run) else np.zeros(0, bool), None
 
 
 def _finish(table: pa.Table, lengths: list[int], final: probe.Answers, with_text: bool) -> pa.Table:
     length = lengths[-1]
     table = shared.side(table, doc_id=pa.int64(), text=pa.string())
-    ids = table["doc_id"].fill_null(_LAST).to_numpy()
-    every: list[tuple[W.Chunk, _Level, np.ndarray]] = []
-    keys, docs = [], []
+    ids = _ranked(table)
+    every: list[tuple[W.Chunk, _Level]] = []
+    keys, docs, check = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
     for chunk in W.chunks(table["text"], W.SPACED):
         level = _Level(chunk, chunk.hashes(), chunk.owner(), length)
         keys.append(level.keys)
         docs.append(ids[chunk.row + level.owner])
+        check.append(chunk.window_hashes(length, chunk.hashes(1))[0])
         every.append((chunk, level))
-    keys, docs = np.concatenate(keys or [np.empty(0, np.uint64)]), np.concatenate(docs or [np.empty(0, np.int64)])
-    order = np.lexsort((docs, keys))
-    first, run = probe.runs(keys[order])
+    keys, docs, check = np.concatenate(keys), np.concatenate(docs), np.concatenate(check)
+    order = np.lexsort((docs, check, keys))
+    first, run = probe.runs(keys[order], check[order])
     gone = np.empty(len(keys), bool)
     gone[order] = docs[order] > docs[order][first][run]
-    gone |= final.find(keys)[0]
+    gone |= final.find(keys, check)[0]
     out: list[tuple] = []
     done = 0
     for chunk, level in every:
@@ -187,7 +193,8 @@ def substring_dedup(docs: DataFrame, length: int = 13, digest_only: bool = False
     A word goes when a window of `length` words that covers it starts in a document
     with a smaller id too; windows are judged on the whole input. Documents of
     fewer words keep all. A null text is empty; a null id comes after all others;
-    rows of equal id do not remove each other's words. digest_only puts the kept
+    rows of equal id do not remove each other's words. Repeated rows give a row each,
+    an empty table none. digest_only puts the kept
     text's SHA-256 in place of the text. Other columns of docs are not looked at.
     """
     if length < 1:
@@ -199,34 +206,33 @@ def substring_dedup(docs: DataFrame, length: int = 13, digest_only: bool = False
     told: list[DataFrame] = []
     for run in range(len(lengths)):
         last = run == len(lengths) - 1
-        first_ask, later_ask = _asks(run, lengths, fragments, last)
+        first_ask, later_ask = _asks(run, lengths, fragments)
         if run:
             asked = blocks.groupBy("block").cogroup(_together(told).groupBy("block")).applyInArrow(later_ask, probe.REQUEST)
         else:
             asked = blocks.groupBy("block").applyInArrow(first_ask, probe.REQUEST)
         if last:
-            told = [probe.answer(asked, _earlier_reply, 8, "<i8")]
+            told = [probe.answer(asked, _earlier_reply, 16, "<i8")]
         else:
             told.append(probe.answer(asked, _shared_reply, 4, "<u1"))
 
     def finish(table: pa.Table, given: pa.Table) -> pa.Table:
-        return _finish(table, lengths, probe.Answers(given, fragments, 8), not digest_only)
+        return _finish(table, lengths, probe.Answers(given, fragments, 16), not digest_only)
 
     return blocks.groupBy("block").cogroup(told[0].groupBy("block")).applyInArrow(finish, OUT)
 
 
-def _asks(run: int, lengths: list[int], fragments: int, last: bool):
+def _asks(run: int, lengths: list[int], fragments: int):
     """The requests of a level, from a block alone and from a block with the answers of the levels below."""
 
     def first(table: pa.Table) -> pa.Table:
-        keys, ids = _block_keys(table, run, lengths, [])
-        return _ask(table["block"][0].as_py(), keys, ids, fragments, last)
+        return _ask(table["block"][0].as_py(), *_block_keys(table, run, lengths, []), fragments)
 
     def later(table: pa.Table, given: pa.Table) -> pa.Table:
         if not table.num_rows:
             return probe.requests_table([])
-        keys, ids = _block_keys(table, run, lengths, [probe.Answers(_of(given, k), fragments, 4) for k in range(run)])
-        return _ask(table["block"][0].as_py(), keys, ids, fragments, last)
+        known = [probe.Answers(_of(given, k), fragments, 4) for k in range(run)]
+        return _ask(table["block"][0].as_py(), *_block_keys(table, run, lengths, known), fragments)
 
     return first, later
 

@@ -8,9 +8,11 @@ its keys to free slots; a lone key stores its slot). A slot holds the full
 first, look their slot up and compare all bytes; members are repeats of the
 slot's winner, nonmembers are grouped among themselves.
 
-Only distinct digests meet in a bucket, so a text that a third of all rows
-share counts once there; the counting before is combined on the map side, and
-the join that hands results back to rows is one that Spark splits when skewed.
+Texts are hashed once, into a table of digests in the shared folder that all
+later steps read. Only distinct digests meet in a bucket, so a text that a third
+of all rows share counts once there; the counting before is combined on the map
+side, and the join that hands results back to rows is one that Spark splits when
+skewed. A row that repeats stays as many rows; nothing is gathered for it.
 """
 
 from __future__ import annotations
@@ -21,12 +23,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import SPACE_RUN, free_names, same_columns, text_or_empty
+from .shared import SPACE_RUN, free_names, same_columns, text_or_empty, written
 from .words import mix
 
 BUCKET_KEYS = 4000
 GROUP_KEYS = 4
-_LAST = (1 << 63) - 1
 
 
 def _lanes(digests: list[bytes]) -> np.ndarray:
@@ -85,26 +86,22 @@ class PerfectHash:
         return np.where((self.digests[at] == keys).all(axis=1), at, -1)
 
 
+_RESOLVED = "digest binary, keep_id long, keep_row long, group_size long"
+
+
 def _resolve(rows: pa.Table) -> pa.Table:
-    """One row per distinct digest of a bucket, from its history and its later rows: digest, keep_id, group_size."""
+    """One row per distinct digest of a bucket, from its history and its later rows."""
     old, new = rows.filter(rows["past"]), rows.filter(pc.invert(rows["past"]))
     have, extra = old["digest"].to_pylist(), new["digest"].to_pylist()
-    table = PerfectHash(have, old["winner"].fill_null(_LAST).to_numpy())
+    table = PerfectHash(have, list(range(len(have))))
     at = table.find(extra)
     member = at >= 0
     counts = new["n"].to_numpy()
-    own = table.find(have)
-    size = np.zeros(table.n, np.int64)
-    size[own] = old["n"].to_numpy()
-    np.add.at(size, at[member], counts[member])
-    keep = np.concatenate([table.locators[own], new["winner"].fill_null(_LAST).to_numpy()[~member]])
-    return pa.table(
-        {
-            "digest": pa.array(have + [d for d, m in zip(extra, member) if not m], pa.binary()),
-            "keep_id": pa.array(keep, pa.int64(), mask=keep == _LAST),
-            "group_size": np.concatenate([size[own], counts[~member]]).astype(np.int64),
-        }
-    )
+    size = old["n"].to_numpy().copy()
+    np.add.at(size, table.locators[at[member]], counts[member])
+    fresh = new.filter(pa.array(~member))
+    first = pa.concat_tables([old, fresh]).select(["digest", "keep_id", "keep_row"])
+    return first.append_column("group_size", pa.array(np.concatenate([size, counts[~member]]).astype(np.int64)))
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -121,25 +118,16 @@ def exact_dedup(docs: DataFrame, cut: int | None = None, id_col: str = "doc_id",
     that repeat both id and text one; a null id comes after all others. An empty
     table gives no rows. Further columns of docs are not looked at.
     """
-    rows = digests(docs, id_col, text)
+    rows = written(digests(docs, id_col, text).withColumn("row", F.monotonically_increasing_id()), "digests")
+    lo, hi, n = rows.agg(F.min("doc_id"), F.max("doc_id"), F.count(F.lit(1))).first()
     if cut is None:
-        lo, hi = docs.agg(F.min(F.col(id_col).cast("long")), F.max(F.col(id_col).cast("long"))).first()
         cut = 0 if lo is None else (lo + hi) // 2
-    buckets = max(1, -(-docs.count() // BUCKET_KEYS))
-    counted = rows.groupBy("digest", F.when(F.col("doc_id") <= cut, True).otherwise(False).alias("past")).agg(
-        F.min("doc_id").alias("winner"), F.count(F.lit(1)).alias("n")
-    )
-    counted = counted.withColumn("bucket", F.pmod(F.xxhash64("digest"), F.lit(buckets)))
-    resolved = counted.groupBy("bucket").applyInArrow(_resolve, "digest binary, keep_id long, group_size long")
-    same = rows.groupBy("doc_id", "digest").agg(F.count(F.lit(1)).alias("times"))
-    joined = same.join(resolved, "digest").select("*", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("nth"))
-    return joined.select(
-        "doc_id",
-        "keep_id",
-        "group_size",
-        (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("nth") == 1)).alias("kept"),
-        "digest",
-    )
+    buckets = max(1, -(-n // BUCKET_KEYS))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
+    counted = rows.groupBy("digest", F.when(F.col("doc_id") <= cut, True).otherwise(False).alias("past")).agg(first.alias("first"), F.count(F.lit(1)).alias("n"))
+    counted = counted.select("digest", "past", "n", F.col("first.doc_id").alias("keep_id"), F.col("first.row").alias("keep_row"), F.pmod(F.xxhash64("digest"), F.lit(buckets)).alias("bucket"))
+    resolved = counted.groupBy("bucket").applyInArrow(_resolve, _RESOLVED)
+    return rows.join(resolved, "digest").select("doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), "digest")
 
 
 def kept_rows(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:

@@ -7,7 +7,9 @@ only into itself: about its share of the weight, and none move elsewhere.
 Slots number a shard's rows without gaps. Rows of a shard are split by a hash
 into buckets, numbered inside their bucket, and shifted by the sizes of the
 buckets before, so no task ever sorts a whole shard. One sum per bucket is all
-that is gathered: 24 bytes for each million rows.
+that is gathered: 24 bytes for each million rows. The bucket depends on the
+partition too, so a row that repeats very often does not fill one; the placed
+rows, without their texts, are written once, so all readers see the same buckets.
 """
 
 from __future__ import annotations
@@ -17,6 +19,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import written
+
 BUCKET_ROWS = 1_000_000
 LEAST_BUCKETS = 64
 
@@ -50,11 +54,13 @@ def shard_rows(docs: DataFrame, weights: Sequence[float], grown: float | None =
         F.crc32(body).alias("text_crc32"),
     )
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    buckets = max(LEAST_BUCKETS, -(-docs.count() // (BUCKET_ROWS * len(weights))))
     placed = rows.withColumn("shard", rendezvous(key, weights))
     if grown is not None:
         placed = placed.withColumn("grown_shard", rendezvous(key, [*weights, grown]))
-    placed = placed.withColumn("bucket", F.pmod(F.xxhash64(key, "text_crc32", "size", F.lit("slot")), F.lit(buckets)))
+    spread = F.xxhash64(key, "text_crc32", "size", F.spark_partition_id())
+    placed = written(placed.withColumn("spread", spread), "placed")
+    buckets = max(LEAST_BUCKETS, -(-placed.count() // (BUCKET_ROWS * len(weights))))
+    placed = placed.withColumn("bucket", F.pmod("spread", F.lit(buckets)))
     sizes = placed.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))

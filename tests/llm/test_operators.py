@@ -492,3 +492,72 @@ def test_probe_numbers_follow_the_data():
 
 def test_nullable_schema_survives(docs):
     assert isinstance(exact_dedup.kept_rows(docs).schema["level"].dataType, T.IntegerType)
+
+
+def test_one_row_repeated_very_often(spark):
+    """100,000 rows of one id and text, beside two more, for the operators that gather by row or text."""
+    text = "one row that comes again and again with more than thirteen words in it so that windows exist"
+    often = spark.range(0, 100_000, 1, 8).select(F.lit(5).cast("long").alias("doc_id"), F.lit(text).alias("text"))
+    rows = often.unionAll(spark.createDataFrame([(7, text), (9, "another")], "doc_id long, text string"))
+    found = exact_dedup.exact_dedup(rows)
+    assert found.count() == 100_002 and found.filter("kept").count() == 2
+    assert found.filter("keep_id = 5 AND group_size = 100001").count() == 100_001
+    cut = substring_dedup.substring_dedup(rows, digest_only=True).groupBy("doc_id").agg(F.count("*").alias("n"), F.max("n_removed").alias("cut")).collect()
+    assert {(r["doc_id"], r["n"], r["cut"]) for r in cut} == {(5, 100_000, 0), (7, 1, 18), (9, 1, 0)}
+    groups = jaccard_join.jaccard_groups(rows).groupBy("doc_id", "component_id").count().collect()
+    assert {tuple(r) for r in groups} == {(5, 5, 100_000), (7, 5, 1), (9, 9, 1)}
+    shards = sharding.shard_rows(rows, [1.0, 1.0])
+    assert shards.select("shard", "slot").distinct().count() == 100_002
+    sizes = shards.groupBy("shard").agg(F.max("slot").alias("most"), F.count("*").alias("n")).collect()
+    assert all(r["most"] == r["n"] - 1 for r in sizes)
+    most = substring_dedup.shared.in_blocks(rows, 16).groupBy("block").count().agg(F.max("count")).first()[0]
+    assert most < 50_000
+
+
+def _thue_morse(k):
+    text = "a"
+    for _ in range(k):
+        text += text.translate(str.maketrans("ab", "ba"))
+    return text, text.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_that_defeat_polynomial_hashes(spark, vocabulary):
+    one, two = _thue_morse(11)
+    a, b = (" ".join(f"{w}{k}" for k in range(13)) for w in (one, two))
+    runs = [" ".join(w) for w in (one, two)]
+    rows = spark.createDataFrame([(1, a), (2, b), (3, runs[0]), (4, runs[1]), (5, f"{one} {two} {one}")], "doc_id long, text string")
+    cut = {r["doc_id"]: r["n_removed"] for r in substring_dedup.substring_dedup(rows.filter("doc_id < 3")).collect()}
+    assert cut == {1: 0, 2: 0}
+    assert {r["component_id"] for r in jaccard_join.jaccard_groups(rows.filter("doc_id < 3")).collect()} == {1, 2}
+    assert {r["n_words"]: r["n_removed"] for r in substring_dedup.substring_dedup(rows.filter("doc_id in (3, 4)"), 2048).collect()} == {2048: 0}
+    assert all(r["same"] for r in pieces.encoded(rows, vocabulary, check="same").collect())
+    chunk = next(W.chunks(pa.array([f"{one} {two} {one}"]), W.SPACED))
+    example, which = chunk.distinct()
+    assert len(example) == 2 and which[0] == which[2] != which[1]
+
+
+def test_distinct_words_are_told_apart_by_their_bytes(monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(W.Chunk, "hashes", lambda self, seed=0: np.zeros(len(self.starts), np.uint64))
+    chunk = next(W.chunks(pa.array(["b a b ccc a dd", "ccc"]), W.SPACED))
+    example, which = chunk.distinct()
+    assert [chunk.word(int(example[k])) for k in which] == [b"b", b"a", b"b", b"ccc", b"a", b"dd", b"ccc"] and len(example) == 4
+
+
+def test_pieces_of_unbroken_text(vocabulary):
+    """Equal to the library, and in time that grows with the length alone."""
+    import base64
+    import time
+
+    import sentencepiece
+
+    rng = random.Random(2)
+    library = sentencepiece.SentencePieceProcessor(model_file=VOCABULARY)
+    texts = ["x" * 200_000, base64.b64encode(rng.randbytes(30_000)).decode(), "".join(rng.choice("日本語テキスト中国的人在上") for _ in range(20_000)), "".join(rng.choice(["the", "quick", "internationalization"]) for _ in range(4000))]
+    vocabulary.encode(pa.array(["y" * 1000]))
+    began = time.perf_counter()
+    ids, bounds = vocabulary.encode(pa.array(texts))
+    assert time.perf_counter() - began < 40e-6 * sum(map(len, texts))
+    for k, text in enumerate(texts):
+        assert ids[bounds[k] : bounds[k + 1]].tolist() == library.encode(text)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -79,6 +80,14 @@ class SavedQuery:
     patterns: tuple[str, ...] = ()
 
 
+@dataclass(frozen=True)
+class Hit:
+    kind: str
+    name: str
+    score: float
+    params: dict[str, str] = field(default_factory=dict)
+
+
 @dataclass
 class Catalog:
     tables: dict[str, Table] = field(default_factory=dict)
@@ -110,6 +119,25 @@ class Catalog:
     def suggest(self, name: str) -> list[str]:
         return difflib.get_close_matches(name.rsplit(".", 1)[-1], [*self.tables, *self.entities], 3, 0.6)
 
+    def search(self, text: str, least: float = 0.5, offset: int = 0, limit: int = 50) -> list["Hit"]:
+        """Objects by how well a text names them, the best first, ties by kind and name, a page of them.
+
+        A saved query whose pattern finds the text scores 1 and gives the named groups
+        as parameters; else the score is the likeness of the words, at best of the name's.
+        """
+        words = re.findall(r"\w+", text.lower())
+        every = [("table", n) for n in self.tables] + [("entity", n) for n in self.entities] + [("relation", n) for n in self.relations] + [("query", n) for n in self.queries]
+        hits = []
+        for kind, name in every:
+            found = next((m for p in (self.queries[name].patterns if kind == "query" else ()) if (m := re.search(p, text, re.I))), None)
+            own = name.lower().split("_")
+            alike = [max((difflib.SequenceMatcher(None, w, o).ratio() for w in words), default=0.0) for o in own]
+            score = 1.0 if found else round(sum(alike) / len(alike), 6)
+            if score >= least:
+                hits.append(Hit(kind, name, score, {k: v for k, v in (found.groupdict() if found else {}).items() if v is not None}))
+        hits.sort(key=lambda h: (-h.score, h.kind, h.name))
+        return hits[offset : offset + limit]
+
     def detect(self, names: list[str]) -> tuple[str, list[str]]:
         """Which layer the names belong to, and suggestions for unknown ones.
 
@@ -199,7 +227,7 @@ def parquet_catalog(sf_dir: str) -> Catalog:
         "client_country": Relation("client_country", "Client", "Country", (("country", "id"),)),
     }
     queries = {
-        "open_orders": SavedQuery("open_orders", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderstatus = 'O'"),
+        "open_orders": SavedQuery("open_orders", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderstatus = 'O'", patterns=(r"open orders(?: of (?P<year>\d{4}))?",)),
         "orders_over": SavedQuery("orders_over", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > {least}", params={"least": "float"}),
         "stale": SavedQuery("stale", "SELECT 1", state="failed"),
     }

@@ -4,16 +4,16 @@ from __future__ import annotations
 
 import datetime as dt
 import json
-import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
-from decimal import Decimal, InvalidOperation
+from decimal import Decimal
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import EngineError
-from .text import fold
+from .spans import recognise_date, recognise_money
 
 EARTH_M = 6_371_008.8
 
@@ -46,185 +46,41 @@ def period_code(code: Column, form: str) -> Column:
     return F.concat(F.substring(bare, 1, 4), F.lit(sign[form]), F.substring(bare, 5, 2))
 
 
-@dataclass(frozen=True)
-class Interval:
-    """Days from start up to, not including, end."""
-
-    start: dt.date
-    end: dt.date
-    kind: str
-    confidence: float
-    code: str | None = None
-    alternatives: tuple["Interval", ...] = ()
-
-    def predicate(self, column: Column) -> Column:
-        return (column >= F.lit(self.start)) & (column < F.lit(self.end))
-
-
-#: Stems of months' names in English and folded Czech: fixed values.
-_MONTHS = (
-    ("january", "jan", "led"), ("february", "feb", "unor"), ("march", "mar", "brez"), ("april", "apr", "dub"),
-    ("may", "kvet"), ("june", "jun", "cerven", "cervn"), ("july", "jul", "cervenec", "cervenc"), ("august", "aug", "srp"),
-    ("september", "sep", "zari"), ("october", "oct", "rij"), ("november", "nov", "listopad"), ("december", "dec", "prosin"),
-)
-_STEMS = sorted(((stem, k + 1) for k, stems in enumerate(_MONTHS) for stem in stems), key=lambda x: -len(x[0]))
-_THIS = ("this", "current", "tento", "tato", "toto", "soucasn", "aktualn", "letos")
-_LAST = ("last", "previous", "past", "posledni", "minul", "predchoz", "loni")
-
-
-def _month_of(text: str) -> int | None:
-    for word in re.findall(r"[a-z]+", text):
-        for stem, month in _STEMS:
-            if word == stem or len(stem) >= 3 and word.startswith(stem) and (len(stem) > 3 or len(word) <= len(stem) + 6 and stem not in ("mar", "jun", "jul", "jan", "sep", "oct", "dec", "aug", "apr", "feb", "nov", "may")):
-                return month
-    return None
-
-
-def _has(text: str, words: tuple[str, ...]) -> bool:
-    return any(re.search(rf"\b{w}", text) for w in words)
-
-
-def _next_month(year: int, month: int, n: int = 1) -> dt.date:
-    k = year * 12 + month - 1 + n
-    return dt.date(k // 12, k % 12 + 1, 1)
-
-
-def _day(d: dt.date, confidence: float, kind: str = "absolute") -> Interval:
-    return Interval(d, d + dt.timedelta(days=1), kind, confidence)
-
-
-def _month(year: int, month: int, confidence: float, kind: str = "period") -> Interval:
-    return Interval(dt.date(year, month, 1), _next_month(year, month), kind, confidence, f"{year:04d}{month:02d}")
-
-
-def _minus_months(d: dt.date, n: int) -> dt.date:
-    first = _next_month(d.year, d.month, -n)
-    return min(first + dt.timedelta(days=d.day - 1), _next_month(first.year, first.month) - dt.timedelta(days=1))
-
-
-def recognise_date(span: str, reference: dt.date) -> Interval | None:
-    """The interval that a span names, relative to the reference day; never to the clock."""
-    t = fold(span)
-    if m := re.search(r"\b(?:fiscal|financial|fiskaln\w*|financn\w*|ucetni)\s+(?:year|rok)\s+(\d{4})", t):
-        y = int(m[1])
-        return Interval(dt.date(y, 1, 1), dt.date(y + 1, 1, 1), "fiscal_year", 0.95)
-    this, last = _has(t, _THIS), _has(t, _LAST)
-    if re.search(r"quarter|ctvrtlet", t) and this != last:
-        k = reference.year * 4 + (reference.month - 1) // 3 - int(last)
-        start = dt.date(k // 4, k % 4 * 3 + 1, 1)
-        return Interval(start, _next_month(start.year, start.month, 3), "period", 0.9, f"{k // 4:04d}Q{k % 4 + 1}")
-    if m := re.search(r"\b(\d{4})(\d{2})\b", t):
-        explicit = _has(t, ("period", "obdobi"))
-        if 1 <= int(m[2]) <= 12 and 1900 <= int(m[1]) <= 2999 and (explicit or t.strip() == m[0]):
-            return _month(int(m[1]), int(m[2]), 0.97 if explicit else 0.9)
-    try:
-        if m := re.search(r"\b(\d{4})-(\d{2})-(\d{2})\b", t):
-            return _day(dt.date(int(m[1]), int(m[2]), int(m[3])), 0.97)
-        if m := re.search(r"\b(\d{1,2})\s*[./]\s*(\d{1,2})(?:\s*[./]\s*(\d{4}))?", t):
-            return _day(dt.date(int(m[3] or reference.year), int(m[2]), int(m[1])), 0.96 if m[3] else 0.9)
-    except ValueError:
-        return None
-    if _has(t, ("today", "dnes")):
-        return _day(reference, 0.95)
-    if _has(t, ("yesterday", "vcera")):
-        return _day(reference - dt.timedelta(days=1), 0.95)
-    if _has(t, ("tomorrow", "zitra")):
-        return _day(reference + dt.timedelta(days=1), 0.95)
-    if m := re.search(r"\b(?:last|past|posledni\w*|minul\w*)\s+(\d{1,3})\s+(day|month|den|dn|mesic)", t):
-        n = int(m[1])
-        start = _minus_months(reference, n) if m[2] in ("month", "mesic") else reference - dt.timedelta(days=n)
-        return Interval(start, reference + dt.timedelta(days=1), "relative", 0.85)
-    if this != last:
-        if _has(t, ("week", "tyden", "tydn")):
-            monday = reference - dt.timedelta(days=reference.weekday() + 7 * last)
-            return Interval(monday, monday + dt.timedelta(days=7), "relative", 0.9)
-        if _has(t, ("month", "mesic")):
-            first = _next_month(reference.year, reference.month, -int(last))
-            return _month(first.year, first.month, 0.9, "relative")
-        if _has(t, ("year", "rok", "letos", "loni")):
-            y = reference.year - int(last)
-            return Interval(dt.date(y, 1, 1), dt.date(y + 1, 1, 1), "relative", 0.9)
-    month = _month_of(t)
-    if month is None:
-        return None
-    year = int(m[1]) if (m := re.search(r"\b(\d{4})\b", t)) else None
-    day = next((int(x) for x in re.findall(r"\b(\d{1,2})\b", t) if 1 <= int(x) <= 31), None)
-    try:
-        if day is not None:
-            return _day(dt.date(year or reference.year, month, day), 0.95 if year else 0.85)
-    except ValueError:
-        return None
-    if year is not None:
-        return _month(year, month, 0.9)
-    if month > reference.month:
-        other = _month(reference.year - 1, month, 0.6)
-        return Interval(dt.date(reference.year, month, 1), _next_month(reference.year, month), "period", 0.6, f"{reference.year:04d}{month:02d}", (other,))
-    return _month(reference.year, month, 0.85)
-
-
 def period_join(facts: DataFrame, periods: DataFrame, date: str, code: str, start: str = "start_date", end: str = "end_date", period: str = "period") -> DataFrame:
     """Facts of one period by its table; one period's rows are few whatever the facts."""
     one = periods.filter(F.col(period) == code).select(F.col(start).alias("__start"), F.col(end).alias("__end"))
     return facts.join(one, (F.col(date) >= F.col("__start")) & (F.col(date) < F.col("__end")), "left_semi")
 
 
-@dataclass(frozen=True)
-class Money:
-    amount: Decimal
-    currency: str | None = None
-    comparator: str = "ge"
-    tolerance: bool = False
-    at_current_rate: bool = False
-
-    def predicate(self, column: Column, percent: int = 10) -> Column:
-        """A comparison, by default at least; with tolerance a closed band around the amount."""
-        if self.tolerance:
-            part = self.amount * percent / 100
-            return column.between(F.lit(self.amount - part), F.lit(self.amount + part))
-        value = F.lit(self.amount)
-        return {"gt": column > value, "lt": column < value, "le": column <= value, "ge": column >= value}[self.comparator]
-
-
-_SCALES = ((Decimal(10) ** 9, r"mld|miliard\w*|billions?|bn|b"), (Decimal(10) ** 6, r"mil\w*|mio|m"), (Decimal(1000), r"tis\w*|thousands?|k"))
-_SIGNS = {"€": "EUR", "$": "USD", "£": "GBP", "Kč": "CZK"}
-_CURRENCIES = (("EUR", r"\beur\w*"), ("USD", r"\busd\b|\bdollars?\b|\bdolar\w*"), ("GBP", r"\bgbp\b|\bpounds?\b|\blibr\w*"), ("CZK", r"\bczk\b|\bkc\b|\bkorun\w*|\bcrowns?\b"))
-_COMPARE = (
-    ("ge", r"at least|alespon|nejmene|minimaln\w*|>="),
-    ("le", r"at most|up to|nejvyse|maximaln\w*|<="),
-    ("gt", r"more than|over|above|greater|vice nez|nad\b|pres\b|>"),
-    ("lt", r"less than|under|below|mene nez|pod\b|<"),
-)
-
-
-def recognise_money(span: str, locale: str = "en") -> Money | None:
-    """Amount with scale words, separators by locale (cs: decimal comma), currency and comparator."""
-    t = fold(span)
-    amount = _amount(t, locale)
-    if amount is None:
-        return None
-    currency = next((code for sign, code in _SIGNS.items() if sign in span), None) or next((code for code, words in _CURRENCIES if re.search(words, t)), None)
-    comparator = next((name for name, words in _COMPARE if re.search(words, t)), "ge")
-    return Money(amount, currency, comparator, bool(re.search(r"\babout\b|\baround\b|\bapprox\w*|\bcca\b|\bkolem\b|\bokolo\b|\bpriblizne\b", t)), bool(re.search(r"current rate|today'?s rate|aktualni\w* kurz\w*|dnesni\w* kurz\w*", t)))
-
-
-def _scaled(base: Decimal, word: str) -> Decimal:
-    return base * next((factor for factor, words in _SCALES if re.fullmatch(words, word.strip(". "))), Decimal(1))
-
-
-def _amount(t: str, locale: str) -> Decimal | None:
-    scale = "|".join(words for _, words in _SCALES)
-    if m := re.search(rf"(\d[\d  .,]*)\s*({scale})?\b\.?", t):
-        token = re.sub(r"[  ]", "", m[1]).rstrip(".,")
-        token = token.replace(".", "").replace(",", ".") if locale.lower().startswith("cs") else token.replace(",", "")
-        try:
-            return _scaled(Decimal(token), m[2] or "")
-        except InvalidOperation:
-            return None
-    if m := re.search(rf"\b(pul|sto)\b\s*({scale})?", t):
-        if m[2]:
-            return _scaled(Decimal("0.5") if m[1] == "pul" else Decimal(100), m[2])
-        return Decimal(100) if m[1] == "sto" else None
-    return None
+_READ = "span string, first date, after date, code string"
+_PRICED = "span string, amount decimal(28,6), currency string, comparator string, tolerance boolean"
+
+
+def read_dates(spans: DataFrame, reference: dt.date, span: str = "span", triggers: tuple[str, ...] = ()) -> DataFrame:
+    """(span, first, after, code) for each distinct span; nulls where it names no time."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(0).to_pylist()
+            found = [None if text is None else recognise_date(text, reference, triggers) for text in texts]
+            columns = [[x and getattr(x, name) for x in found] for name in ("start", "end", "code")]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([texts, *columns], (pa.string(), pa.date32(), pa.date32(), pa.string()))], ["span", "first", "after", "code"])
+
+    return spans.select(F.col(span).alias("span")).distinct().mapInArrow(read, _READ)
+
+
+def read_money(spans: DataFrame, locale: str = "en", span: str = "span") -> DataFrame:
+    """(span, amount, currency, comparator, tolerance) for each distinct span; nulls where it names no amount."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.string(), pa.decimal128(28, 6), pa.string(), pa.string(), pa.bool_())
+        for batch in batches:
+            texts = batch.column(0).to_pylist()
+            found = [None if text is None else recognise_money(text, locale) for text in texts]
+            columns = [[x and x.amount.quantize(Decimal("0.000001")) for x in found], *[[None if x is None else getattr(x, name) for x in found] for name in ("currency", "comparator", "tolerance")]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([texts, *columns], kinds)], ["span", "amount", "currency", "comparator", "tolerance"])
+
+    return spans.select(F.col(span).alias("span")).distinct().mapInArrow(read, _PRICED)
 
 
 def fx_join(facts: DataFrame, rates: DataFrame, amount: str, source: str, target: str, as_of: dt.date | None, out: str = "domestic") -> DataFrame:
@@ -256,6 +112,11 @@ class Boundary:
         return lat.between(lo_lat, hi_lat) & lon.between(lo_lon, hi_lon)
 
 
+def _plain(x: float) -> str:
+    """The shortest decimal that reads back as x, whole numbers without a point."""
+    return repr(x).removesuffix(".0")
+
+
 def boundary(geojson: str) -> Boundary:
     """From a GeoJSON Polygon or MultiPolygon; holes are left out."""
     body = json.loads(geojson)
@@ -268,7 +129,7 @@ def boundary(geojson: str) -> Boundary:
         raise EngineError("validation_failed", f"geometry {body.get('type')}")
     rings = tuple(tuple((float(x), float(y)) for x, y, *_ in polygon[0]) for polygon in polygons)
     lons, lats = [x for ring in rings for x, _ in ring], [y for ring in rings for _, y in ring]
-    texts = ["((" + ", ".join(f"{x:g} {y:g}" for x, y in ring) + "))" for ring in rings]
+    texts = ["((" + ", ".join(f"{_plain(x)} {_plain(y)}" for x, y in ring) + "))" for ring in rings]
     wkt = f"POLYGON {texts[0]}" if body["type"] == "Polygon" else f"MULTIPOLYGON ({', '.join(texts)})"
     return Boundary(wkt, (min(lats), min(lons), max(lats), max(lons)), rings)
 

@@ -26,9 +26,28 @@ def tokens(column: Column) -> Column:
     return F.filter(F.split(column, r"\s+"), lambda x: x != "")
 
 
+def _with_tokens(rows: DataFrame, text: str, name: str) -> DataFrame:
+    """rows with the folded tokens of a text; each distinct text is folded once, null texts have none."""
+    own = rows.select(F.col(text).alias("__text")).filter("__text IS NOT NULL").distinct().withColumn(name, tokens(tx_fold(F.col("__text"))))
+    return rows.join(own, F.col(text) == F.col("__text"), "left").drop("__text")
+
+
 def prepared(candidates: DataFrame) -> DataFrame:
     """Candidates with folded tokens."""
-    return candidates.select("id", "value", "category", tokens(tx_fold(F.col("value"))).alias("tokens"))
+    return _with_tokens(candidates.select("id", "value", "category"), "value", "tokens")
+
+
+def seeds(queries: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(span_id, id, category, value): candidates that share an exact token with a span, or, for a span
+    of which no token is known, those with a token within two edits of one of its own."""
+    rows = prepared(candidates)
+    postings = rows.select("id", "category", "value", F.explode(F.array_distinct("tokens")).alias("token"))
+    each = _with_tokens(queries.select("span_id", "span"), "span", "query_tokens").select("span_id", F.explode(F.array_distinct("query_tokens")).alias("query_token"))
+    vocabulary = postings.select("token").distinct()
+    exact = each.join(vocabulary, F.col("query_token") == F.col("token")).select("span_id", "token")
+    lost = each.join(exact.select("span_id").distinct(), "span_id", "left_anti")
+    near = lost.join(resolve(lost.select("query_token"), vocabulary), "query_token").select("span_id", "token")
+    return exact.unionAll(near).distinct().join(postings, "token").select("span_id", "id", "category", "value").distinct()
 
 
 def idf(prepared_rows: DataFrame) -> DataFrame:
@@ -80,21 +99,9 @@ def _order_bonus(query: Column, candidate: Column) -> Column:
     return F.least(F.pow(F.lit(ORDER_BONUS), pairs), F.lit(MOST_BONUS))
 
 
-def match(queries: DataFrame, candidates: DataFrame, limit: int = 10) -> DataFrame:
-    """(span_id, id, category, value, score, nth): IDF-weighted token scores, the best `limit` a span.
-
-    queries are (span_id, span). A query token counts with the nearest token of the
-    candidate among those within two edits, at 1 - distance / longer length and that
-    token's idf; tokens without one count nothing at the weight of an unknown token.
-
-    Spans with the same tokens are scored once, against each distinct token list of
-    the candidates; of those that share one, the first ones are enough for the ranks.
-    """
-    kept = max(LEAST_RETRIEVED, RETRIEVED_FACTOR * limit)
-    rows = prepared(candidates)
+def _scored_lists(q: DataFrame, rows: DataFrame, unknown: DataFrame) -> DataFrame:
+    """(query_tokens, tokens, base, bonus) for each pair of token lists that meet in a token within two edits."""
     weights = idf(rows)
-    unknown = candidates.agg((F.log(F.count(F.lit(1)) + 1) + 1).alias("unknown"))
-    q = queries.select("span_id", tokens(tx_fold(F.col("span"))).alias("query_tokens"))
     each = q.select("query_tokens").distinct().select("query_tokens", F.posexplode("query_tokens").alias("place", "query_token"))
     near = resolve(each.select("query_token"), weights).join(weights, "token")
     postings = rows.select("tokens").distinct().select("tokens", F.explode(F.array_distinct("tokens")).alias("token"))
@@ -106,19 +113,57 @@ def match(queries: DataFrame, candidates: DataFrame, limit: int = 10) -> DataFra
     summed = best.groupBy("query_tokens", "tokens").agg(
         F.sum(F.col("best.quality") * F.col("best.weight")).alias("got"), F.sum("best.weight").alias("weight"), F.count(F.lit(1)).alias("found")
     )
-    penalty = summed.crossJoin(unknown).withColumn("base", F.col("got") / (F.col("weight") + (F.size("query_tokens") - F.col("found")) * F.col("unknown")))
-    alike = Window.partitionBy("tokens").orderBy("id", "category", "value")
+    base = F.col("got") / (F.col("weight") + (F.size("query_tokens") - F.col("found")) * F.col("unknown"))
+    bonus = _order_bonus(F.col("query_tokens"), F.col("tokens"))
+    return summed.crossJoin(unknown).select("query_tokens", "tokens", F.round(base, 12).alias("base"), bonus.alias("bonus"))
+
+
+def retrieve(queries: DataFrame, candidates: DataFrame, limit: int = 10, each_category: bool = False) -> DataFrame:
+    """(query_tokens, tokens, id, category, value, base, bonus, rank): for each distinct token list of the spans, the
+    candidates of the best weighted token scores, max(500, 4 * limit) of them, ties by id, category and value.
+
+    Postings hold distinct token lists, so values that repeat are scored once; of
+    candidates that share a list, the first ones are enough for the ranks.
+    """
+    kept = max(LEAST_RETRIEVED, RETRIEVED_FACTOR * limit)
+    rows = prepared(candidates)
+    unknown = candidates.agg((F.log(F.count(F.lit(1)) + 1) + 1).alias("unknown"))
+    q = _with_tokens(queries.select("span"), "span", "query_tokens").filter(F.size("query_tokens") > 0)
+    by = ("category",) if each_category else ()
+    alike = Window.partitionBy("tokens", *by).orderBy("id", "category", "value")
     members = rows.withColumn("rank", F.row_number().over(alike)).filter(F.col("rank") <= kept).drop("rank")
-    first = Window.partitionBy("query_tokens").orderBy(F.desc("base"), "id", "category", "value")
-    retrieved = penalty.join(members, "tokens").withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= kept)
-    scored = retrieved.withColumn("score", F.round(F.col("base") * _order_bonus(F.col("query_tokens"), F.col("tokens")), 9))
-    best_rows = top(scored.select("query_tokens", "id", "category", "value", "score"), limit, "query_tokens")
-    return q.join(best_rows, "query_tokens").select("span_id", "id", "category", "value", "score", "nth")
+    first = Window.partitionBy("query_tokens", *by).orderBy(F.desc("base"), "id", "category", "value")
+    found = _scored_lists(q, rows, unknown).join(members, "tokens")
+    return found.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= kept)
+
+
+def match(queries: DataFrame, candidates: DataFrame, limit: int = 10, each_category: bool = False) -> DataFrame:
+    """(span_id, id, category, value, score, nth): IDF-weighted token scores, the best `limit` a span.
+
+    queries are (span_id, span). A query token counts with the nearest token of the
+    candidate among those within two edits, at 1 - distance / longer length and that
+    token's idf; tokens without one count nothing at the weight of an unknown token.
+    With each_category, the best `limit` of every category are taken.
+    """
+    found = retrieve(queries, candidates, limit, each_category)
+    scored = found.withColumn("score", F.round(F.col("base") * F.col("bonus"), 9))
+    by = ("query_tokens", "category") if each_category else ("query_tokens",)
+    best = top(scored.select("query_tokens", "id", "category", "value", "score"), limit, *by)
+    spans = _with_tokens(queries.select("span_id", "span"), "span", "query_tokens")
+    return spans.join(best, "query_tokens").select("span_id", "id", "category", "value", "score", "nth")
+
+
+def batch(queries: DataFrame, candidates: DataFrame, categories: list[str], limit: int = 10) -> DataFrame:
+    """match() of many spans against several categories at once: the best `limit` of each, an (id, category) once a span."""
+    own = candidates.filter(F.col("category").isin(*categories))
+    found = match(queries, own, limit, each_category=True)
+    once = Window.partitionBy("span_id", "id", "category").orderBy("nth")
+    return found.withColumn("__nth", F.row_number().over(once)).filter("__nth = 1").drop("__nth")
 
 
-def top(scored: DataFrame, limit: int, by: str = "span_id") -> DataFrame:
-    """The best rows of each span; ties by id, then category."""
-    order = Window.partitionBy(by).orderBy(F.desc("score"), "id", "category")
+def top(scored: DataFrame, limit: int, *by: str) -> DataFrame:
+    """The best rows of each span (or other columns); ties by id, then category."""
+    order = Window.partitionBy(*(by or ("span_id",))).orderBy(F.desc("score"), "id", "category")
     return scored.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= limit)
 
 

@@ -13,11 +13,13 @@ import json
 import tempfile
 import uuid
 import zipfile
+from xml.etree import ElementTree
 from collections.abc import Callable
+from functools import reduce
 
 import pyarrow as pa
 import pyarrow.parquet as pq
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..catalog import Catalog, QName, Table, parquet_catalog
@@ -272,17 +274,63 @@ def _gr_relative(spark, sf):
     return spark.createDataFrame([(s, x.start if x else None, x.end if x else None) for s, x in found], "span string, first date, after date")
 
 
-QUERIES["gr_dates"], ORACLE["gr_dates"] = QUERIES["gr_relative"], ORACLE["gr_relative"]
+
+
+#: A day written in four ways by its number: ISO, d. m. yyyy, month by name, and as a period's code.
+_DAY_FORMS = ("yyyy-MM-dd", "d. M. yyyy", "MMMM d, yyyy", "'period' yyyyMM")
+
+
+@query(
+    "gr_dates",
+    """SELECT DISTINCT CASE day(d) % 4 WHEN 0 THEN strftime(d, '%Y-%m-%d') WHEN 1 THEN strftime(d, '%-d. %-m. %Y') WHEN 2 THEN strftime(d, '%B %-d, %Y') ELSE 'period ' || strftime(d, '%Y%m') END AS span,
+    CASE WHEN day(d) % 4 = 3 THEN CAST(date_trunc('month', d) AS DATE) ELSE d END AS first, CAST(CASE WHEN day(d) % 4 = 3 THEN date_trunc('month', d) + INTERVAL 1 MONTH ELSE d + INTERVAL 1 DAY END AS DATE) AS after,
+    CASE WHEN day(d) % 4 = 3 THEN strftime(d, '%Y%m') END AS code FROM (SELECT CAST(o_orderdate AS DATE) AS d FROM orders)""",
+)
+def _gr_dates(spark, sf):
+    day = F.col("o_orderdate").cast("date")
+    form = F.dayofmonth(day) % 4
+    text_ = F.coalesce(*[F.when(form == k, F.date_format(day, f)) for k, f in enumerate(_DAY_FORMS)])
+    return grounding.read_dates(table(spark, sf, "orders").select(text_.alias("span")), dt.date(2026, 5, 20))
+
+
 query("gr_money_cmp", "SELECT o_orderkey FROM orders WHERE o_totalprice >= 180000 AND o_totalprice <= 220000")(
     lambda spark, sf: table(spark, sf, "orders").filter(grounding.recognise_money("about 200k").predicate(F.col("o_totalprice"))).select("o_orderkey")
 )
 
 
-@query("gr_money_parse", "SELECT span, CAST(a AS DECIMAL(20, 2)) AS amount, c AS currency, o AS comparator FROM (VALUES ('more than 1.5 million EUR', '1500000', 'EUR', 'gt'), ('2 mld Kč', '2000000000', 'CZK', 'ge'), ('pod 100 000 korun', '100000', 'CZK', 'lt'), ('půl milionu', '500000', NULL, 'ge'), ('$250k', '250000', 'USD', 'ge')) v(span, a, c, o)")
+
+
+@query(
+    "gr_money_parse",
+    """SELECT DISTINCT CASE k WHEN 0 THEN 'more than ' || format('{:,}', n) || '.50 EUR' WHEN 1 THEN 'no more than $' || n || '.25' WHEN 2 THEN 'not less than ' || n || ' PLN in Europe' WHEN 3 THEN 'under ' || n || 'k pounds'
+    WHEN 4 THEN 'about ' || n ELSE 'at most ' || n || ' million crowns' END AS span,
+    CAST(n AS DECIMAL(28, 6)) * CASE k WHEN 3 THEN 1000 WHEN 5 THEN 1000000 ELSE 1 END + CASE k WHEN 0 THEN 0.5 WHEN 1 THEN 0.25 ELSE 0 END AS amount,
+    CASE k WHEN 0 THEN 'EUR' WHEN 1 THEN 'USD' WHEN 2 THEN 'PLN' WHEN 3 THEN 'GBP' WHEN 5 THEN 'CZK' END AS currency, CASE k WHEN 0 THEN 'gt' WHEN 1 THEN 'le' WHEN 3 THEN 'lt' WHEN 5 THEN 'le' ELSE 'ge' END AS comparator, k = 4 AS tolerance
+    FROM (SELECT CAST(floor(o_totalprice) AS BIGINT) AS n, o_orderkey % 6 AS k FROM orders)""",
+)
 def _gr_money_parse(spark, sf):
-    spans = [("more than 1.5 million EUR", "en"), ("2 mld Kč", "cs"), ("pod 100 000 korun", "cs"), ("půl milionu", "cs"), ("$250k", "en")]
-    rows = [(s, m.amount, m.currency, m.comparator) for s, locale in spans for m in [grounding.recognise_money(s, locale)]]
-    return spark.createDataFrame(rows, "span string, amount decimal(20,2), currency string, comparator string")
+    """Every order's price as a span in one of six wordings."""
+    n, form = F.floor("o_totalprice").cast("long"), F.col("o_orderkey") % 6
+    text_ = n.cast("string")
+    wordings = (
+        F.concat(F.lit("more than "), F.format_number(n, 0), F.lit(".50 EUR")),
+        F.concat(F.lit("no more than $"), text_, F.lit(".25")),
+        F.concat(F.lit("not less than "), text_, F.lit(" PLN in Europe")),
+        F.concat(F.lit("under "), text_, F.lit("k pounds")),
+        F.concat(F.lit("about "), text_),
+        F.concat(F.lit("at most "), text_, F.lit(" million crowns")),
+    )
+    return grounding.read_money(table(spark, sf, "orders").select(F.coalesce(*[F.when(form == k, w) for k, w in enumerate(wordings)]).alias("span")))
+
+
+@query(
+    "gr_money_words",
+    """SELECT span, CAST(a AS DECIMAL(28, 6)) AS amount, c AS currency, o AS comparator FROM (VALUES ('více než 1,5 milionu EUR', '1500000', 'EUR', 'gt'), ('2 mld Kč', '2000000000', 'CZK', 'ge'), ('pod 100 000 korun', '100000', 'CZK', 'lt'),
+    ('půl milionu', '500000', NULL, 'ge'), ('ne více než 500', '500', NULL, 'le'), ('1.500,25 zł', '1500.25', 'PLN', 'ge'), ('nejméně sto tisíc', '100000', NULL, 'ge'), ('půl', NULL, NULL, NULL)) v(span, a, c, o)""",
+)
+def _gr_money_words(spark, sf):
+    spans = ("více než 1,5 milionu EUR", "2 mld Kč", "pod 100 000 korun", "půl milionu", "ne více než 500", "1.500,25 zł", "nejméně sto tisíc", "půl")
+    return grounding.read_money(spark.createDataFrame([(s,) for s in spans], "span string"), "cs").drop("tolerance")
 
 
 query("gr_money_native", "SELECT s_suppkey FROM supplier WHERE s_acctbal > 5000 AND s_nationkey < 13")(
@@ -294,11 +342,11 @@ query("gr_money_fx", "SELECT o_orderkey FROM orders WHERE o_totalprice * 24.0 >=
 query("gr_geo_dist", f"SELECT c_custkey, round({_DISTANCE.format('50.0', '14.0')}, 3) AS metres FROM {_POINTS}")(
     lambda spark, sf: _points(spark, sf).select("c_custkey", F.round(grounding.geo_distance_m(F.col("lat"), F.col("lon"), F.lit(50.0), F.lit(14.0)), 3).alias("metres"))
 )
-_AREA = json.dumps({"type": "Polygon", "coordinates": [[[13.65, 49.15], [14.15, 49.15], [14.15, 49.85], [13.65, 49.15]]]})
-query("gr_geo_bbox", f"SELECT c_custkey FROM {_POINTS} WHERE lat BETWEEN 49.15 AND 49.85 AND lon BETWEEN 13.65 AND 14.15")(
+_AREA = json.dumps({"type": "Polygon", "coordinates": [[[13.65000125, 49.15], [14.15, 49.15], [14.15, 49.85], [13.65000125, 49.15]]]})
+query("gr_geo_bbox", f"SELECT c_custkey FROM {_POINTS} WHERE lat BETWEEN 49.15 AND 49.85 AND lon BETWEEN 13.65000125 AND 14.15")(
     lambda spark, sf: _points(spark, sf).filter(grounding.boundary(_AREA).in_box(F.col("lat"), F.col("lon"))).select("c_custkey")
 )
-query("gr_geo_boundary", "SELECT 'POLYGON ((13.65 49.15, 14.15 49.15, 14.15 49.85, 13.65 49.15))' AS wkt, 49.15::DOUBLE AS min_lat, 14.15::DOUBLE AS max_lon")(
+query("gr_geo_boundary", "SELECT 'POLYGON ((13.65000125 49.15, 14.15 49.15, 14.15 49.85, 13.65000125 49.15))' AS wkt, 49.15::DOUBLE AS min_lat, 14.15::DOUBLE AS max_lon")(
     lambda spark, sf: (lambda b: spark.createDataFrame([(b.wkt, b.box[0], b.box[3])], "wkt string, min_lat double, max_lon double"))(grounding.boundary(_AREA))
 )
 
@@ -361,12 +409,29 @@ plan_query(
     round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN 1 PRECEDING AND CURRENT ROW), 2) AS moving
     FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)""",
 )
-plan_query(
-    "sort_nulls",
-    Limit(Sort(project(Join(NATION, Filter(SUPPLIER, call("lt", Ref("s_suppkey"), 15)), "left", call("eq", Ref("n_nationkey"), Ref("s_nationkey"))), n_name="n_name", s_suppkey="s_suppkey"), ((Ref("s_suppkey"), True, True), (Ref("n_name"), False, False))), 12),
-    "SELECT n_name, s_suppkey FROM nation LEFT JOIN (SELECT * FROM supplier WHERE s_suppkey < 15) s ON n_nationkey = s_nationkey ORDER BY s_suppkey DESC NULLS FIRST, n_name ASC NULLS LAST LIMIT 12",
+
+
+def _placed(df: DataFrame) -> DataFrame:
+    """A sorted result, written as it is, with each row's place, from the sizes of its partitions, so that the order can be compared."""
+    mover, at = _mover(df.sparkSession), Location("blob", "sorted")
+    mover.write(df.withColumn("__id", F.monotonically_increasing_id()), at)
+    rows = mover.read(at).withColumn("__part", F.shiftright("__id", 33))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = rows.groupBy("__part").agg(F.count(F.lit(1)).alias("__n")).select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    inside = F.col("__id") - F.shiftleft("__part", 33)
+    return rows.join(sizes, "__part").withColumn("place", F.col("__before") + inside).drop("__id", "__part", "__before")
+
+
+_SORTED_NULLS = Sort(
+    project(Join(NATION, Filter(SUPPLIER, call("gt", Ref("s_acctbal"), 9000.0)), "left", call("eq", Ref("n_nationkey"), Ref("s_nationkey"))), n_name="n_name", s_suppkey="s_suppkey"),
+    ((Ref("s_suppkey"), True, True), (Ref("n_name"), False, False)),
+)
+query("sort_nulls", "SELECT n_name, s_suppkey, row_number() OVER (ORDER BY s_suppkey DESC NULLS FIRST, n_name ASC NULLS LAST) - 1 AS place FROM nation LEFT JOIN (SELECT * FROM supplier WHERE s_acctbal > 9000) s ON n_nationkey = s_nationkey")(
+    lambda spark, sf: _placed(engine(spark, sf).run(json.dumps(frontends.to_wire(_SORTED_NULLS)), "relnode"))
+)
+query("sort_expr", "SELECT o_orderkey, o_orderstatus, row_number() OVER (ORDER BY CASE o_orderstatus WHEN 'P' THEN 0 WHEN 'O' THEN 1 ELSE 2 END, o_orderkey DESC) - 1 AS place FROM orders")(
+    lambda spark, sf: _placed(engine(spark, sf).run("SELECT o_orderkey, o_orderstatus FROM orders ORDER BY CASE o_orderstatus WHEN 'P' THEN 0 WHEN 'O' THEN 1 ELSE 2 END, 1 DESC"))
 )
-sql_query("sort_expr", "SELECT o_orderkey, o_orderstatus FROM orders ORDER BY CASE o_orderstatus WHEN 'P' THEN 0 WHEN 'O' THEN 1 ELSE 2 END, 1 DESC LIMIT 25")
 plan_query("limit_offset", Limit(Sort(project(PART, p_partkey="p_partkey"), ((Ref("p_partkey"), False, False),)), 10, 7), "SELECT p_partkey FROM part ORDER BY p_partkey LIMIT 10 OFFSET 7")
 sql_query("topk", "SELECT TOP 20 o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20")
 query("gov_topn", "SELECT p_partkey FROM part ORDER BY p_partkey LIMIT 30")(
@@ -384,29 +449,33 @@ plan_query(
     project(LINEITEM, k="l_orderkey", n="l_linenumber", a=call("round", call("add", Ref("l_quantity"), Ref("l_tax")), 4), b=call("subtract", Ref("l_linenumber"), 1), c=call("mul", Ref("l_linenumber"), 3), d=call("round", call("divide", Ref("l_linenumber"), 2), 4), e=call("modulo", call("negate", Ref("l_linenumber")), 3)),
     "SELECT l_orderkey AS k, l_linenumber AS n, round(l_quantity + l_tax, 4) AS a, l_linenumber - 1 AS b, l_linenumber * 3 AS c, round(l_linenumber / 2, 4) AS d, -l_linenumber % 3 AS e FROM lineitem",
 )
-for _key in ("fn_add", "fn_negate", "fn_mul"):
-    QUERIES[_key], ORACLE[_key] = QUERIES["fn_arithmetic"], ORACLE["fn_arithmetic"]
+plan_query("fn_add", project(PART, k="p_partkey", a=call("add", Ref("p_size"), Ref("p_partkey")), s=call("subtract", Ref("p_size"), Ref("p_partkey"))), "SELECT p_partkey AS k, p_size + p_partkey AS a, p_size - p_partkey AS s FROM part")
+plan_query("fn_negate", project(SUPPLIER, k="s_suppkey", n=call("negate", Ref("s_acctbal"))), "SELECT s_suppkey AS k, -s_acctbal AS n FROM supplier")
+plan_query("fn_mul", project(ORDERS, k="o_orderkey", m=call("mul", Ref("o_custkey"), 7)), "SELECT o_orderkey AS k, o_custkey * 7 AS m FROM orders")
 plan_query(
     "fn_cmp",
     project(Filter(PART, call("or", call("and", call("ge", Ref("p_size"), 10), call("le", Ref("p_size"), 12), call("ne", Ref("p_size"), 11)), call("eq", Ref("p_size"), 40), call("lt", Ref("p_retailprice"), 905.0))), p_partkey="p_partkey"),
     "SELECT p_partkey FROM part WHERE (p_size >= 10 AND p_size <= 12 AND p_size <> 11) OR p_size = 40 OR p_retailprice < 905",
 )
-QUERIES["fn_and"], ORACLE["fn_and"] = QUERIES["fn_cmp"], ORACLE["fn_cmp"]
+plan_query("fn_and", project(Filter(CUSTOMER, call("and", call("gt", Ref("c_acctbal"), 0.0), call("or", call("eq", Ref("c_nationkey"), 3), call("eq", Ref("c_mktsegment"), "BUILDING")))), c_custkey="c_custkey"), "SELECT c_custkey FROM customer WHERE c_acctbal > 0 AND (c_nationkey = 3 OR c_mktsegment = 'BUILDING')")
 plan_query(
     "fn_not",
     project(Filter(Join(NATION, Filter(REGION, call("lt", Ref("r_regionkey"), 3)), "left", call("eq", Ref("n_regionkey"), Ref("r_regionkey"))), call("or", call("is_null", Ref("r_name")), call("not", call("is_not_null", Ref("r_name"))), call("between", Ref("n_nationkey"), 2, 4))), n_nationkey="n_nationkey"),
     "SELECT n_nationkey FROM nation LEFT JOIN (SELECT * FROM region WHERE r_regionkey < 3) r ON n_regionkey = r_regionkey WHERE r_name IS NULL OR n_nationkey BETWEEN 2 AND 4",
 )
-for _key in ("fn_is_null", "fn_between"):
-    QUERIES[_key], ORACLE[_key] = QUERIES["fn_not"], ORACLE["fn_not"]
+_ODD_ORDERS = Join(CUSTOMER, Filter(ORDERS, call("eq", Ref("o_orderstatus"), "P")), "left", call("eq", Ref("c_custkey"), Ref("o_custkey")))
+plan_query("fn_is_null", project(_ODD_ORDERS, c_custkey="c_custkey", none=call("is_null", Ref("o_orderkey")), some=call("is_not_null", Ref("o_orderkey"))), "SELECT c_custkey, o_orderkey IS NULL AS none, o_orderkey IS NOT NULL AS some FROM customer LEFT JOIN (SELECT * FROM orders WHERE o_orderstatus = 'P') o ON c_custkey = o_custkey")
+plan_query("fn_between", project(Filter(LINEITEM, call("between", Ref("l_quantity"), 10.0, 12.0)), l_orderkey="l_orderkey", l_linenumber="l_linenumber"), "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_quantity BETWEEN 10 AND 12")
 plan_query("fn_in", project(Filter(CUSTOMER, call("in", Ref("c_mktsegment"), "BUILDING", "MACHINERY")), c_custkey="c_custkey"), "SELECT c_custkey FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')")
 plan_query(
     "fn_text",
     project(NATION, k="n_nationkey", up=call("upper", Ref("n_name")), low=call("lower", Ref("n_name")), both=call("concat", Ref("n_name"), "-", Cast(Ref("n_regionkey"), "text")), some=call("coalesce", Lit(None, "text"), Ref("n_name")), part=call("substring", Ref("n_name"), 2, 3)),
     "SELECT n_nationkey AS k, upper(n_name) AS up, lower(n_name) AS low, n_name || '-' || CAST(n_regionkey AS VARCHAR) AS both, n_name AS some, substring(n_name, 2, 3) AS part FROM nation",
 )
-for _key in ("fn_coalesce", "fn_concat", "fn_lower", "fn_substring"):
-    QUERIES[_key], ORACLE[_key] = QUERIES["fn_text"], ORACLE["fn_text"]
+plan_query("fn_coalesce", project(_ODD_ORDERS, c_custkey="c_custkey", k=call("coalesce", Ref("o_orderkey"), Ref("c_custkey"))), "SELECT c_custkey, coalesce(o_orderkey, c_custkey) AS k FROM customer LEFT JOIN (SELECT * FROM orders WHERE o_orderstatus = 'P') o ON c_custkey = o_custkey")
+plan_query("fn_concat", project(PART, p=call("concat", Ref("p_brand"), "/", Ref("p_name"))), "SELECT p_brand || '/' || p_name AS p FROM part")
+plan_query("fn_lower", project(CUSTOMER, k="c_custkey", low=call("lower", Ref("c_mktsegment")), up=call("upper", Ref("c_name"))), "SELECT c_custkey AS k, lower(c_mktsegment) AS low, upper(c_name) AS up FROM customer")
+plan_query("fn_substring", project(PART, k="p_partkey", part=call("substring", Ref("p_name"), 3, 4)), "SELECT p_partkey AS k, substring(p_name, 3, 4) AS part FROM part")
 plan_query("fn_like", project(Filter(PART, call("like", Ref("p_name"), "%e%_a%")), p_partkey="p_partkey"), "SELECT p_partkey FROM part WHERE p_name LIKE '%e%_a%'")
 plan_query("fn_cast", project(ORDERS, k="o_orderkey", t=Cast(Ref("o_orderkey"), "text"), f=Cast(Ref("o_custkey"), "float"), i=Cast(Cast(Ref("o_orderkey"), "text"), "int"), b=Cast(Lit("true"), "bool")), "SELECT o_orderkey AS k, CAST(o_orderkey AS VARCHAR) AS t, CAST(o_custkey AS DOUBLE) AS f, o_orderkey AS i, TRUE AS b FROM orders")
 plan_query("fn_literal", project(Filter(REGION, call("ge", Ref("r_regionkey"), Param("least"))), r_name="r_name", one=Lit(1, "int"), none=Lit(None, "text")), "SELECT r_name, 1::BIGINT AS one, NULL::VARCHAR AS none FROM region WHERE r_regionkey >= 2", {"least": 2})
@@ -505,24 +574,71 @@ _TOKENS = "(SELECT CAST(p_partkey AS VARCHAR) AS id, p_name AS value, regexp_ext
 query("fz_idf", f"SELECT token, count(*) AS df, round(ln(((SELECT count(*) FROM part) + 1) / (count(*) + 1)) + 1, 9) AS idf FROM (SELECT DISTINCT id, unnest(tokens) AS token FROM {_TOKENS}) GROUP BY token")(
     lambda spark, sf: fuzzy.idf(fuzzy.prepared(_members(spark, sf))).select("token", "df", F.round("idf", 9).alias("idf"))
 )
-query("fz_seed", f"SELECT DISTINCT id, value FROM (SELECT id, value, unnest(tokens) AS token FROM {_TOKENS}) WHERE token IN (SELECT unnest(regexp_extract_all(lower(p_name), '\\S+')) FROM part WHERE p_partkey = 1)")(
-    lambda spark, sf: (lambda rows: rows.join(rows.filter("id = '1'").select(F.explode("tokens").alias("t")).distinct(), F.array_contains("tokens", F.col("t"))).select("id", "value").distinct())(fuzzy.prepared(_members(spark, sf)))
+query(
+    "fz_seed",
+    f"""WITH m AS {_TOKENS}, p AS (SELECT id, value, unnest(tokens) AS token FROM m), q AS (SELECT DISTINCT value AS span, unnest(list_distinct(list_transform(tokens, lambda t, i: CASE WHEN i = 1 THEN 'x' || t ELSE t END))) AS t FROM m WHERE len(tokens) > 1),
+    sure AS (SELECT DISTINCT span, token FROM q JOIN p ON t = token), lost AS (SELECT * FROM q WHERE span NOT IN (SELECT span FROM sure)),
+    every AS (SELECT * FROM sure UNION SELECT span, token FROM lost JOIN (SELECT DISTINCT token FROM p) ON levenshtein(t, token) <= 2) SELECT DISTINCT span, id, value FROM every JOIN p USING (token)""",
+)(
+    lambda spark, sf: (lambda members: fuzzy.seeds(members.filter("value LIKE '% %'").select(F.col("value").alias("span_id"), F.concat(F.lit("x"), F.col("value")).alias("span")).distinct(), members).select(F.col("span_id").alias("span"), "id", "value"))(_members(spark, sf))
 )
 query("fz_resolve", f"SELECT q.t AS query_token, v.t AS token, levenshtein(q.t, v.t) AS distance FROM (SELECT DISTINCT unnest(tokens) AS t FROM {_TOKENS}) q JOIN (SELECT DISTINCT unnest(tokens) AS t FROM {_TOKENS}) v ON levenshtein(q.t, v.t) <= 2")(
     lambda spark, sf: (lambda rows: fuzzy.resolve(rows.select(F.explode("tokens").alias("query_token")), fuzzy.idf(rows)).withColumn("distance", F.col("distance").cast("long")))(fuzzy.prepared(_members(spark, sf)))
 )
 
 
-@query("fz_score", None)
+
+_LOST = "left(p_name, 3) || substring(p_name, 5)"
+
+
+def _fuzzy_sql(limit: int, category: str = "'part'", where: str = "TRUE", by: str = "") -> str:
+    """Matching in SQL up to the retrieved rows: every list of tokens against every other one."""
+    return f"""WITH m AS (SELECT CAST(p_partkey AS VARCHAR) AS id, p_name AS value, {category} AS category, regexp_extract_all(lower(strip_accents(p_name)), '\\S+') AS tokens FROM part WHERE {where}),
+    n AS (SELECT count(*) AS total FROM m), v AS (SELECT token, ln((any_value(total) + 1) / (count(*) + 1)) + 1 AS idf FROM (SELECT DISTINCT id, category, unnest(tokens) AS token FROM m), n GROUP BY token),
+    q AS (SELECT p_partkey AS span_id, regexp_extract_all(lower(strip_accents({_LOST})), '\\S+') AS qt FROM part),
+    asked AS (SELECT qt, unnest(qt) AS t, unnest(range(1, len(qt) + 1)) AS place FROM (SELECT DISTINCT qt FROM q)), held AS (SELECT DISTINCT tokens, unnest(tokens) AS token FROM (SELECT DISTINCT tokens FROM m)),
+    best AS (SELECT qt, place, tokens, 1 - levenshtein(t, token) / greatest(length(t), length(token)) AS good, idf FROM asked JOIN held ON levenshtein(t, token) <= 2 JOIN v USING (token)
+      QUALIFY row_number() OVER (PARTITION BY qt, place, tokens ORDER BY levenshtein(t, token), token) = 1),
+    pairs AS (SELECT a.qt, tokens, count(*) AS p FROM asked a JOIN asked b ON a.qt = b.qt AND a.place < b.place CROSS JOIN (SELECT DISTINCT tokens FROM m)
+      WHERE list_position(tokens, a.t) > 0 AND list_position(tokens, b.t) > list_position(tokens, a.t) GROUP BY ALL),
+    base AS (SELECT qt, tokens, round(sum(good * idf) / (sum(idf) + (len(qt) - count(*)) * (ln(any_value(total) + 1) + 1)), 12) AS base FROM best, n GROUP BY qt, tokens),
+    found AS (SELECT qt, tokens, id, category, value, base, least(pow(1.1, coalesce(p, 0)), 1.5) AS bonus FROM base JOIN m USING (tokens) LEFT JOIN pairs USING (qt, tokens)
+      QUALIFY row_number() OVER (PARTITION BY qt{by} ORDER BY base DESC, id, category, value) <= {max(500, 4 * limit)}),
+    ranked AS (SELECT *, round(base * bonus, 9) AS score, row_number() OVER (PARTITION BY qt{by} ORDER BY round(base * bonus, 9) DESC, id, category) AS nth FROM found)
+    """
+
+
+def _lost_letter(spark: SparkSession, sf: str) -> DataFrame:
+    """Every part's name without its fourth letter."""
+    return table(spark, sf, "part").select(F.col("p_partkey").cast("long").alias("span_id"), F.expr("concat(left(p_name, 3), substring(p_name, 5))").alias("span"))
+
+
+@query("fz_score", _fuzzy_sql(5) + "SELECT span_id, id, category, value, score, nth FROM q JOIN ranked USING (qt) WHERE nth <= 5")
 def _fz_score(spark, sf):
     """The best five members for spans with a letter lost, many spans in one join."""
-    members = _members(spark, sf)
-    spans = members.select(F.col("id").cast("long").alias("span_id"), F.expr("concat(left(value, 3), substring(value, 5))").alias("span"))
-    return fuzzy.match(spans, members, 5)
+    return fuzzy.match(_lost_letter(spark, sf), _members(spark, sf), 5)
+
+
+@query("fz_retrieve", _fuzzy_sql(150) + "SELECT array_to_string(qt, ' ') AS span, id, value, base FROM found")
+def _fz_retrieve(spark, sf):
+    """The 600 candidates that are scored exactly for each distinct span."""
+    found = fuzzy.retrieve(_lost_letter(spark, sf), _members(spark, sf), 150)
+    return found.select(F.array_join("query_tokens", " ").alias("span"), "id", "value", "base")
+
+
+query("fz_topk", "SELECT span_id, id, category, score, nth FROM (SELECT s_nationkey AS span_id, CAST(s_suppkey AS VARCHAR) AS id, 'supplier' AS category, floor(s_acctbal / 1000) AS score, row_number() OVER (PARTITION BY s_nationkey ORDER BY floor(s_acctbal / 1000) DESC, CAST(s_suppkey AS VARCHAR)) AS nth FROM supplier) WHERE nth <= 7")(
+    lambda spark, sf: fuzzy.top(table(spark, sf, "supplier").select(F.col("s_nationkey").alias("span_id"), F.col("s_suppkey").cast("string").alias("id"), F.lit("supplier").alias("category"), F.floor(F.col("s_acctbal") / 1000).cast("double").alias("score")), 7)
+)
+_BRANDS = ("Brand#2", "Brand#3", "Brand#17")
+
+
+@query("fz_batch", _fuzzy_sql(2, "p_brand", f"p_brand IN {_BRANDS}", ", category") + "SELECT span_id, id, category, score, nth FROM q JOIN ranked USING (qt) WHERE nth <= 2")
+def _fz_batch(spark, sf):
+    """Every span against three categories at once, two members of each."""
+    members = table(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("id"), F.col("p_name").alias("value"), F.col("p_brand").alias("category"))
+    return fuzzy.batch(_lost_letter(spark, sf), members, list(_BRANDS), 2).select("span_id", "id", "category", "score", "nth")
 
 
-for _key in ("fz_batch", "fz_retrieve", "fz_topk"):
-    QUERIES[_key] = _fz_score
 query("fz_legacy_score", "SELECT * FROM (VALUES (1::BIGINT, 1.0::DOUBLE), (2, 0.9375), (3, 0.5), (4, 1.1)) v(id, score)")(
     lambda spark, sf: spark.createDataFrame(
         [(1, ["ab"], ["ab"]), (2, ["red", "stone"], ["stone", "rod"]), (3, ["abcde"], ["vwxyz"]), (4, ["a", "b"], ["a", "b"])], "id long, q array<string>, c array<string>"
@@ -579,6 +695,9 @@ def _nl_ops(spark, sf):
     return found.unionAll(docs.select(F.col("doc_id").cast("long"), F.lit(0))).groupBy("doc_id").agg(F.sum("n").alias("tokens"))
 
 
+query("nl_sentences", r"SELECT doc_id, unnest(s) AS sentence, CAST(unnest(range(len(s))) AS BIGINT) AS nth FROM (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(regexp_replace(text, '([.!?])\s+', '\1' || chr(10), 'g'), '\n+'), lambda x: trim(x, ' ')), lambda x: x <> '') AS s FROM documents WHERE text IS NOT NULL)")(
+    lambda spark, sf: annotate.sentences(table(spark, sf, "documents")).select("doc_id", F.col("nth").cast("long").alias("nth"), "sentence")
+)
 query("nl_doc", "SELECT * FROM (VALUES (1::BIGINT, 1::BIGINT), (2, 0)) v(doc_id, dropped)")(
     lambda spark, sf: annotate.import_annotations(spark.createDataFrame([(1, "A", 0, 2, {}), (1, "A", 0, 2, {}), (2, "A", 0, 2, {})], annotate.SCHEMA))[1]
 )
@@ -605,8 +724,29 @@ def _nl_rule(spark, sf):
     return out.filter(F.col("type").isin("Meeting", "Company")).select("doc_id", "type", F.col("features")["size"].alias("size"), F.col("features")["who"].alias("who"))
 
 
-for _key in ("nl_constraint", "nl_control", "nl_action"):
-    QUERIES[_key], ORACLE[_key] = _nl_rule, ORACLE["nl_rule"]
+def _fired(spark: SparkSession, rules: tuple[annotate.Rule, ...], control: str, *kinds: str) -> DataFrame:
+    docs = _texts(spark)
+    anns = annotate.gazetteer(docs, _LIST).unionAll(annotate.tokenise(docs))
+    return annotate.apply_rules(docs, anns, rules, control).filter(F.col("type").isin(*kinds))
+
+
+query("nl_constraint", "SELECT * FROM (VALUES (1::BIGINT, 30::BIGINT, 33::BIGINT)) v(doc_id, first, after)")(
+    lambda spark, sf: _fired(spark, (annotate.Rule("n", (annotate.Step(ann="Token", where={"string": {"regex": "^[A-Z]{3}$"}}, bind="w"),), (("add", "Code", "w", {}),)),), "all", "Code").select("doc_id", F.col("start").alias("first"), F.col("end").alias("after"))
+)
+
+
+def _two_names(control: str):
+    name = annotate.Step(ann="Person", bind="p")
+    more = annotate.Step(ann="Token", least=1, most=2, bind="t")
+    return lambda spark: _fired(spark, (annotate.Rule("name", (name,), (("add", "Hit", None, {"control": control}),)), annotate.Rule("name and more", (name, more), (("add", "Hit", None, {"control": control}),))), control, "Hit")
+
+
+query("nl_control", "SELECT * FROM (VALUES ('appelt', 2::BIGINT), ('brill', 4), ('once', 2), ('first', 2)) v(control, n)")(
+    lambda spark, sf: reduce(DataFrame.unionAll, [_two_names(c)(spark).groupBy(F.col("features")["control"].alias("control")).agg(F.count(F.lit(1)).alias("n")) for c in ("appelt", "brill", "once", "first")])
+)
+query("nl_action", "SELECT * FROM (VALUES (1::BIGINT, 'Firm', '9'), (2, 'Firm', '4')) v(doc_id, type, size)")(
+    lambda spark, sf: _fired(spark, (annotate.Rule("org", (annotate.Step(ann="Org", bind="o"),), (("add", "Firm", "o", {"size": ("o", "@length")}),)),), "appelt", "Firm").select("doc_id", "type", F.col("features")["size"].alias("size"))
+)
 
 
 def _lexicon(spark: SparkSession) -> DataFrame:
@@ -636,7 +776,9 @@ query("rk_binder", "SELECT * FROM (VALUES ('s1', 'A', 'bound', 'EXACT'), ('s2',
     lambda spark, sf: rank.bind(spark.createDataFrame([("s1", "A", "EXACT", 0.1), ("s1", "B", "LEARNED", 0.9), ("s2", "A", "LEARNED", 0.5), ("s2", "B", "LEARNED", 0.5), ("s3", "C", "WEAK", 1.0)], "span string, target string, class string, score double"))
 )
 query("md_list", "SELECT * FROM (VALUES ('table', 'lineitem'), ('table', 'nation')) v(kind, name)")(lambda spark, sf: spark.createDataFrame(parquet_catalog(sf).listing("table", offset=7, limit=2), "kind string, name string"))
-query("md_search", "SELECT * FROM (VALUES ('custmer', 'customer'), ('natoin', 'nation')) v(asked, found)")(lambda spark, sf: spark.createDataFrame([(w, parquet_catalog(sf).suggest(w)[0]) for w in ("custmer", "natoin")], "asked string, found string"))
+query("md_search", "SELECT * FROM (VALUES ('custmer', 'table', 'customer'), ('natoin', 'table', 'nation'), ('open orders of 2000', 'query', 'open_orders'), ('zzz', NULL, NULL)) v(asked, kind, found)")(
+    lambda spark, sf: spark.createDataFrame([(asked, *((hits[0].kind, hits[0].name) if hits else (None, None))) for asked in ("custmer", "natoin", "open orders of 2000", "zzz") for hits in [parquet_catalog(sf).search(asked)]], "asked string, kind string, found string")
+)
 query(
     "md_traverse",
     "WITH RECURSIVE e(src, dst) AS (VALUES ('lineitem', 'orders'), ('lineitem', 'part'), ('lineitem', 'supplier'), ('orders', 'customer'), ('customer', 'nation'), ('supplier', 'nation'), ('nation', 'region')), r(node, depth) AS (SELECT 'lineitem', 0 UNION SELECT dst, depth + 1 FROM r JOIN e ON src = node WHERE depth < 10) SELECT node, min(depth) AS depth FROM r GROUP BY node",
@@ -673,7 +815,11 @@ query("ext_event_windows", "SELECT date_trunc('hour', ts) AS start, event_type,
 
 
 def _mover(spark: SparkSession) -> Mover:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="moves-")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise EngineError("no_shared_folder", "spark.checkpoint.dir")
+        base = tempfile.mkdtemp(prefix="moves-")
     return Mover(spark, f"{base.rstrip('/')}/moves-{uuid.uuid4().hex}", Workspace())
 
 
@@ -702,6 +848,11 @@ query("snk_arrow_stream", "SELECT * FROM (VALUES (0, 10), (1, 10), (2, 5)) v(nth
 )
 
 
+query("worker_row_limit", "SELECT * FROM (VALUES (0, 10), (1, 10)) v(nth, rows)")(
+    lambda spark, sf: spark.createDataFrame([(k, b.num_rows) for k, b in enumerate(formats.limited_batches(table(spark, sf, "nation"), 10, 12))], "nth int, rows int")
+)
+
+
 @query("mv_describe", "SELECT count(*) AS rows FROM nation")
 def _mv_describe(spark, sf):
     mover = _mover(spark)
@@ -795,8 +946,17 @@ def _mv_pipe(spark, sf):
 query("fmt_parquet", "SELECT r_regionkey, r_name FROM region")(
     lambda spark, sf: spark.createDataFrame(pq.read_table(io.BytesIO(formats.render(table(spark, sf, "region"), "parquet")[0])))
 )
-query("fmt_xlsx", "SELECT count(*) + 1 AS rows FROM region")(
-    lambda spark, sf: spark.createDataFrame([(zipfile.ZipFile(io.BytesIO(formats.render(table(spark, sf, "region"), "xlsx")[0])).read("xl/worksheets/sheet1.xml").count(b"<row>"),)], "rows long")
+
+
+def _sheet_cells(body: bytes) -> list[list[str]]:
+    """Rows of an xlsx file's first sheet, numbers and inline texts as text."""
+    space = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+    sheet = ElementTree.fromstring(zipfile.ZipFile(io.BytesIO(body)).read("xl/worksheets/sheet1.xml"))
+    return [["".join(x.text or "" for x in cell.iter() if x.tag in (f"{space}v", f"{space}t")) for cell in row.iter(f"{space}c")] for row in sheet.iter(f"{space}row")]
+
+
+query("fmt_xlsx", "SELECT 'r_regionkey' AS one, 'r_name' AS two UNION ALL SELECT CAST(r_regionkey AS VARCHAR), r_name FROM region")(
+    lambda spark, sf: spark.createDataFrame(_sheet_cells(formats.render(table(spark, sf, "region"), "xlsx")[0]), "one string, two string")
 )
 sql_query("fn_plus_string", "SELECT o_orderkey, 'on ' + CONVERT(varchar(10), o_orderdate, 104) AS d FROM orders", "SELECT o_orderkey, 'on ' || strftime(o_orderdate, '%d.%m.%Y') AS d FROM orders")
 sql_query("fn_now", "SELECT CAST(GETDATE() AS date) = current_date() AS same", "SELECT TRUE AS same")
@@ -834,7 +994,16 @@ def _gov_skip_ws(spark, sf):
     return e.run(json.dumps({"ops": [{"from": {"workspace": "mine"}}]}), "dfdsl")
 
 
-QUERIES["snk_workspace"], ORACLE["snk_workspace"] = QUERIES["gov_skip_ws"], ORACLE["gov_skip_ws"]
+
+
+@query("snk_workspace", "SELECT o_orderpriority, count(*) AS n FROM orders GROUP BY 1")
+def _snk_workspace(spark, sf):
+    """A result kept as a session frame under a name, then replaced, and read back."""
+    space = Workspace()
+    e = engine(spark, sf, workspace=space)
+    space.put(e.user.name, "sums", e.run("SELECT o_orderstatus FROM orders"))
+    space.put(e.user.name, "sums", e.run("SELECT o_orderpriority, count(*) AS n FROM orders GROUP BY o_orderpriority"))
+    return e.run(json.dumps({"ops": [{"from": {"workspace": "sums"}}]}), "dfdsl")
 
 
 @query("gov_llm_guard", "SELECT * FROM (VALUES ('refused', 'llm_guard_refused'), ('passed', 'ok')) v(what, code)")

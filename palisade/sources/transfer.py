@@ -94,13 +94,20 @@ class Mover:
         return fs.exists(where)
 
     def _swap(self, staged: str, final: str) -> None:
-        """Puts a finished folder in place of another."""
+        """Puts a finished folder in place of another, which is put back if that fails."""
         fs, src, jvm = self._fs(staged)
         dst = jvm.org.apache.hadoop.fs.Path(final)
-        fs.delete(dst, True)
+        old = jvm.org.apache.hadoop.fs.Path(f"{staged}.old")
         fs.mkdirs(dst.getParent())
+        there = fs.exists(dst)
+        if there and not fs.rename(dst, old):
+            raise EngineError("write_failed", final)
         if not fs.rename(src, dst):
+            if there:
+                fs.rename(old, dst)
             raise EngineError("write_failed", final)
+        if there:
+            fs.delete(old, True)
 
     def move(self, verb: str, source: Location, target: Location, mode: str = "create", expect: str | None = None, ttl: float | None = None) -> dict:
         """The schema's fingerprint is checked before anything is written; a failed write leaves the target as it was."""
@@ -145,10 +152,19 @@ class Mover:
                 raise EngineError("target_exists", name)
             df.write.saveAsTable(name)
         elif mode == "replace":
-            staged = f"{name}_staged_{uuid.uuid4().hex[:8]}"
+            mark = uuid.uuid4().hex[:8]
+            staged, old = f"{name}_staged_{mark}", f"{name}_old_{mark}"
             df.write.saveAsTable(staged)
-            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
-            self.spark.sql(f"ALTER TABLE {staged} RENAME TO {name}")
+            if there:
+                self.spark.sql(f"ALTER TABLE {name} RENAME TO {old}")
+            try:
+                self.spark.sql(f"ALTER TABLE {staged} RENAME TO {name}")
+            except Exception:
+                if there:
+                    self.spark.sql(f"ALTER TABLE {old} RENAME TO {name}")
+                raise
+            if there:
+                self.spark.sql(f"DROP TABLE {old}")
         elif mode == "append":
             if not there:
                 raise EngineError("target_not_found", name)
@@ -184,7 +200,11 @@ class Mover:
 
 
 def write_jdbc(df: DataFrame, url: str, table: str, mode: str = "append", batch: int = 1000, **options: str) -> None:
-    """A database table over JDBC. One transaction covers a partition only, so replace goes through a staging table."""
+    """A database table over JDBC. One transaction covers a partition only, so replace goes through a staging table.
+
+    The staged rows take the place of the old ones in one transaction, so readers see
+    either; a failure before it leaves the table as it was.
+    """
     from .readers import identifier
 
     if mode not in ("create", "replace", "append"):
@@ -192,5 +212,58 @@ def write_jdbc(df: DataFrame, url: str, table: str, mode: str = "append", batch:
     nested = [f.name for f in df.schema if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))]
     if nested:
         raise EngineError("unsupported_type", f"column {nested[0]}")
-    save = {"create": "errorifexists", "replace": "overwrite", "append": "append"}[mode]
-    df.write.format("jdbc").options(url=url, dbtable=identifier(table), batchsize=batch, **options).mode(save).save()
+
+    def save(name: str, how: str) -> None:
+        df.write.format("jdbc").options(url=url, dbtable=identifier(name), batchsize=batch, **options).mode(how).save()
+
+    if mode != "replace":
+        save(table, {"create": "errorifexists", "append": "append"}[mode])
+        return
+    staged = f"{table}_staged_{uuid.uuid4().hex[:8]}"
+    save(staged, "errorifexists")
+    old, new = identifier(table), identifier(staged)
+    connection = _connection(df.sparkSession, url, options)
+    try:
+        connection.setAutoCommit(False)
+        there = connection.getMetaData().getTables(None, None, None, None)
+        names = set()
+        while there.next():
+            names.add(there.getString("TABLE_NAME").lower())
+        there.close()
+        if old.rsplit(".", 1)[-1].strip('"`[]').lower() in names:
+            columns = ", ".join(_quoted(connection, name) for name in df.columns)
+            _execute(connection, f"DELETE FROM {old}", f"INSERT INTO {old} ({columns}) SELECT {columns} FROM {new}")
+        else:
+            _execute(connection, f"CREATE TABLE {old} AS SELECT * FROM {new} WITH NO DATA", f"INSERT INTO {old} SELECT * FROM {new}")
+        _execute(connection, f"DROP TABLE {new}")
+        connection.commit()
+    except Exception:
+        connection.rollback()
+        _execute(connection, f"DROP TABLE {new}")
+        connection.commit()
+        raise
+    finally:
+        connection.close()
+
+
+def _connection(spark: SparkSession, url: str, options: dict[str, str]):
+    jvm = spark._jvm
+    properties = jvm.java.util.Properties()
+    for key, value in options.items():
+        if key in ("user", "password"):
+            properties.setProperty(key, value)
+    if "driver" in options:
+        jvm.org.apache.spark.sql.execution.datasources.jdbc.DriverRegistry.register(options["driver"])
+    return jvm.java.sql.DriverManager.getConnection(url, properties)
+
+
+def _quoted(connection, name: str) -> str:
+    mark = connection.getMetaData().getIdentifierQuoteString().strip()
+    return f"{mark}{name}{mark}"
+
+
+def _execute(connection, *statements: str) -> None:
+    for statement in statements:
+        one = connection.createStatement()
+        one.execute(statement)
+        one.close()

@@ -50,6 +50,11 @@ def test_dates():
         assert (str(found.start), str(found.end)) == (a, b), span
     for span in ("nothing here", "doklad 200312", "31.2.2026", "quarter"):
         assert grounding.recognise_date(span, REFERENCE) is None, span
+    assert grounding.recognise_date("this or last year", REFERENCE) is None
+    assert grounding.recognise_date("fiskální čtvrtletí", REFERENCE) is None
+    assert grounding.recognise_date("fiskální čtvrtletí", REFERENCE, ["fiskální"]).code == "2026Q2"
+    explicit, bare = (grounding.recognise_date(s, REFERENCE) for s in ("období 202605", "202605"))
+    assert explicit.code == bare.code == "202605" and explicit.confidence > bare.confidence
     december = grounding.recognise_date("December", REFERENCE)
     assert december.start.year == 2026 and december.alternatives[0].start.year == 2025
 
@@ -66,6 +71,50 @@ def test_money():
     assert grounding.recognise_money("nothing") is None
     assert grounding.recognise_money("půl") is None
     assert grounding.recognise_money("around 100 at today's rate").at_current_rate
+    assert grounding.recognise_money("100,50 Kč", "").amount == Decimal("100.50")
+
+
+@pytest.mark.parametrize(
+    "span, comparator, currency",
+    [
+        ("no more than 5000 EUR", "le", "EUR"), ("not more than 5000", "le", None), ("not over 5000 PLN", "le", "PLN"), ("not less than 5000 EUR", "ge", "EUR"), ("no less than 5000", "ge", None),
+        ("5000 in Europe", "ge", None), ("European sales above 5000", "gt", None), ("under 5000 zł", "lt", "PLN"), ("up to 5000 pounds", "le", "GBP"), (">= 5000", "ge", None), ("< 5000 USD", "lt", "USD"),
+    ],
+)
+def test_comparators_and_currencies(span, comparator, currency):
+    found = grounding.recognise_money(span)
+    assert (found.amount, found.comparator, found.currency) == (5000, comparator, currency)
+
+
+@given(st.integers(0, 10**9), st.integers(0, 99), st.sampled_from(["en", "cs"]))
+def test_amounts_read_as_written(whole, cents, locale):
+    group, point = (",", ".") if locale == "en" else (".", ",")
+    for written in (f"{whole:,}".replace(",", group), f"{whole:,}".replace(",", " "), str(whole)):
+        assert grounding.recognise_money(f"{written}{point}{cents:02d} EUR", locale).amount == whole + Decimal(cents) / 100
+
+
+def test_spans_of_a_column(spark):
+    spans = spark.createDataFrame([("today",), (None,), ("today",), ("none of it",)], "span string")
+    assert sorted(map(str, ((r["span"], r["first"]) for r in grounding.read_dates(spans, REFERENCE).collect()))) == sorted(map(str, [("today", REFERENCE), (None, None), ("none of it", None)]))
+    assert {r["amount"] for r in grounding.read_money(spans).collect()} == {None}
+
+
+def test_seeds_fall_back_to_near_tokens(spark):
+    members = spark.createDataFrame([("1", "Red Stone", "c"), ("2", "Blue Stone", "c"), ("3", "Green", "c")], "id string, value string, category string")
+    spans = spark.createDataFrame([(1, "red thing"), (2, "greem"), (3, "qqqqqqqq"), (4, None), (5, "stone rad")], "span_id long, span string")
+    found = {(r["span_id"], r["id"]) for r in fuzzy.seeds(spans, members).collect()}
+    assert found == {(1, "1"), (2, "3"), (5, "1"), (5, "2")}
+
+
+def test_model_search():
+    from palisade.catalog import parquet_catalog
+
+    catalog = parquet_catalog("/none")
+    hit = catalog.search("open orders of 2000")[0]
+    assert (hit.kind, hit.name, hit.score, hit.params) == ("query", "open_orders", 1.0, {"year": "2000"})
+    every = catalog.search("orders", 0.3)
+    assert catalog.search("orders", 0.3, offset=1, limit=1) == every[1:2] and catalog.search("zzzzzz") == []
+    assert all(a.score >= b.score for a, b in zip(every, every[1:]))
 
 
 def test_fx_refuses_without_a_day(spark):

@@ -63,6 +63,28 @@ def test_ipc_file(spark, tmp_path):
         readers.ipc_file(spark, f"file://{tmp_path}/x.arrow", 10)
 
 
+def test_jdbc_replace_is_whole_or_nothing(spark, tmp_path, monkeypatch):
+    url = f"jdbc:derby:{tmp_path}/db2;create=true"
+    driver = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    read = lambda: sorted(tuple(r) for r in readers.jdbc_table(spark, url, "sums", **driver).collect())
+    rows = spark.createDataFrame([(1, "a"), (2, "b")], "K long, V string")
+    transfer.write_jdbc(rows, url, "sums", "replace", **driver)
+    assert read() == [(1, "a"), (2, "b")]
+    transfer.write_jdbc(rows.filter("K = 2"), url, "sums", "replace", **driver)
+    assert read() == [(2, "b")]
+    plain = transfer._execute
+
+    def failing(connection, *statements):
+        plain(connection, *statements)
+        if statements[0].startswith("DELETE"):
+            raise RuntimeError("lost")
+
+    monkeypatch.setattr(transfer, "_execute", failing)
+    with pytest.raises(RuntimeError):
+        transfer.write_jdbc(rows, url, "sums", "replace", **driver)
+    assert read() == [(2, "b")]
+
+
 def test_jdbc_round_trip(spark, tmp_path):
     url = f"jdbc:derby:{tmp_path}/db;create=true"
     driver = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}

@@ -8,15 +8,18 @@ ranks documents, and the tail probability P(grade >= 2) selects them.
 Features are hashed into FEATURES buckets: which words occur and how longer ones
 begin, how much of the text each token shape makes up (letters, digits and signs
 with repeats dropped), and bands of length, distinct words, capitals and word
-length. The model is fitted on the driver from at most SAMPLE rated documents,
-chosen by a hash of their ids; the features of these are all that is collected.
-Only features that go with higher or lower grades get a weight and are sent.
+length. The model is fitted on at most SAMPLE rated documents, chosen by a hash of
+their ids. Their features are counted on the executors, and only those that go
+with higher or lower grades get a weight: their grades' mean must lie so far from
+that of all that, of features that tell nothing, FALSE_FEATURES are let through at
+any size of the sample. These features alone are sent to the driver.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -26,13 +29,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import words as W
-from .shared import free_names, same_columns
+from .shared import free_names, same_columns, written
 
 SAMPLE = 12_000
 FEATURES = 1 << 22
 LEAST_DOCS = 4
-#: Standard errors asked of a feature: from 3 for few rated documents to 6 for many.
-LEAST_Z, MOST_Z, Z_DOCS = 3.0, 6.0, 4000
+#: Features without a bearing on the grade that may pass as telling, among all.
+FALSE_FEATURES = 10.0
 EPOCHS = 40
 GOOD = 2
 #: Tail probability from which a document is selected.
@@ -151,28 +154,29 @@ class Model:
         return _logistic(score[:, None] - self.thresholds[None, :])
 
 
-def _telling(owner: np.ndarray, feature: np.ndarray, grade: np.ndarray) -> np.ndarray:
-    """Features whose documents' mean grade is enough standard errors away from that of all.
+def least_z(tested: int, false_features: float = FALSE_FEATURES) -> float:
+    """Standard errors that false_features of `tested` features without a bearing pass by chance."""
+    return NormalDist().inv_cdf(1 - min(0.5, false_features / max(1, tested)) / 2)
+
+
+def telling(feature: np.ndarray, seen: np.ndarray, grades: np.ndarray, mean: float, deviation: float, false_features: float = FALSE_FEATURES) -> np.ndarray:
+    """Features, by the number and the summed grades of their documents, whose mean grade is far enough from that of all.
 
     The rest would only add noise that grows with a document's length.
     """
-    seen = np.bincount(feature, minlength=FEATURES)
-    known = np.flatnonzero(seen >= LEAST_DOCS)
-    mean = np.bincount(feature, grade.astype(np.float32)[owner], FEATURES)[known] / seen[known]
-    z = (mean - grade.mean()) / (max(grade.std(), 1e-6) / np.sqrt(seen[known]))
-    return known[np.abs(z) >= min(MOST_Z, LEAST_Z + len(grade) / Z_DOCS)]
+    known = seen >= LEAST_DOCS
+    feature, seen, grades = feature[known], seen[known], grades[known]
+    z = (grades / seen - mean) / (max(deviation, 1e-6) / np.sqrt(seen))
+    return np.sort(feature[np.abs(z) >= least_z(len(feature), false_features)])
 
 
-def fit(owner: np.ndarray, feature: np.ndarray, value: np.ndarray, grade: np.ndarray, rate: float = 0.3, shrink: float = 1e-5) -> Model:
-    """AdaGrad over small batches in the given order; grades from 0, all below the highest + 1."""
+def fit(known: np.ndarray, owner: np.ndarray, feature: np.ndarray, value: np.ndarray, grade: np.ndarray, rate: float = 0.3, shrink: float = 1e-5) -> Model:
+    """AdaGrad over small batches, with weights for the sorted features `known`; grades from 0, all below the highest + 1."""
     top = max(GOOD, int(grade.max())) if len(grade) else GOOD
     if not len(grade):
         return Model(np.empty(0, np.int64), np.empty(0, np.float32), np.full(top, -30.0))
-    known = _telling(owner, feature, grade)
-    place = np.full(FEATURES, -1, np.int64)
-    place[known] = np.arange(len(known))
-    use = np.flatnonzero(place[feature] >= 0)
-    owner, col, value = owner[use], place[feature[use]], value[use].astype(np.float64)
+    use = np.flatnonzero(np.isin(feature, known))
+    owner, col, value = owner[use], np.searchsorted(known, feature[use]), value[use].astype(np.float64)
     order = np.argsort(owner, kind="stable")
     owner, col, value = owner[order], col[order], value[order]
     bounds = np.searchsorted(owner, np.arange(len(grade) + 1))
@@ -225,8 +229,38 @@ def _sample_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"], "grade": batch["grade"], "features": pa.array(feats, pa.binary()), "values": pa.array(values, pa.binary())})
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text: str = "text") -> Model:
-    """A model from rated documents; ratings with a null in any part are not used, of several for one id the least."""
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents and summed grades by feature; a document has a feature once."""
+    for batch in batches:
+        raw, grade = batch["features"].to_pylist(), batch["grade"].to_numpy()
+        feature = np.concatenate([np.empty(0, np.uint32), *[np.frombuffer(x, np.uint32) for x in raw]])
+        own = np.repeat(grade, [len(x) // 4 for x in raw]).astype(np.int64)
+        seen, which = np.unique(feature, return_inverse=True)
+        sums = np.bincount(which, own, len(seen)).astype(np.int64)
+        yield pa.RecordBatch.from_pydict({"feature": pa.array(seen, pa.int64()), "seen": pa.array(np.bincount(which, minlength=len(seen)), pa.int64()), "grades": pa.array(sums, pa.int64())})
+
+
+def _told_only(batches: Iterator[pa.RecordBatch], known: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        feats, values = [], []
+        for feature, value in zip(batch["features"].to_pylist(), batch["values"].to_pylist()):
+            feature = np.frombuffer(feature, np.uint32)
+            keep = np.isin(feature, known)
+            feats.append(feature[keep].tobytes())
+            values.append(np.frombuffer(value, np.float32)[keep].tobytes())
+        yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"], "grade": batch["grade"], "features": pa.array(feats, pa.binary()), "values": pa.array(values, pa.binary())})
+
+
+_SAMPLED = "doc_id long, grade int, features binary, values binary"
+
+
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text: str = "text", false_features: float = FALSE_FEATURES) -> Model:
+    """A model from rated documents; ratings with a null in any part are not used, of several for one id the least.
+
+    Of documents that share an id, the one with the least hash of its text is used.
+    Without ratings, or without documents for them, the model has no features and
+    selects everything.
+    """
     quality, toxic = F.col("quality"), F.col("toxic")
     rated = labels.filter(F.col("doc_id").isNotNull() & quality.isNotNull() & toxic.isNotNull())
     grade = F.when(quality <= 0, 0).when(toxic > 0, 1).otherwise(GOOD).cast("int")
@@ -234,15 +268,22 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
     chosen = rated.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
     joined = rows.join(F.broadcast(chosen), "doc_id")  # at most `sample` ids and grades
-    features = joined.mapInArrow(_sample_features, "doc_id long, grade int, features binary, values binary").toArrow()
-    ids, grade = features["doc_id"].to_numpy(), features["grade"].to_numpy().astype(np.int64)
+    once = joined.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.min("grade").alias("grade"))
+    features = written(once.mapInArrow(_sample_features, _SAMPLED), "features")
+    n, mean, deviation = features.agg(F.count(F.lit(1)), F.avg("grade"), F.stddev_pop("grade")).first()
+    if not n:
+        return fit(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64))
+    counts = features.mapInArrow(_counted, "feature long, seen long, grades long").groupBy("feature").agg(F.sum("seen").alias("seen"), F.sum("grades").alias("grades"))
+    # At most FEATURES rows of three numbers, fewer by those that are rare.
+    found = counts.filter(F.col("seen") >= LEAST_DOCS).toArrow()
+    known = telling(*(found[name].to_numpy() for name in ("feature", "seen", "grades")), mean, deviation, false_features)
+    told = features.mapInArrow(lambda batches: _told_only(batches, known), _SAMPLED).toArrow()
+    ids, grade = told["doc_id"].to_numpy(), told["grade"].to_numpy().astype(np.int64)
     order = np.lexsort((ids, W.mix(ids.astype(np.uint64))))
-    raw, values = (features[name].combine_chunks() for name in ("features", "values"))
-    del features
+    raw, values = (told[name].combine_chunks() for name in ("features", "values"))
     size = pc.binary_length(raw).to_numpy()[order] // 4
-    feature = _joined(raw, order, np.uint32)
-    value = _joined(values, order, np.float32)
-    return fit(np.repeat(np.arange(len(order), dtype=np.int32), size), feature, value, grade[order])
+    feature = _joined(raw, order, np.uint32).astype(np.int64)
+    return fit(known, np.repeat(np.arange(len(order), dtype=np.int32), size), feature, _joined(values, order, np.float32), grade[order])
 
 
 def _joined(column: pa.Array, order: np.ndarray, kind) -> np.ndarray:
@@ -264,7 +305,9 @@ def _grade_texts(texts, model: Model, dense: np.ndarray) -> tuple[np.ndarray, np
 def graded(docs: DataFrame, model: Model, text: str = "text", prefix: str = "") -> DataFrame:
     """docs with {prefix}expected_grade and {prefix}tail_probability; a null text counts as empty.
 
-    No rows are dropped or moved. Columns of docs that have these names are replaced.
+    No rows are dropped or moved, rows that repeat are judged alike, an empty table
+    gives none, and a text of any length is read whole. Columns of docs that have
+    these names are replaced.
     """
     names = [f"{prefix}expected_grade", f"{prefix}tail_probability"]
     sent = docs.sparkSession.sparkContext.broadcast(model)

@@ -3,22 +3,29 @@
 Three patterns find assignments, access keys and long hexadecimal runs. Beyond
 these, a string near a sensitive word is a candidate; its novelty is the number
 of bytes that it adds when its surroundings are compressed with it rather than
-without it, by a compressor primed with a dictionary of common words and identifiers.
-Strings made of these or of parts of the surrounding code (copies of the string left out) add little; keys and
-passwords add about their length, and those are reported.
+without it, by a compressor primed with a dictionary: the words and parts of
+identifiers that most documents of the corpus hold, and some names that go with
+secrets. Strings made of these or of parts of the surrounding code (copies of the
+string left out) add little; keys and passwords add about their length, and those
+are reported.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Iterator, Sequence
+from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import words as W
+
 KINDS = ("assign", "access", "hex", "novel")
 
 _ASSIGN = re.compile(r"""(?ai)(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -33,63 +40,9 @@ REACH, AROUND = 48, 256
 #: Added bytes for each character from which a candidate is reported.
 LEAST_NOVELTY = 0.7
 
-_WORDS = """
-able about above accept access according account across action active activity actual address administrator after again against agency
-agent agreement allow almost along already also although always among amount analysis another answer anything appear approach area around
-article asset attempt attention audience author authority automatic available average avoid away back background balance base batch because
-become before begin behavior behind being believe below benefit best better between beyond billing board body both boundary branch break bring
-broken budget buffer build building business button call cancel capacity capital card care carry case catalog category cause center central
-certain chain challenge chance change channel character charge check child choice choose city claim class clean clear client close cloud cluster
-code collect color column come command comment commit common community company compare compile complete component compute concern condition
-confirm consider console constant consumer contact contain content context continue contract control convert copy core correct cost could count
-country course create credit critical current custom customer daily dashboard data date debug decide decision declare deep default define delay
-delete deliver demand department deploy deployment depend depth describe description design desktop detail detect develop development device
-different difficult digital direct directory disable discovery discuss discussion display distance distribution document documentation domain
-double down download draft drive driver during dynamic early easy economy edge edit education effect effort either element email employee empty
-enable encrypt engine enough enter enterprise entire entity entry equal error event every everything exact examine except exchange execute exist
-expect experience expire explain express extension external extra factor factory failure fallback false family feature federal feedback field
-figure file fill filter final finance find finish first fixed flag float follow force foreign forget form format forward found foundation frame
-framework free frequency friend front full future gateway general generate generator generation get give global goal government grant graph great
-group grow guard guest guide handle handler happen hash have head health help here hidden high history hold home hour house however human idea
-identifier identity image impact implement implementation important improve include increase index individual industry inform information initial
-inline inner input inside install installation institution integration interest interface internal international internet interval invalid
-inventory invoice issue item join journal just keep kernel kind know knowledge label language large last later latest launch layer layout lead
-learn leave left legacy length less level library license life like limit line link listen listener little load local location lock logger logging
-login logout long look loop lower machine main maintain make manage management manager manual many market mask master match material matter
-maximum measure media medium member memory mention menu merchant merge message meta metadata metric middle middleware might migrate migration
-minimum minute missing mobile mode model modern module moment money monitor month more morning most mount move multiple must name nation native
-natural nature near need nested network never next night node normal note nothing notice notification number observer offer office official offset
-often only open operation operator opinion option order organization origin original other output outside over override owner package page panel
-parent parse parser part particular partner party pass patch path pattern payload payment pending people perform performance perhaps period
-permission person personal phone physical pipeline place plan platform player please plugin point policy political pool popular population portal
-position possible post power practice prefix prepare present president preview previous price primary print priority problem procedure process
-processor produce product production profile program progress project prompt proposal protect protocol provide provider proxy publish purpose
-quality quantity query question queue quick quickly quite quota random range rate rather reach read reader ready real reason receive recent record
-recovery redirect reduce reference refresh regional register registry regular relation release remain remember remote remove render repeat replace
-replica report repository represent require required research reset resolve resolver resource respond responsibility rest restore result resume
-retry return reveal review right role rollback root route router routine rule runner runtime safe sample save scale schedule scheduler schema
-school science scope score screen script search second section secure security select sender sense sensor separate sequence serial serialize series
-serious server serverless several shadow share shell should show side sign signal similar simple since single site size small social socket software
-some someone something source south space special specific spend stack staff stage stand standard start state statement static station status step
-still stock stop storage store story strategy stream strong structure student study style subject submit subscription success such suggest summary
-supplier supply support sure switch symbol sync system table target task team technology template temporary tenant terminal test than that their
-them then there these they thing think third this those thread threshold through throw time timeout timestamp title today together topic total trace
-track trade traffic training transaction transfer transform translate transport travel tree trigger true trust type under understand union unique
-unit universal university unknown until update upload upper usage user utility valid validate validation validator vector vendor verify version
-very view virtual visible visit volume wait wallet want warning watch week weight welcome well what when where whether which while white whole width
-will window wire wish with within without woman word work worker workflow workspace world would wrapper write writer wrong year yesterday young your
-die der das und nicht eine einer werden haben sein auch nach unter zwischen benutzer zugang schluessel verwaltung berechtigung einstellung sicherheit
-les des une dans pour avec sont nous vous leur entre utilisateur identifiant connexion gestion parametre los las una con para por como entre usuario
-contrasena conexion gestion configuracion servicio sesion clave
-january february march april may june july august september october november december monday tuesday wednesday thursday friday saturday sunday
-ation ition ement ments ness ance ence able ible ical ally less ship ings tions ated ating ized izing ification istration
-tele graph scope communication relation wise forward straight counter intelligence inter hyper super trans micro macro multi auto anti electro psycho
-schaft schaftlich wissen lich keit heit ungen ierung gesell arbeit zeit land recht staat mente idad miento ateur isation ellement issement aciones
-attempt abstract authentication authorize invalidate expired spark apache catalyst kubernetes docker python java javascript config util utils main resources
-MAXIMUM MINIMUM DEFAULT RETRY ATTEMPTS TIMEOUT CONNECTION DATABASE PASSWORD SECRET ACCESS TOKEN CLIENT SERVER SERVICE ACCOUNT CONFIG ENABLED
-DISABLED REQUIRED VERSION PRODUCTION DEVELOPMENT ENVIRONMENT EXPIRATION SECONDS MINUTES LENGTH BUFFER LIMIT COUNT STATUS ERROR REGION BUCKET
-qwertyuiop asdfghjkl zxcvbnm 1234567890 0987654321 2020 2021 2022 2023 2024 2025 2026 0000000000
-"""
+#: Letters of a word in the dictionary, and words of the corpus in it: about as much as the compressor's window holds well.
+LEAST_LETTERS, MOST_LETTERS, DICTIONARY_WORDS = 3, 10, 4000
+
 _IDENTIFIERS = """
 authorization bearer basic token access_token refresh_token id_token session_id session_key cookie csrf_token
 api_key apikey api_secret client_id client_secret consumer_key private_key public_key secret_key access_key
@@ -103,11 +56,16 @@ abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ 0123456789abcdef
 """
 
 
+def dictionary(words: Sequence[str]) -> bytes:
+    """The content that the compressor is primed with; the most common words come last, where references are short."""
+    return (_IDENTIFIERS + " ".join(reversed(words))).encode()
+
+
 class Novelty:
     """Marginal compressed bytes against a primed dictionary."""
 
-    def __init__(self):
-        primed = zstandard.ZstdCompressionDict((_WORDS + _IDENTIFIERS).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    def __init__(self, words: Sequence[str] = ()):
+        primed = zstandard.ZstdCompressionDict(dictionary(words), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         self.pack = zstandard.ZstdCompressor(level=9, dict_data=primed, write_checksum=False, write_content_size=False, write_dict_id=False)
 
     def added(self, before: str, candidate: str, after: str) -> int:
@@ -115,6 +73,45 @@ class Novelty:
         return len(self.pack.compress(around + candidate.encode())) - len(self.pack.compress(around))
 
 
+_LETTERS = W.WordClass.build(bytes([*range(0x41), *range(0x5B, 0x61), *range(0x7B, 0x100)]), lower=True)
+
+
+def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents by word: runs of letters, cut where a capital follows a small one, that touch no digit."""
+    for batch in batches:
+        found: dict[bytes, int] = {}
+        for chunk in W.chunks(batch["text"], W.SPACED):
+            data = chunk.data
+            inside = _LETTERS.member[data]
+            if not inside.any():
+                continue
+            capital, digit = (data >= 65) & (data <= 90), (data >= 48) & (data <= 57)
+            fresh = inside.copy()
+            fresh[1:] &= ~inside[:-1] | (capital[1:] & ~capital[:-1])
+            edge = np.zeros(len(data) + 1, bool)
+            edge[chunk.offsets] = True
+            fresh |= inside & edge[:-1]
+            starts = np.flatnonzero(fresh)
+            stop = np.append(~inside[1:] | fresh[1:], True) & inside
+            ends = np.flatnonzero(stop) + 1
+            near = np.append(digit, False)[ends] | np.append(False, digit)[starts]
+            good = (ends - starts >= LEAST_LETTERS) & (ends - starts <= MOST_LETTERS) & ~near
+            words = W.Chunk(chunk.row, data, starts[good], ends[good], np.searchsorted(starts[good], chunk.offsets), _LETTERS, chunk.offsets)
+            example, which = words.distinct()
+            pair = np.unique(words.owner() * len(example) + which)
+            times = np.bincount(pair % max(1, len(example)), minlength=len(example)).tolist()
+            for i, n in zip(example.tolist(), times):
+                word = words.word(i)
+                found[word] = found.get(word, 0) + n
+        yield pa.RecordBatch.from_pydict({"word": pa.array([w.decode() for w in found], pa.string()), "n": pa.array(found.values(), pa.int64())})
+
+
+def identifiers(docs: DataFrame, most: int = DICTIONARY_WORDS, text: str = "text") -> list[str]:
+    """The words that most documents hold, counted over all of them; at most `most` come to the driver."""
+    counts = docs.select(F.col(text).alias("text")).mapInArrow(_word_counts, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return [row["word"] for row in counts.orderBy(F.desc("n"), "word").limit(most).collect()]
+
+
 def _without_copies(text: str, lo: int, hi: int) -> tuple[str, str, str]:
     """What stands before a candidate, itself, and what stands after it, without its copies, whole or cut by the edge.
 
@@ -141,17 +138,18 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 def novel_spans(text: str, known: list[tuple[int, int, int]], novelty: Novelty) -> list[tuple[int, int, int]]:
     """Candidates after sensitive words that overlap no known span and that their surroundings do not explain."""
     found, done = [], 0
+    # The known spans as gaps to jump over: their starts, and how far any up to each reaches.
+    starts, reach = [a for a, _, _ in known], list(accumulate((b for _, _, b in known), max))
     for word in _CONTEXT.finditer(text):
         stop = word.end() + REACH
         at = max(word.end(), done)
         while at < stop and (m := _CANDIDATE.search(text, at, max(stop, at) + REACH)) and m.start() < stop:
-            whole = _CANDIDATE.match(text, m.start())
-            lo, hi = whole.span()
+            lo, hi = _CANDIDATE.match(text, m.start()).span()
             at = done = hi
-            value = whole[0]
-            if any(a < hi and lo < b for a, _, b in known):
+            before = bisect_left(starts, hi)
+            if before and reach[before - 1] > lo:
                 continue
-            if novelty.added(*_without_copies(text, lo, hi)) >= LEAST_NOVELTY * len(value):
+            if novelty.added(*_without_copies(text, lo, hi)) >= LEAST_NOVELTY * (hi - lo):
                 found.append((lo, 3, hi))
     return found
 
@@ -181,8 +179,8 @@ _OUT = pa.schema(
 )
 
 
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    novelty = Novelty()
+def _scan(batches: Iterator[pa.RecordBatch], words: Sequence[str]) -> Iterator[pa.RecordBatch]:
+    novelty = Novelty(words)
     for batch in batches:
         rows = [scan(text.as_py(), novelty) for text in batch["text"]]
         columns = list(zip(*rows)) if rows else [()] * 7
@@ -191,13 +189,16 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(arrays, schema=_OUT)
 
 
-def find_secrets(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def find_secrets(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: Sequence[str] | None = None) -> DataFrame:
     """One row per row of docs: doc_id, counts by kind, base_sha256, spans, and secrets with their strings.
 
     Spans count code points, the end excluded, in order of start, then kind. A null
-    text counts as empty. Rows that repeat are judged alike; an empty table gives no
-    rows; other columns are not looked at. Nothing is shuffled.
+    text counts as empty, and a text of any length is read whole. Rows that repeat
+    are judged alike; an empty table gives no rows; other columns are not looked at.
+    words are those of the dictionary, by default the docs' own; only their counts
+    are shuffled.
     """
+    words = identifiers(docs, text=text) if words is None else list(words)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
     struct = "array<struct<kind:string,start:bigint,end:bigint,value:string>>"
-    return rows.mapInArrow(_scan, f"doc_id long, n_assign long, n_access long, n_hex long, n_novel long, base_sha256 string, spans string, secrets {struct}")
+    return rows.mapInArrow(lambda batches: _scan(batches, words), f"doc_id long, n_assign long, n_access long, n_hex long, n_novel long, base_sha256 string, spans string, secrets {struct}")

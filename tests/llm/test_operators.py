@@ -125,9 +125,13 @@ SECRET_TEXTS = [
 ]
 
 
+#: Words that the corpus of the tests is taken to hold.
+COMMON = "the of documentation thing example placeholder configuration manager factory user management service refresh interval seconds get current permissions customer subscription status access header".split()
+
+
 def test_secret_scan(spark):
     rows = spark.createDataFrame([(k, t, "x") for k, t in enumerate(SECRET_TEXTS)], "doc_id long, text string, spans string")
-    for r in secrets.find_secrets(rows).collect():
+    for r in secrets.find_secrets(rows, words=COMMON).collect():
         base = _secrets(SECRET_TEXTS[r["doc_id"]])
         text = ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in base)
         assert r["base_sha256"] == hashlib.sha256(text.encode()).hexdigest()
@@ -139,18 +143,74 @@ def test_secret_scan(spark):
 
 @pytest.mark.parametrize("line, value", [("Bearer qzkxvjwpfhmtnrbdlscg", "qzkxvjwpfhmtnrbdlscg"), ("passphrase: 839201748205617394", "839201748205617394"), ("pwd=kjqhwzxvbnmplrtd8291", "=kjqhwzxvbnmplrtd8291"), ("session QZKXVJWPFHMTNRBDLSCG", "QZKXVJWPFHMTNRBDLSCG")])
 def test_secrets_of_one_character_class_are_novel(line, value):
-    assert [s[3] for s in secrets.scan(line, secrets.Novelty())[6]] == [value]
+    assert [s[3] for s in secrets.scan(line, secrets.Novelty(COMMON))[6]] == [value]
 
 
 @pytest.mark.parametrize("words", ["documentation_of_the_thing_1", "configurationManagerFactory", "user-management-service", "refresh_interval_seconds", "getCurrentUserPermissions", "customer_subscription_status"])
 def test_joined_words_are_not_novel(words):
-    assert secrets.scan(f"session {words}", secrets.Novelty())[3] == 0
+    assert secrets.scan(f"session {words}", secrets.Novelty(COMMON))[3] == 0
+
+
+def test_novelty_is_the_bytes_added():
+    """Every candidate's novelty by a compressor set up here, and spans from that alone."""
+    import zstandard
+
+    rng = random.Random(8)
+    texts = []
+    for _ in range(60):
+        parts = [rng.choice([*COMMON, "token", "session", "Bearer", "pwd", "".join(rng.choices("abcdefghijklmnopqrstuvwxyzABCDEF0123456789", k=rng.randint(8, 30))), "_".join(rng.choices(COMMON, k=3))]) for _ in range(rng.randint(1, 60))]
+        texts.append(" ".join(parts))
+    pack = zstandard.ZstdCompressor(level=9, dict_data=zstandard.ZstdCompressionDict(secrets.dictionary(COMMON), dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_checksum=False, write_content_size=False, write_dict_id=False)
+    novelty, hits = secrets.Novelty(COMMON), 0
+    for text in texts:
+        base = secrets.base_spans(text)
+        want, done = [], 0
+        for word in re.finditer(r"(?ai)auth|bearer|credential|private|passphrase|signature|session|cookie|api.?key|secret|token|passw|pwd", text):
+            for m in re.finditer(r"[A-Za-z0-9+/_=-]{12,}", text):
+                # A run is read from the end of the sensitive word on, if that lies inside it.
+                lo = max(m.start(), word.end(), done)
+                if not (word.end() <= lo < word.end() + 48 and m.end() - lo >= 12):
+                    continue
+                done = m.end()
+                if any(a < m.end() and lo < b for a, _, b in base):
+                    continue
+                value = text[lo : m.end()]
+                core = value.strip("+/_=-") or value
+                wide = 256 + len(core) - 1
+                before, after = text[max(0, lo - wide) : lo], text[m.end() : m.end() + wide]
+                around = before.replace(core, "\n" * len(core))[max(0, len(before) - 256) :] + "\n" + after.replace(core, "\n" * len(core))[: min(len(after), 256)] + "\n"
+                if len(pack.compress((around + value).encode())) - len(pack.compress(around.encode())) >= 0.7 * len(value):
+                    want.append((lo, 3, m.end()))
+        assert secrets.novel_spans(text, base, novelty) == want
+        hits += len(want)
+    assert hits > 20
+
+
+def test_identifiers_come_from_all_documents(spark):
+    rows = spark.createDataFrame([(k, f"getUserName common_word x9qwzk Alpha{k} tooManyLettersInThisone abcdefghijklmnop" + " rare" * (k == 3)) for k in range(40)] + [(50, None), (51, "")], "doc_id long, text string").repartition(7)
+    found = secrets.identifiers(rows, 9)
+    assert set(found) >= {"get", "user", "name", "common", "word"} and not {"qwzk", "alpha", "abcdefghijklmnop", "rare"} & set(found)
+    assert secrets.identifiers(rows.limit(0)) == []
+
+
+def test_a_text_of_many_secrets_takes_linear_time():
+    import time
+
+    rng = random.Random(3)
+    novelty = secrets.Novelty(COMMON)
+    took = []
+    for n in (1000, 4000):
+        text = "\n".join("token = " + "".join(rng.choices("abcdef0123456789XYZ", k=20)) for _ in range(n))
+        began = time.perf_counter()
+        assert len(secrets.scan(text, novelty)[6]) >= n
+        took.append(time.perf_counter() - began)
+    assert took[1] < 8 * took[0] + 0.2
 
 
 @pytest.mark.parametrize("between", ["\n", "\n" + "and so on, " * 20, "\n" + "and so on, " * 22, '" again with pwd='])
 def test_copies_of_a_secret_do_not_explain_it(between):
     key = "qW7xP2vN9kLm4RtY8sZc1JdF6hGa3BuE"
-    found = secrets.scan(f"Bearer {key}{between}Bearer {key}", secrets.Novelty())[6]
+    found = secrets.scan(f"Bearer {key}{between}Bearer {key}", secrets.Novelty(COMMON))[6]
     assert [s[3].strip("=") for s in found] == [key, key]
 
 
@@ -346,7 +406,7 @@ def test_decontamination(spark, docs, none, part_bytes):
     rows = decontaminate.find_contamination(docs, benchmark, part_bytes=part_bytes).collect()
     assert _bag((r["doc_id"], r["n_words"], r["n_hit"], list(r["items"])) for r in rows) == _bag((i, *_contamination(t)) for i, t in ROWS)
     assert sum(r["n_hit"] > 0 for r in rows) >= 3
-    clean = decontaminate.clean_rows(docs, benchmark)
+    clean = decontaminate.clean_rows(docs, benchmark, part_bytes=part_bytes)
     assert clean.columns == docs.columns
     assert clean.count() == sum(not (n and 20 * n >= w) for w, n, _ in (_contamination(t) for _, t in ROWS))
     assert decontaminate.find_contamination(none, benchmark).count() == 0
@@ -362,10 +422,26 @@ def test_search_skips_but_misses_nothing():
     for one in decontaminate.searchers(items):
         start, string = one.search(chunk, chunk.hashes())
         got = sorted(zip(start.tolist(), string.tolist()))
-        strings = [tuple(w.decode() for w in s) for s in one.strings]
+        word = [bytes(one.vocabulary.data[a:b]).decode() for a, b in zip(one.vocabulary.bounds, one.vocabulary.bounds[1:])]
+        strings = [tuple(word[k] for k in one.stream[b : b + one.length]) for b in one.begin]
         assert got == sorted((k, p) for k in range(len(words)) for p, s in enumerate(strings) if tuple(words[k : k + one.length]) == s)
 
 
+def test_tables_of_a_part_are_small():
+    import pickle
+
+    import numpy as np
+
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9))) for _ in range(20_000)]
+    items = [(str(k), " ".join(rng.choice(words) for _ in range(60))) for k in range(3000)]
+    size = sum(len(t) for _, t in items)
+    parts = decontaminate.searchers([*items, ("again", items[0][1]), ("none", None), ("few", "one two")])
+    assert len(pickle.dumps(parts)) < 8 * size + (3 << 20)
+    several = np.flatnonzero(np.diff(parts[1].item_at) == 2)
+    assert len(several) == 48 and parts[1].items_of(int(several[0])) == ["0", "again"] and [len(p.begin) for p in parts] == [1, 3000 * 48]
+
+
 def test_language(spark, docs, none):
     table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = language.train(table.filter(~language.held_out()))
@@ -433,13 +509,33 @@ def test_expected_grade_is_ordered():
     grade = rng.integers(0, 3, 600)
     owner = np.repeat(np.arange(600), 2)
     feature = np.stack([grade, 10 + rng.integers(0, 5, 600)], axis=1).ravel()
-    model = quality.fit(owner, feature, np.ones(1200), grade)
+    model = quality.fit(np.unique(feature), owner, feature, np.ones(1200), grade)
     score = model.dense()[:3]
     assert score[0] < score[1] < score[2]
     above = model.above(score)
     assert (above[:, 0] >= above[:, 1]).all() and above[0, 0] < 0.5 < above[1, 0] and above[1, 1] < 0.5 < above[2, 1]
 
 
+def test_features_that_tell(spark):
+    """The statistic by a plain recomputation, and about as many false features at any number tested."""
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    for docs, features in ((500, 2000), (20_000, 2000)):
+        grade = rng.integers(0, 3, docs)
+        seen = rng.integers(4, 200, features)
+        sums = np.array([grade[rng.integers(0, docs, n)].sum() for n in seen])
+        found = quality.telling(np.arange(features), seen, sums, grade.mean(), grade.std())
+        z = [abs(s / n - grade.mean()) / (grade.std() / n**0.5) for s, n in zip(sums, seen)]
+        assert found.tolist() == [k for k in range(features) if z[k] >= quality.least_z(features)] and len(found) <= 25
+    rows = spark.createDataFrame([(k, f"{'bad' if k % 2 else 'good'} words here {k % 7}") for k in range(400)] + [(3, "good twin"), (None, "bad")], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, 1 - k % 2, 0) for k in range(400)] + [(5, 0, 0), (900, 1, 0), (None, 1, 0), (7, None, 0)], "doc_id long, quality int, toxic int")
+    model = quality.train(rows, labels)
+    kept = {r["doc_id"]: r["expected_grade"] for r in quality.graded(rows.filter("doc_id in (10, 11)"), model).collect()}
+    assert kept[10] > 1.5 > 0.5 > kept[11]
+    assert quality.train(rows, labels).weights.tolist() == model.weights.tolist()
+
+
 CONVERSATIONS = [(c, t, ("system" if t == 0 and c % 5 == 0 else "user" if (t - (c % 5 == 0)) % 2 == 0 else "assistant"), f"{'What about' if t % 2 else 'So, on'} {c} {t}?\nline <|end|> two" if t % 3 else f"Point {t}.") for c in range(40) for t in range(2 + c % 7)]
 
 

@@ -29,26 +29,25 @@ UNKNOWN = "und"
 SCRIPT_SHARE = 0.002
 CHUNK_BYTES = 4 << 20
 
-#: Scripts by the lead byte of a character's UTF-8: fixed values of the encoding.
-_SCRIPT_OF_LEAD = np.zeros(256, np.int64)
-for _number, (_first, _last) in enumerate(
-    [
-        (0xC3, 0xCD),  # Latin beyond ASCII
-        (0xCE, 0xCF),  # Greek
-        (0xD0, 0xD3),  # Cyrillic
-        (0xD4, 0xD5),  # Armenian
-        (0xD6, 0xD7),  # Hebrew
-        (0xD8, 0xDF),  # Arabic and its neighbours
-        (0xE0, 0xE0),  # scripts of India, Thai, Lao
-        (0xE1, 0xE1),  # Georgian, Ethiopic, Khmer, Latin additions
-        (0xE3, 0xE3),  # Kana
-        (0xE4, 0xE9),  # Han
-        (0xEA, 0xED),  # Hangul
-        (0xF0, 0xF4),  # beyond the basic plane
-    ]
-):
-    _SCRIPT_OF_LEAD[_first : _last + 1] = _number
-N_SCRIPTS = 12
+#: Where the ranges of scripts begin, by code point: fixed values of the character set. 0 is Latin.
+_RANGES = [
+    (0x0000, 0), (0x0370, 1), (0x0400, 2), (0x0530, 3), (0x0590, 4), (0x0600, 5), (0x0700, 6), (0x0750, 5), (0x0780, 6), (0x08A0, 5),
+    (0x0900, 7), (0x0980, 8), (0x0A00, 9), (0x0A80, 10), (0x0B00, 11), (0x0B80, 12), (0x0C00, 13), (0x0C80, 14), (0x0D00, 15), (0x0D80, 16),
+    (0x0E00, 17), (0x0E80, 18), (0x0F00, 19), (0x1000, 20), (0x10A0, 21), (0x1100, 22), (0x1200, 23), (0x13A0, 24), (0x1780, 25), (0x1800, 26), (0x18B0, 24),
+    (0x1C90, 21), (0x1CC0, 24), (0x1E00, 0), (0x1F00, 1), (0x2000, 0), (0x2C00, 24), (0x2C60, 0), (0x2C80, 24), (0x2D00, 21), (0x2D30, 24),
+    (0x2DE0, 2), (0x2E00, 24), (0x2E80, 27), (0x3040, 28), (0x3100, 27), (0x3130, 22), (0x3190, 27), (0x31F0, 28), (0x3200, 27), (0xA000, 24),
+    (0xA640, 2), (0xA6A0, 24), (0xA720, 0), (0xA800, 24), (0xAB30, 0), (0xAB70, 24), (0xAC00, 22), (0xD7FC, 24), (0xF900, 27), (0xFB00, 0),
+    (0xFB13, 3), (0xFB1D, 4), (0xFB50, 5), (0xFE00, 24), (0xFE70, 5), (0xFF00, 0), (0xFF65, 28), (0xFFA0, 22), (0x10000, 24), (0x20000, 27),
+]
+_RANGE_AT, _RANGE_SCRIPT = (np.array(x, np.int64) for x in zip(*_RANGES))
+N_SCRIPTS = int(_RANGE_SCRIPT.max()) + 1
+
+#: The small letter of each character of two bytes, where that is one of two bytes too.
+_SMALL = np.arange(0x800)
+for _point in range(0x80, 0x800):
+    _low = chr(_point).lower()
+    if len(_low) == 1 and 0x80 <= ord(_low) < 0x800:
+        _SMALL[_point] = ord(_low)
 
 _LETTERS = W.WordClass.build(bytes([*range(0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]), lower=True)
 
@@ -84,11 +83,22 @@ def letter_chunks(texts, most_bytes: int = CHUNK_BYTES) -> Iterator[W.Chunk]:
 
 def _lowered(data: np.ndarray) -> np.ndarray:
     low = _LETTERS.fold[data]
-    high = np.flatnonzero((data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[:-1] == 0xC3)) + 1
-    low[high] += 0x20  # Latin-1 capitals
+    lead = np.flatnonzero((data[:-1] >= 0xC2) & (data[:-1] <= 0xDF))
+    point = _SMALL[(data[lead].astype(np.int64) & 31) << 6 | data[lead + 1] & 63]
+    low[lead], low[lead + 1] = 0xC0 | point >> 6, 0x80 | point & 63
     return low
 
 
+def _points(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Code points of the characters beyond ASCII that begin at these places of UTF-8 bytes."""
+    byte = lambda k: raw[np.minimum(at + k, len(raw) - 1)].astype(np.int64)
+    lead = byte(0)
+    two = (lead & 0x1F) << 6 | byte(1) & 0x3F
+    three = (lead & 0x0F) << 12 | (byte(1) & 0x3F) << 6 | byte(2) & 0x3F
+    four = (lead & 0x07) << 18 | (byte(1) & 0x3F) << 12 | (byte(2) & 0x3F) << 6 | byte(3) & 0x3F
+    return np.where(lead < 0xE0, two, np.where(lead < 0xF0, three, four))
+
+
 @dataclass
 class _Words:
     """Distinct words of a chunk: their trigrams with bounds, scripts and letters, and which word is which."""
@@ -111,11 +121,11 @@ def _distinct(chunk: W.Chunk) -> _Words:
     before[at[:-1]] = 32
     after[at[1:] - 1] = 32
     trigrams = (W.mix(before << np.uint64(16) | raw << np.uint64(8) | after) % np.uint64(BUCKETS)).astype(np.int64)
-    lead = raw >= 0xC3
+    lead = np.flatnonzero(raw >= 0xC2)
     script = np.zeros(len(size), np.int64)
-    if lead.any():
+    if len(lead):
         word = np.repeat(np.arange(len(size)), size)[lead]
-        np.maximum.at(script, word, _SCRIPT_OF_LEAD[raw[lead].astype(np.int64)])
+        np.maximum.at(script, word, _RANGE_SCRIPT[np.searchsorted(_RANGE_AT, _points(raw, lead), "right") - 1])
     head = np.append(0, np.cumsum((raw & np.uint64(0xC0)) != 0x80))
     return _Words(which, trigrams, at, script, head[at[1:]] - head[at[:-1]])
 
@@ -277,8 +287,9 @@ def identify(docs: DataFrame, model: Model, penalty: float = SWITCH_PENALTY, id_
     """One row per row of docs: doc_id, lang_pred, score, spans of words of one language.
 
     lang_pred is the language of most letters and score their share; `und` and 0
-    without a letter or a learned language. Other columns of docs are not looked
-    at, and nothing is shuffled.
+    without a letter or a learned language. Rows that repeat are judged alike, an
+    empty table gives no rows, a text of any length is read whole. Other columns of
+    docs are not looked at, and nothing is shuffled.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
     kind = "doc_id long, lang_pred string, score double, spans array<struct<lang:string,first_word:bigint,end_word:bigint>>"

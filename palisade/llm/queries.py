@@ -57,11 +57,13 @@ def _transcript_text(style: Column) -> Column:
 
 
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation's turns as recovered from a transcript without roles; fitted on the half that is not held out."""
     rows = _table(spark, sf_dir, "conversations")
     raw = _transcript_text(F.pmod(F.xxhash64("conv_id"), F.lit(5)))
-    model = chat.train(rows, raw)
+    held_out = F.pmod(F.xxhash64("conv_id", F.lit("held out")), F.lit(2)) == 1
+    model = chat.train(rows.filter(~held_out), raw)
     parts = chat.transcript_parts(rows.select("conv_id", "turn", raw.alias("text")))
-    return chat.parse(parts, model).select("conv_id", "turn", "role", "rendered")
+    return chat.parse(parts, model).select("conv_id", "turn", "role", "rendered", held_out.alias("held_out"))
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -458,6 +458,16 @@ def test_language(spark, docs, none):
     assert {r["lang_pred"] for r in language.identify(odd, blank).collect()} == {"und"}
 
 
+def test_scripts_and_small_letters():
+    samples = {"Привет": 2, "ДОМ": 2, "नमस्ते": 7, "தமிழ்": 12, "ไทย": 17, "ລາວ": 18, "ქართული": 21, "አማርኛ": 23, "ខ្មែរ": 25, "ひらがな": 28, "漢字": 27, "한국어": 22, "Việt": 0, "plain": 0, "Ελλάδα": 1, "שלום": 4, "العربية": 5, "𐍈": 24, "𠮷": 27}
+    for word, script in samples.items():
+        chunk = next(language.letter_chunks(pa.array([word])))
+        assert set(language._distinct(chunk).script.tolist()) <= {script, 0} and script in language._distinct(chunk).script, word
+    for word in ("ŽLUŤOUČKÝ", "ПРИВЕТ", "ΣΟΦΊΑ", "ÀÉÎ", "ĄĘŁŃ", "Mixed"):
+        chunk = next(language.letter_chunks(pa.array([word])))
+        assert language._lowered(chunk.data).tobytes().decode() == word.lower()
+
+
 def test_mixed_text_gives_spans(spark):
     table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = language.train(table.filter(~language.held_out()))
@@ -544,6 +554,22 @@ def _raw(style):
     return {"colon": F.concat(name, F.lit(": "), F.col("text")), "head": F.concat(F.lit("### "), name, F.lit("\n"), F.col("text")), "mark": F.concat(F.lit("<|"), F.col("role"), F.lit("|>"), F.col("text"))}[style]
 
 
+def test_chat_of_the_held_out_half(spark):
+    """Roles by turn on conversations that the model was not counted on, by style; styles with markers are recovered whole."""
+    from palisade.llm import queries
+
+    sf = "/root/testdata/sf0.1"
+    found = queries.op5_chat_format(spark, sf).filter("held_out").select("conv_id", "turn", F.col("role").alias("got"))
+    rows = spark.read.parquet(f"{sf}/conversations.parquet")
+    known = rows.select("conv_id", "turn", "role")
+    start = known.groupBy("conv_id").agg(F.min("turn").alias("start"))
+    known = known.join(start, "conv_id").select("conv_id", (F.col("turn") - F.col("start")).alias("turn"), "role")
+    right = known.join(found.select("conv_id").distinct(), "conv_id").join(found, ["conv_id", "turn"], "left")
+    share = right.groupBy(F.pmod(F.xxhash64("conv_id"), F.lit(5)).alias("style")).agg(F.avg(F.coalesce((F.col("role") == F.col("got")).cast("double"), F.lit(0.0))).alias("right")).collect()
+    by_style = {r["style"]: r["right"] for r in share}
+    assert len(by_style) == 5 and min(v for k, v in by_style.items() if k != 4) > 0.97 and by_style[4] > 0.6, by_style
+
+
 @pytest.mark.parametrize("style", ["colon", "head", "mark"])
 def test_chat_recovers_roles(spark, style):
     rows = spark.createDataFrame(CONVERSATIONS, "conv_id long, turn long, role string, text string")

@@ -43,6 +43,8 @@ from .components import components
 FAMILY_BLOCK = 1 << 17
 #: Fragments in which overlaps are counted.
 OVERLAP_FRAGMENTS = 4
+#: Families beyond a block, of 24 bytes each, up to which a list of them is sent to all executors.
+SENT_FAMILIES = 1_000_000
 
 STATE = "doc_id long, n_shingles long, digest binary, grams binary, prefix array<long>, skipped int"
 
@@ -223,23 +225,21 @@ def _block_pairs(rows: DataFrame, parts: str) -> DataFrame:
     return rows.withColumns({"first": F.least("block", "other"), "second": F.greatest("block", "other")})
 
 
-def _large(light: DataFrame) -> DataFrame:
+def _large(light: DataFrame, held: DataFrame, few) -> DataFrame:
     """(node, task, block, first, second) for the sets of families beyond a block.
 
     A family goes in block pairs or by prefix gram, whichever copies fewer grams. Of
     grams that the same sets hold (equal in number, size and two hashes) one is taken.
     """
-    held = light.select("component", "node", "size", "parts", F.explode("prefix").alias("gram"))
     of_gram = held.groupBy("component", "gram").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("size").alias("grams"), F.bit_xor(F.xxhash64("node")).alias("one"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("two"), F.first("parts").alias("parts")
+        F.count(F.lit(1)).alias("n"), F.sum("size").alias("grams"), F.bit_xor(F.xxhash64("node")).alias("one"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("two"), F.first("whole").alias("whole"), F.first("parts").alias("parts")
     )
-    of_gram = of_gram.filter("n > 1").groupBy("component", "n", "grams", "one", "two", "parts").agg(F.min("gram").alias("gram"))
+    of_gram = of_gram.filter("n > 1").groupBy("component", "n", "grams", "one", "two", "whole", "parts").agg(F.min("gram").alias("gram"))
     of_gram = of_gram.withColumn("gram_parts", F.ceil(F.col("grams") / FAMILY_BLOCK))
-    whole = light.groupBy("component").agg(F.sum("size").alias("whole"), F.first("parts").alias("parts"))
-    cost = of_gram.groupBy("component").agg(F.sum(F.col("grams") * F.col("gram_parts")).alias("by_gram"))
-    chosen = whole.join(cost, "component").select("component", (F.col("by_gram") < F.col("whole") * F.col("parts")).alias("by_gram"))
-    blocks = _block_pairs(light.join(chosen.filter("NOT by_gram"), "component", "left_semi"), "parts").withColumn("gram", F.lit(0).cast("long"))
-    own = of_gram.join(chosen.filter("by_gram"), "component", "left_semi").select("component", "gram", "gram_parts")
+    cost = of_gram.groupBy("component").agg(F.sum(F.col("grams") * F.col("gram_parts")).alias("by_gram"), F.first("whole").alias("whole"), F.first("parts").alias("parts"))
+    chosen = shared.written(cost.select("component", (F.col("by_gram") < F.col("whole") * F.col("parts")).alias("by_gram")), "dealt")
+    blocks = _block_pairs(light.join(few(chosen.filter("NOT by_gram")), "component", "left_semi"), "parts").withColumn("gram", F.lit(0).cast("long"))
+    own = of_gram.join(few(chosen.filter("by_gram")), "component", "left_semi").select("component", "gram", "gram_parts")
     grams = _block_pairs(held.join(own, ["component", "gram"]), "gram_parts")
     columns = ("node", "component", "gram", "block", "first", "second")
     return blocks.select(*columns).unionAll(grams.select(*columns))
@@ -248,14 +248,23 @@ def _large(light: DataFrame) -> DataFrame:
 def _links(sets: DataFrame, percent: int) -> DataFrame:
     """(u, v): a spanning forest, or more, of the links between distinct sets."""
     family = shared.written(sets.select("node", "prefix", (F.octet_length("grams") / 8).cast("long").alias("size")).join(_families(sets), "node"), "placed")
-    total, most = family.groupBy("component").agg(F.sum("size").alias("grams")).agg(F.sum("grams"), F.max("grams")).first()
-    tasks = max(1, -(-(total or 0) // FAMILY_BLOCK))
-    sizes = family.groupBy("component").agg(F.ceil(F.sum("size") / FAMILY_BLOCK).alias("parts"))
-    light = family.join(sizes, "component")
+    total = family.agg(F.sum("size")).first()[0] or 0
+    tasks = max(1, -(-total // FAMILY_BLOCK))
+    whole = family.groupBy("component").agg(F.sum("size").alias("whole")).filter(F.col("whole") > FAMILY_BLOCK)
+    big = shared.written(whole.withColumn("parts", F.ceil(F.col("whole") / FAMILY_BLOCK)), "large")
+    many = big.count()
+
+    def few(rows: DataFrame) -> DataFrame:
+        """A list of large families, sent to all while it is short; else joined by shuffling."""
+        return F.broadcast(rows) if many <= SENT_FAMILIES else rows
+
     none = [F.lit(0).alias(name) for name in ("block", "first", "second")]
-    dealt = light.filter("parts = 1").select("node", F.pmod(F.xxhash64("component"), F.lit(tasks)).alias("component"), F.lit(None).cast("long").alias("gram"), *none)
-    if (most or 0) > FAMILY_BLOCK:
-        dealt = dealt.unionAll(_large(light.filter("parts > 1")))
+    small = family.join(few(big), "component", "left_anti") if many else family
+    dealt = small.select("node", F.pmod(F.xxhash64("component"), F.lit(tasks)).alias("component"), F.lit(None).cast("long").alias("gram"), *none)
+    if many:
+        light = family.join(few(big), "component")
+        held = light.select("component", "node", "size", "whole", "parts", F.explode("prefix").alias("gram"))
+        dealt = dealt.unionAll(_large(light, held, few))
     placed = dealt.join(sets.select("node", "grams", "prefix", "skipped"), "node")
     return placed.groupBy("component", "gram", "first", "second").applyInArrow(lambda table: _task(table, percent), "u long, v long")
 

@@ -2,8 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as
 Parquet and read again as the next stage's docs. All but the last return the
-columns of docs, whatever these are. A null text counts as empty, and empty
-documents are judged like any others; an empty table gives an empty one.
+columns of docs, whatever these are and whatever they are called. In every stage a
+null text counts as empty, and empty documents are judged like any others; texts of
+any length are read whole; a null id comes after all others; an empty table gives an
+empty one. Rows that repeat are judged alike by the first and the fourth stage and
+stay or go together; the second keeps one row of each text, so later stages see none.
 """
 
 from __future__ import annotations

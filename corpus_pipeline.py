@@ -61,7 +61,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The stages' rows in turn. Of what the stages write, only the last one's input is left, which the result reads."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs = shared.written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        docs, at = shared.settled(spark, lambda: stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if before:
+            shared.removed(spark, before)
+        before = at
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import removed, written_at
 
 
 def _both(edges: DataFrame) -> DataFrame:
@@ -29,13 +29,16 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(node, component) for every node of edges (u, v): the component's least node.
 
     Loops and repeated edges do no harm. Every round is written to the shared
-    folder; the rounds end when the edges are stars and stay the same.
+    folder, and the one before it removed; the rounds end when the edges are stars
+    and stay the same.
     """
-    stars = written(edges.filter("u <> v").select("u", "v").distinct(), name)
+    stars, at = written_at(edges.filter("u <> v").select("u", "v").distinct(), name)
     print_of = F.struct(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")))
     before = stars.agg(print_of).first()[0]
     while True:
-        stars = written(_small(_large(stars).distinct()).distinct(), name)
+        older = at
+        stars, at = written_at(_small(_large(stars).distinct()).distinct(), name)
+        removed(edges.sparkSession, older)
         now = stars.agg(print_of).first()[0]
         if now == before:
             break

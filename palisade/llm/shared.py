@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,6 +13,9 @@ from pyspark.sql import functions as F
 
 SPACE_RUN = "[ \\t-\\r]+"
 
+#: Folders written while settled() makes its rows.
+_FOLDERS: ContextVar[list[str] | None] = ContextVar("folders", default=None)
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; a local one only where that is unset, as in tests."""
@@ -23,12 +28,42 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows, written to the shared folder and read from there, which cuts the lineage."""
+def written_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """The rows, written to the shared folder and read from there, which cuts the lineage; and where they lie."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    folders = _FOLDERS.get()
+    if folders is not None:
+        folders.append(path)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows, written to the shared folder and read from there; the folder stays, since the result may be read at any time."""
+    return written_at(df, name)[0]
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Takes away a folder that written_at() gave, once nothing reads it any more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def settled(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> tuple[DataFrame, str]:
+    """make()'s rows, written, and where they lie; what was written to make them is removed, also if that fails."""
+    inner: list[str] = []
+    token = _FOLDERS.set(inner)
+    try:
+        rows = make()
+        _FOLDERS.reset(token)
+        token = None
+        return written_at(rows, name)
+    finally:
+        if token is not None:
+            _FOLDERS.reset(token)
+        for path in inner:
+            removed(spark, path)
 
 
 def free_names(df: DataFrame, *wanted: str) -> list[str]:

@@ -1,6 +1,7 @@
 """Each operator against a plain version of itself, on awkward rows and on none."""
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -10,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from palisade.llm import chat, components, decontaminate, exact_dedup, jaccard_join, language, pieces, probe, quality, secrets, sharding, substring_dedup
+from palisade.llm import chat, components, decontaminate, exact_dedup, jaccard_join, language, pieces, probe, quality, secrets, shared, sharding, substring_dedup
 from palisade.llm import words as W
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
@@ -359,6 +360,28 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def _folders(spark):
+    return set(os.listdir(shared.shared_dir(spark)))
+
+
+def test_rounds_leave_one_folder(spark):
+    before = _folders(spark)
+    found = components.components(spark.createDataFrame([(k, k + 1) for k in range(40)], "u long, v long"))
+    assert len(_folders(spark) - before) == 1 and found.filter("component = 0").count() == 41
+
+
+def test_settled_rows_leave_one_folder(docs, spark):
+    before = _folders(spark)
+    rows, at = shared.settled(spark, lambda: jaccard_join.first_rows(docs, 4, 85), "kept")
+    assert _folders(spark) - before == {os.path.basename(at)}
+    assert _bag(rows.collect()) == _bag(jaccard_join.first_rows(docs, 4, 85).collect())
+    shared.removed(spark, at)
+    before = _folders(spark)
+    with pytest.raises(ZeroDivisionError):
+        shared.settled(spark, lambda: shared.written(docs, "lost") and 1 / 0, "kept")
+    assert _folders(spark) == before
+
+
 def test_exact_dedup(docs, none):
     plain = lambda t: re.sub(r"[\x20\x09-\x0D]+", " ", t or "")
     groups: dict = {}

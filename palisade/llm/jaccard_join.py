@@ -67,12 +67,12 @@ def gram_sets(chunk: W.Chunk, n: int) -> tuple[np.ndarray, np.ndarray]:
     return keys, np.searchsorted(owner, np.arange(chunk.n_texts + 1))
 
 
-def _ask(table: pa.Table, n: int, fragments: int) -> pa.Table:
+def _ask(table: pa.Table, n: int, exchange: probe.Exchange) -> pa.Table:
     keys = [gram_sets(chunk, n)[0] for chunk in W.chunks(table["text"], W.SPACED_LOWER)]
     keys = np.sort(np.concatenate(keys))
     first, _ = probe.runs(keys)
     counts = np.diff(np.append(first, len(keys))).astype("<u4")
-    return probe.requests_table(list(probe.split(table["block"][0].as_py(), keys[first], fragments, True, counts)))
+    return probe.requests_table(list(exchange.split(table["block"][0].as_py(), keys[first], counts)))
 
 
 def _frequency_reply(first, run, values):
@@ -82,8 +82,8 @@ def _frequency_reply(first, run, values):
     return (total > 1)[run], total[run].astype("<u4")[(total > 1)[run]]
 
 
-def _prune(table: pa.Table, given: pa.Table, n: int, percent: int, fragments: int) -> pa.Table:
-    known = probe.Answers(given, fragments, 4, "<u4")
+def _prune(table: pa.Table, given: pa.Table, n: int, percent: int, exchange: probe.Exchange) -> pa.Table:
+    known = exchange.answers(given, "<u4")
     table = shared.side(table, doc_id=pa.int64(), text=pa.string())
     sizes, digests, grams, prefixes, skipped = [], [], [], [], []
     for chunk in W.chunks(table["text"], W.SPACED_LOWER):
@@ -282,11 +282,11 @@ def jaccard_groups(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str =
     if not 50 <= percent <= 100:
         raise ValueError("percent must lie between 50 and 100")
     total = shared.total_bytes(docs, text)
-    blocks = shared.in_blocks(docs, probe.block_count(total, docs.count()), id_col, text)
-    fragments = probe.fragment_count(total)
-    asked = blocks.groupBy("block").applyInArrow(lambda table: _ask(table, n, fragments), probe.REQUEST)
-    told = probe.answer(asked, _frequency_reply, 4, "<u4")
-    pruned = blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(lambda table, given: _prune(table, given, n, percent, fragments), STATE)
+    exchange = probe.Exchange.over(total, docs.count())
+    blocks = shared.in_blocks(docs, exchange.blocks, id_col, text)
+    asked = blocks.groupBy("block").applyInArrow(lambda table: _ask(table, n, exchange), probe.REQUEST)
+    told = exchange.answer(asked, _frequency_reply, "<u4")
+    pruned = blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(lambda table, given: _prune(table, given, n, percent, exchange), STATE)
     state = shared.written(pruned, "grams")
 
     distinct = state.filter("digest IS NOT NULL").groupBy("digest").agg(*[F.first(name).alias(name) for name in ("grams", "prefix", "skipped")])

@@ -116,7 +116,7 @@ def _candidates(chunk, hashes, owner, run, lengths, answers) -> tuple[_Level, np
     return level, places
 
 
-def _ask(block: int, keys: np.ndarray, docs: np.ndarray, check: np.ndarray | None, fragments: int) -> pa.Table:
+def _ask(block: int, keys: np.ndarray, docs: np.ndarray, check: np.ndarray | None, exchange: probe.Exchange) -> pa.Table:
     """Distinct keys of a block: before the last level with whether two documents hold each, at the last with the smallest."""
     if not len(keys):
         return probe.requests_table([])
@@ -124,9 +124,9 @@ def _ask(block: int, keys: np.ndarray, docs: np.ndarray, check: np.ndarray | Non
     keys, docs, check = keys[order], docs[order], None if check is None else check[order]
     first, run = probe.runs(keys, check)
     if check is not None:
-        return probe.requests_table(list(probe.split(block, keys[first], fragments, False, docs[first], check[first])))
+        return probe.requests_table(list(exchange.split(block, keys[first], docs[first], check[first])))
     several = (np.maximum.reduceat(docs, first) > docs[first]).astype(np.uint8)
-    return probe.requests_table(list(probe.split(block, keys[first], fragments, True, several)))
+    return probe.requests_table(list(exchange.split(block, keys[first], several)))
 
 
 def _shared_reply(first, run, values):
@@ -200,39 +200,39 @@ def substring_dedup(docs: DataFrame, length: int = 13, digest_only: bool = False
     if length < 1:
         raise ValueError("length must be positive")
     total = shared.total_bytes(docs, text)
-    blocks = shared.in_blocks(docs, probe.block_count(total, docs.count()), id_col, text)
-    fragments = probe.fragment_count(total)
+    exchange = probe.Exchange.over(total, docs.count())
+    blocks = shared.in_blocks(docs, exchange.blocks, id_col, text)
     lengths = levels(length)
     told: list[DataFrame] = []
     for run in range(len(lengths)):
         last = run == len(lengths) - 1
-        first_ask, later_ask = _asks(run, lengths, fragments)
+        first_ask, later_ask = _asks(run, lengths, exchange)
         if run:
             asked = blocks.groupBy("block").cogroup(_together(told).groupBy("block")).applyInArrow(later_ask, probe.REQUEST)
         else:
             asked = blocks.groupBy("block").applyInArrow(first_ask, probe.REQUEST)
         if last:
-            told = [probe.answer(asked, _earlier_reply, 16, "<i8")]
+            told = [exchange.answer(asked, _earlier_reply, "<i8", checked=True)]
         else:
-            told.append(probe.answer(asked, _shared_reply, 4, "<u1"))
+            told.append(exchange.answer(asked, _shared_reply, "<u1"))
 
     def finish(table: pa.Table, given: pa.Table) -> pa.Table:
-        return _finish(table, lengths, probe.Answers(given, fragments, 16), not digest_only)
+        return _finish(table, lengths, exchange.answers(given, checked=True), not digest_only)
 
     return blocks.groupBy("block").cogroup(told[0].groupBy("block")).applyInArrow(finish, OUT)
 
 
-def _asks(run: int, lengths: list[int], fragments: int):
+def _asks(run: int, lengths: list[int], exchange: probe.Exchange):
     """The requests of a level, from a block alone and from a block with the answers of the levels below."""
 
     def first(table: pa.Table) -> pa.Table:
-        return _ask(table["block"][0].as_py(), *_block_keys(table, run, lengths, []), fragments)
+        return _ask(table["block"][0].as_py(), *_block_keys(table, run, lengths, []), exchange)
 
     def later(table: pa.Table, given: pa.Table) -> pa.Table:
         if not table.num_rows:
             return probe.requests_table([])
-        known = [probe.Answers(_of(given, k), fragments, 4) for k in range(run)]
-        return _ask(table["block"][0].as_py(), *_block_keys(table, run, lengths, known), fragments)
+        known = [exchange.answers(_of(given, k)) for k in range(run)]
+        return _ask(table["block"][0].as_py(), *_block_keys(table, run, lengths, known), exchange)
 
     return first, later
 

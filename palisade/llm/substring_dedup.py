@@ -5,7 +5,8 @@ Levels are window lengths that double up to the length asked for (7 and 13; 7,
 half its length in it all occur in more than one document; a level without
 candidates sends nothing on, and the levels above it are empty. The first level
 looks at anchors alone: in every window of the second level, its first-level
-windows of least hash, so equal windows have equal anchors and none is missed.
+windows of least hash. Equal windows have equal anchors, and each is judged by its
+own, so none is missed.
 The last level compares 128-bit hashes and finds the smallest document of each.
 
 Documents lie in blocks, and every level is one exchange of probe.py between
@@ -41,14 +42,9 @@ def levels(length: int) -> list[int]:
     return out
 
 
-def anchors(hashes: np.ndarray, at: np.ndarray, owner: np.ndarray, width: int) -> np.ndarray:
-    """Places, among windows at `at`, with the least hash of some `width` neighbours in their document.
-
-    A tie goes to every one of the least, which equal stretches share.
-    """
+def _least(hashes: np.ndarray, width: int) -> np.ndarray:
+    """The least of every `width` neighbours."""
     n = len(hashes)
-    if n < width:
-        return np.empty(0, np.int64)
     least, span = hashes.copy(), 1
     while span * 2 <= width:
         least[: n - span] = np.minimum(least[: n - span], least[span:n])
@@ -56,8 +52,19 @@ def anchors(hashes: np.ndarray, at: np.ndarray, owner: np.ndarray, width: int) -
     rest = width - span
     if rest:
         least[: n - rest] = np.minimum(least[: n - rest], least[rest:n])
+    return least[: max(0, n - width + 1)]
+
+
+def anchors(hashes: np.ndarray, at: np.ndarray, owner: np.ndarray, width: int) -> np.ndarray:
+    """Places, among windows at `at`, with the least hash of some `width` neighbours in their document.
+
+    A tie goes to every one of the least, which equal stretches share.
+    """
+    n = len(hashes)
+    if n < width:
+        return np.empty(0, np.int64)
     whole = np.flatnonzero((at[width - 1 :] - at[: n - width + 1] == width - 1) & (owner[width - 1 :] == owner[: n - width + 1]))
-    low = least[whole]
+    low = _least(hashes, width)[whole]
     chosen = np.zeros(n, bool)
     for k in range(width):
         chosen[whole[hashes[whole + k] == low] + k] = True
@@ -73,10 +80,23 @@ class _Level:
         self.length = length
 
 
-def _supported(level: _Level, below: _Level, known: np.ndarray, places: np.ndarray, n_words: int) -> np.ndarray:
-    """Windows in which no looked-up window below is unshared."""
+def _anchored(level: _Level, below: _Level, known: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Windows whose own anchors are shared: the least hash of the windows below in each stays the least among shared anchors.
+
+    Other anchors inside do not count: they may be the least of a window that reaches
+    beyond the repeated stretch, and so be no anchors of the other document.
+    """
+    width = level.length - below.length + 1
+    told = np.full(len(below.keys), np.iinfo(np.uint64).max, np.uint64)
+    told[places[known]] = below.keys[places[known]]
+    at = np.searchsorted(below.at, level.at)
+    return _least(told, width)[at] == _least(below.keys, width)[at]
+
+
+def _supported(level: _Level, below: _Level, known: np.ndarray, n_words: int) -> np.ndarray:
+    """Windows in which every window below is shared."""
     bad = np.zeros(n_words + 1, np.int64)
-    bad[below.at[places[~known]] + 1] = 1
+    bad[below.at[~known] + 1] = 1
     bad = np.cumsum(bad)
     last = level.at + level.length - below.length
     return bad[last + 1] == bad[level.at]
@@ -107,12 +127,14 @@ def _candidates(chunk, hashes, owner, run, lengths, answers) -> tuple[_Level, np
     places = anchors(level.keys, level.at, level.owner, lengths[1] - lengths[0] + 1) if len(lengths) > 1 else np.arange(len(level.keys))
     for k in range(run):
         known, _ = answers[k].find(level.keys[places])
+        above = _Level(chunk, hashes, owner, lengths[k + 1])
         if k:
             every = np.zeros(len(level.keys), bool)
             every[places] = known
-            known, places = every, np.arange(len(every))
-        above = _Level(chunk, hashes, owner, lengths[k + 1])
-        places, level = np.flatnonzero(_supported(above, level, known, places, len(hashes))), above
+            shared_below = _supported(above, level, every, len(hashes))
+        else:
+            shared_below = _anchored(above, level, known, places)
+        places, level = np.flatnonzero(shared_below), above
     return level, places
 
 

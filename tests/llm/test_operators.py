@@ -83,8 +83,27 @@ def test_words_match_the_pattern():
     assert len(set(seen.values())) == len({w for _, w in seen})
 
 
+@pytest.fixture(params=["direct", "relayed"])
+def many_blocks(monkeypatch, request):
+    """Small tables dealt as large ones: many blocks and fragments, and messages by way of relays or not."""
+    direct = request.param == "direct"
+    for name, value in {"MOST_BLOCK": 1 << 14, "LEAST_BLOCK": 1 << 14, "FRAGMENT_KEYS": 1 << 11, "MOST_DIRECT": 99 if direct else 2, "GROUPS": 5, "RELAYED_KEYS": 256}.items():
+        monkeypatch.setattr(probe, name, value)
+    plan = probe.Exchange.over(sum(len(t or "") for _, t in ROWS), len(ROWS))
+    assert plan.blocks > 10 and plan.fragments > 10
+    assert plan.direct if direct else plan.blocks > plan.span > 1 and plan.fragments > plan.groups
+
+
 @pytest.mark.parametrize("length", [13, 4, 26])
 def test_substring_dedup(docs, length):
+    _check_substrings(docs, length)
+
+
+def test_substring_dedup_of_many_blocks(docs, many_blocks):
+    _check_substrings(docs, 13)
+
+
+def _check_substrings(docs, length):
     starts: dict = {}
     for i, text in ROWS:
         words = _spaced(text)
@@ -321,6 +340,11 @@ def test_jaccard_groups(docs, monkeypatch, n, percent, block):
     assert _bag((r["doc_id"], r["n_shingles"], r["component_id"]) for r in rows) == _bag(_linked(n, percent))
 
 
+def test_jaccard_groups_of_many_blocks(docs, many_blocks):
+    rows = jaccard_join.jaccard_groups(docs, 4, 85).collect()
+    assert _bag((r["doc_id"], r["n_shingles"], r["component_id"]) for r in rows) == _bag(_linked(4, 85))
+
+
 def test_a_chained_family_is_not_compared_with_itself(spark, monkeypatch):
     """Each document shares words with its two neighbours only, yet all are one family."""
     import numpy as np
@@ -633,6 +657,18 @@ def test_no_rows(none, run):
 def test_probe_numbers_follow_the_data():
     assert probe.block_count(0, 0) == 1 and probe.fragment_count(0) == 4
     assert probe.block_count(100 << 40, 10**10) >= (100 << 40) // probe.MOST_BLOCK
+    assert probe.Exchange.over(30 << 30, 10**7).direct
+
+
+@pytest.mark.parametrize("total", [60 << 30, 350 << 30, 35 << 40, 100 << 40, 300 << 40])
+def test_messages_stay_long_at_any_size(total):
+    """Keys a message, on average, on both hops; keys a relay holds."""
+    plan = probe.Exchange.over(total, total // 10_000)
+    keys = total * probe.DENSITY
+    sent = keys / plan.blocks / plan.groups
+    assert not plan.direct and plan.fragments % plan.groups == 0 and keys / plan.fragments <= probe.FRAGMENT_KEYS
+    assert sent >= 800 and sent * plan.span / (plan.fragments // plan.groups) >= 1000
+    assert sent * plan.span <= 16 << 20
 
 
 def test_nullable_schema_survives(docs):

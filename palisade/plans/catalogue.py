@@ -31,7 +31,7 @@ from ..operators.fingerprint import of_frame
 from ..operators.govern import TENANT_ISOLATION, And, Attribute, Eq, In, Match, Not, Or, Policy, User, check_connections, top_n
 from ..operators.workspace import Workspace
 from ..sources import readers
-from ..sources.transfer import Location, Mover, write_jdbc
+from ..sources.transfer import DERBY, Location, Mover, packed_database
 from ..streaming import events as streams
 from . import frontends, ir
 from .ir import Aggregate, Call, Cast, Filter, Join, Limit, Lit, Over, Param, Project, Ref, Sort, Sub, Subquery, TableScan, Union, Values
@@ -874,10 +874,9 @@ query("ml_fit", "SELECT event_type, round(regr_slope(value, user_id), 9) AS slop
 
 @query("src_jdbc_table", "SELECT n_nationkey, n_name FROM nation")
 def _src_jdbc_table(spark, sf):
-    """Through a database in the driver's memory, so for local sessions."""
-    url, driver = f"jdbc:derby:memory:d{uuid.uuid4().hex};create=true", {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
-    write_jdbc(table(spark, sf, "nation").select(F.col("n_nationkey").alias("K"), F.col("n_name").alias("NAME")), url, "nations", "create", **driver)
-    return readers.jdbc_table(spark, url, "nations", partition=("K", 0, 25, 2), **driver).toDF("n_nationkey", "n_name")
+    """Through a database that every executor opens for itself."""
+    url = packed_database(table(spark, sf, "nation").select(F.col("n_nationkey").alias("K"), F.col("n_name").alias("NAME")), "nations")
+    return readers.jdbc_table(spark, url, "nations", partition=("K", 0, 25, 2), **DERBY).toDF("n_nationkey", "n_name")
 
 
 @query("src_blob_ipc", "SELECT * FROM (VALUES (1::BIGINT, 'x'), (2, NULL)) v(n, s)")

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import tempfile
 import time
 import uuid
+import zipfile
 from dataclasses import dataclass
+from pathlib import Path
 
+from py4j.protocol import Py4JJavaError
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -246,6 +251,46 @@ def write_jdbc(df: DataFrame, url: str, table: str, mode: str = "append", batch:
         connection.close()
 
 
+DERBY = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+
+
+def packed_database(df: DataFrame, table: str) -> str:
+    """URL of a read-only Derby database that holds the rows as a table, for readers in any process of the application.
+
+    Only one process may have an embedded database open for writing, so the rows
+    stream through the driver, which fills it one by one: for small tables. Spark
+    hands it to the executors as a jar, which any number of processes may read; it
+    goes with the application.
+    """
+    from .readers import identifier
+
+    spark, name = df.sparkSession, f"d{uuid.uuid4().hex}"
+    jar = Path(tempfile.mkdtemp(prefix="derby-", dir=SparkFiles.getRootDirectory()), f"{name}.jar")
+    with tempfile.TemporaryDirectory(prefix="derby-", dir=jar.parent) as home:
+        url = f"jdbc:derby:{home}/{name}"
+        write_jdbc(df.limit(0), f"{url};create=true", table, "create", **DERBY)
+        connection = _connection(spark, url, DERBY)
+        connection.setAutoCommit(False)
+        insert = connection.prepareStatement(f"INSERT INTO {identifier(table)} VALUES ({', '.join('?' * len(df.columns))})")
+        for row in df.toLocalIterator():
+            for k, value in enumerate(row, 1):
+                insert.setObject(k, value)
+            insert.executeUpdate()
+        connection.commit()
+        connection.close()
+        try:
+            _connection(spark, f"{url};shutdown=true", DERBY)
+        except Py4JJavaError as e:  # Derby reports an orderly end as an error of this state
+            if e.java_exception.getSQLState() != "08006":
+                raise
+        with zipfile.ZipFile(jar, "w") as out:  # not compressed, so pages are found by their place
+            for p in sorted(Path(home).rglob("*")):
+                if p.is_file():
+                    out.write(p, p.relative_to(home))
+    spark.sql(f"ADD JAR '{jar}'")
+    return f"jdbc:derby:classpath:{name}"
+
+
 def _connection(spark: SparkSession, url: str, options: dict[str, str]):
     jvm = spark._jvm
     properties = jvm.java.util.Properties()

@@ -1,11 +1,16 @@
 import datetime as dt
 import io
 import json
+import os
+import subprocess
+import sys
 import zipfile
 from decimal import Decimal
+from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.parquet as pq
+import pyspark
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -100,6 +105,40 @@ def test_jdbc_round_trip(spark, tmp_path):
         readers.jdbc_table(spark, url, "sales; DROP TABLE x")
 
 
+def test_packed_database_keeps_null_empty_and_repeated_rows(spark):
+    rows = spark.createDataFrame([(1, "é"), (1, "é"), (2, ""), (3, None), (None, "x")], "K int, V string")
+    for n in (5, 0):
+        url = transfer.packed_database(rows.limit(n), "kept")
+        back = readers.jdbc_table(spark, url, "kept", partition=("K", 1, 3, 2), **transfer.DERBY)
+        assert back.dtypes == rows.dtypes
+        assert sorted(map(repr, back.collect())) == sorted(map(repr, rows.limit(n).collect()))
+
+
+_ON_EXECUTORS = """
+import sys
+from palisade.plans.catalogue import QUERIES
+from palisade.session import session
+
+spark = session("cluster", spark__master="local-cluster[2,1,1024]", spark__executor__memory="800m", spark__driver__host="127.0.0.1", spark__ui__enabled="false")
+print("rows", sorted(tuple(r) for r in QUERIES["src_jdbc_table"](spark, sys.argv[1]).collect()))
+"""
+
+
+def test_jdbc_table_is_read_by_executors_of_their_own(sf, tmp_path):
+    home = tmp_path / "home"
+    home.mkdir()
+    for p in Path(pyspark.__file__).parent.iterdir():  # executors work in Spark's home
+        if p.name != "work":
+            (home / p.name).symlink_to(p)
+    repo = str(Path(__file__).parent.parent)
+    env = os.environ | {"SPARK_HOME": str(home), "SPARK_SCALA_VERSION": "2.13", "SPARK_LOCAL_IP": "127.0.0.1", "PYTHONPATH": repo, "PYSPARK_PYTHON": sys.executable}
+    env = {k: v for k, v in env.items() if not k.startswith("PYSPARK_GATEWAY")}
+    done = subprocess.run([sys.executable, "-c", _ON_EXECUTORS, sf], env=env, cwd=tmp_path, capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0, done.stderr[-3000:]
+    nations = pq.read_table(f"{sf}/nation.parquet").to_pydict()
+    assert f"rows {sorted(zip(nations['n_nationkey'], nations['n_name']))}" in done.stdout
+
+
 def test_legality_matrix():
     at = {k: Location(k, "a") for k in KINDS}
     other = {k: Location(k, "b") for k in KINDS}

@@ -61,9 +61,9 @@ def tokenise(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Dat
 
 
 def sentences(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, nth, sentence): ends at . ! ? before white space, or at a line's end."""
-    parts = F.split(F.col(text), r"(?<=[.!?])\s+|\n+")
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.filter(F.transform(parts, F.trim), lambda s: s != "")).alias("nth", "sentence"))
+    """(doc_id, nth, sentence): ends at . ! ? before white space (blank, tab, line or form feed, return), or at a line's end; without blanks around it."""
+    parts = F.split(F.col(text), r"(?<=[.!?])[ \t\n\f\r]+|\n+")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.filter(F.transform(parts, lambda s: F.trim(s)), lambda s: s != "")).alias("nth", "sentence"))
     return rows
 
 

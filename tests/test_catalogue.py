@@ -57,3 +57,12 @@ def test_tokens_of_texts_beyond_ascii(spark, duck, tmp_path):
     assert got == sorted((str(k), str(len(re.findall(r"\w+|[^\w\s]", x or "")))) for k, x in enumerate(texts))
     sql = ORACLE["nl_ops"].replace("FROM documents", f"FROM '{tmp_path}/documents.parquet/*.parquet'")
     assert duck_rows(duck, sql)[1] == got
+
+
+def test_sentences_keep_digits_and_lose_blanks_at_their_ends(spark, duck, tmp_path):
+    texts = ["0. 148.9.1. 2 of 22\n 3a3 \n4", "a\n  \n b  c ", "a.\x0bb", "a. \x0bb?\x0c\tc!\r\nd\re", "a.\xa0b. c", "x. " * 300, "...", " ", "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    df = QUERIES["nl_sentences"](spark, str(tmp_path))
+    assert [r["sentence"] for r in df.filter("doc_id = 0").orderBy("nth").collect()] == ["0.", "148.9.1.", "2 of 22", "3a3", "4"]
+    sql = ORACLE["nl_sentences"].replace("FROM documents", f"FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert duck_rows(duck, sql)[1] == rows_of(df)
